@@ -13,12 +13,14 @@ Null and empty texts have no ids. Equal rows are each answered.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -27,6 +29,9 @@ from .frames import cut
 
 #: str.split() also parts words at these, the tokenizer doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Units whose case and composition are the same by any edition of Unicode.
+_MARKS = ".,;:!?#*$%&)"
+_PLAIN = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u017f]+")
 _WINDOW = 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -36,12 +41,13 @@ class UnitEncoder:
 
     Where the tokenizer drops white space and ends words there (an end-of-word
     suffix, and a splitting pattern that never takes white space), the ids of a
-    text are those of its units between white space, one after another; units
-    are kept with their ids, at most `limit` of them. Any other tokenizer
-    encodes whole texts.
+    text are those of its units between white space, one after another. Units
+    and the pieces that the pattern splits them into are kept with their ids,
+    at most `limit` of each; new pieces are encoded many at once, and their ids
+    are told apart by the suffix. Any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 800_000):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -49,26 +55,72 @@ class UnitEncoder:
         self.by_unit = pair == self._ids("ab") + self._ids("cd") == self._ids("ab \n\t  cd ") and self._ids(" \n\t ") == b""
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.pattern, self.ends = None, None
+        kept = json.loads(self.tok.to_str())
+        suffix = kept["model"].get("end_of_word_suffix")
+        found = [x["pattern"]["Regex"] for x in (kept["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split" and x["invert"] and x["behavior"] == "Removed" and "Regex" in x["pattern"]]
+        if self.by_unit and suffix and len(found) == 1:
+            vocabulary = self.tok.get_vocab()
+            self.pattern, self.ends = regex.compile(found[0]), np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for i in range(0, len(texts), 5000) for e in self.tok.encode_batch_fast(texts[i : i + 5000], add_special_tokens=False)]
+
+    def _learn(self, units: list[str]) -> None:
+        """The ids of units: most are a word and marks behind it, the others are split by the pattern, and odd ones are encoded as they are."""
+        if not self.pattern:
+            self.known.update(zip(units, self._each(units), strict=True))
+            return
+        if len(self.pieces) > self.limit:
+            self.pieces = {}
+        pieces, other, plain, parts, fresh = self.pieces, [], [], [], set()
+        for u in units:
+            w = u.rstrip(_MARKS)
+            if w.isalpha() and (w.isascii() or _PLAIN.fullmatch(w)):
+                w = w.lower()
+                parts.append((w, u[len(w) :]) if len(u) > len(w) else (w,))
+                plain.append(u)
+                if w not in pieces:
+                    fresh.add(w)
+            elif _PLAIN.fullmatch(u) and "<|" not in u:
+                ps = self.pattern.findall(u.lower())
+                parts.append(ps)
+                plain.append(u)
+                fresh.update(ps)
+            else:
+                other.append(u)
+        fresh.update([ps[1] for ps in parts if len(ps) == 2])
+        self.known.update(zip(other, self._each(other), strict=True))
+        listed = [p for p in fresh if p not in pieces]
+        for i in range(0, len(listed), 2000):
+            some = listed[i : i + 2000]
+            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(some):  # not a piece each: one by one
+                pieces.update(zip(some, self._each(some), strict=True))
+                continue
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(some, ends.tolist(), strict=True):
+                pieces[p] = raw[at:end]
+                at = end
+        self.known.update(zip(plain, [b"".join([pieces[p] for p in ps]) for ps in parts], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:
             return [array("I", e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         units = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
         if len(self.known) > self.limit:
             self.known = {}
-        known = self.known
-        new: set[str] = set()
+        known, new = self.known, []
         for u in units:
             if u:
-                new.update(u)
-        fresh = [u for u in new if u not in known]
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for u, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[u] = array("I", e.ids).tobytes()
+                new += [x for x in u if x not in known]
+        self._learn(list(set(new)))
         return [self._ids(t) if u is None else b"".join(map(known.__getitem__, u)) for t, u in zip(texts, units, strict=True)]
 
 
@@ -228,7 +280,7 @@ def _encode_owned(batches, path, bits):
         )
 
 
-def _assemble(batches, path, bits):
+def _assemble(batches, path, bits, digest):
     enc = encoder(path)
     for batch, texts in text_groups(batches):
         cutup, ready, want = [], [], []
@@ -240,12 +292,16 @@ def _assemble(batches, path, bits):
             want += [p for k, p in enumerate(parts) if k not in have]
         made = iter(enc.encode(want))
         ids = [joined(parts, [have[k] if k in have else next(made) for k in range(len(parts))], enc.encode) for parts, have in zip(cutup, ready, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        if digest:
+            yield _digests(batch.column(0), ids, enc)
+        else:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
 
-def encode(docs: DataFrame, path: str, bits: int = 10, small: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, bits: int = 10, small: int = 200_000, digest: bool = False) -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit) of every row of docs (doc_id, text).
 
+    digest: instead of ids the columns of digests(), in the same pass.
     bits: chunks have about 2**bits bytes. Only digests of chunks are grouped
     over the corpus; texts are dealt out by row once, and ids of shared chunks
     go to the rows that hold them. small: rows of (ids of rows, chunk numbers)
@@ -261,20 +317,25 @@ def encode(docs: DataFrame, path: str, bits: int = 10, small: int = 200_000) ->
     once = once.dropDuplicates(["h1", "h2"])
     given = listed.join(once, ["h1", "h2"]).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("seq", "ids")).alias("given"))
     full = rows.join(given.hint("shuffle_hash"), ["doc_id", "row_key"], "left").select("doc_id", "text", "given")
-    return full.mapInArrow(lambda b: _assemble(b, path, bits), "doc_id long, ids binary")
+    return full.mapInArrow(lambda b: _assemble(b, path, bits, digest), _DIGESTS if digest else "doc_id long, ids binary")
+
+
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digests(doc_ids: pa.Array, encoded: list[bytes], enc: UnitEncoder) -> pa.RecordBatch:
+    n, ids_hex, text_hex = [], [], []
+    for ids in encoded:
+        listed = np.frombuffer(ids, "<u4").tolist()
+        n.append(len(listed))
+        ids_hex.append(hashlib.sha256(" ".join(map(str, listed)).encode()).hexdigest())
+        text_hex.append(hashlib.sha256(enc.tok.decode(listed, skip_special_tokens=False).encode("utf-8", "surrogatepass")).hexdigest())
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _read_ids(batches, path):
-    enc = encoder(path)
     for batch in batches:
-        n, ids_hex, text_hex = [], [], []
-        for ids in batch.column(batch.schema.get_field_index("ids")).to_pylist():
-            listed = np.frombuffer(ids, "<u4").tolist()
-            n.append(len(listed))
-            ids_hex.append(hashlib.sha256(" ".join(map(str, listed)).encode()).hexdigest())
-            text = enc.tok.decode(listed, skip_special_tokens=False)
-            text_hex.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(text_hex)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        yield _digests(batch.column(0), batch.column(1).to_pylist(), encoder(path))
 
 
 def _decode(batches, path):
@@ -291,6 +352,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and hex SHA-256 of the listed ids and of the decoded text."""
-    return encoded.select("doc_id", "ids").mapInArrow(
-        lambda b: _read_ids(b, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    return encoded.select("doc_id", "ids").mapInArrow(lambda b: _read_ids(b, path), _DIGESTS)

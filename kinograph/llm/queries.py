@@ -27,8 +27,7 @@ def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    return bpe.digests(bpe.encode(load(spark, sf_dir, "documents"), path), path)
+    return bpe.encode(load(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
 
 
 def op4_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
