@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .bpe import rolling, text_groups
 from .frames import cut
+from .kept import nothing
 
 GRAM = 20
 _LAST = (1 << 63) - 1
@@ -46,6 +47,7 @@ def _unzip(x: bytes) -> bytes:
 
 
 def _block_rows(batches, size):
+    nothing()
     held: tuple[list, list] = ([], [])
     total = 0
 
@@ -73,7 +75,7 @@ def _block_rows(batches, size):
         yield row()
 
 
-def blocks(docs: DataFrame, size: int = 6_000_000) -> DataFrame:
+def blocks(docs: DataFrame, size: int = 2_500_000) -> DataFrame:
     """The rows of docs (doc_id, text) in blocks of some `size` bytes, one row each, written to the shared folder."""
     schema = "block long, ids binary, lens binary, null binary, data binary"
     rows = docs.select("doc_id", "text").mapInArrow(lambda b: _block_rows(b, size), schema)
@@ -131,6 +133,8 @@ def _split(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bounds(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    if not len(bucket):
+        return []
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
     return list(zip(bucket[at].tolist(), at.tolist(), np.append(at[1:], len(bucket)).tolist(), strict=True))
 
@@ -179,7 +183,7 @@ def _shared_keys(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def _candidates(row, length, buckets) -> tuple:
-    """Of a block: its documents, bytes and the fragments that may be repeats, by bucket, key and place, each with the number of its distinct bytes."""
+    """Of a block: its documents, bytes and the fragments that may be repeats, by bucket: bucket, key, document, first window, windows."""
     ids, lens, raw = _open(row)
     data = np.frombuffer(raw, np.uint8)
     h, doc, start, count = fragments(data, lens, length)
@@ -194,7 +198,7 @@ def _candidates(row, length, buckets) -> tuple:
     keep = shared[np.searchsorted(code, mine)] if len(code) else np.empty(0, bool)
     order = np.argsort(fb[keep], kind="stable")
     pick = lambda x: x[keep][order]
-    return ids, lens, raw, pick(fb), pick(doc), pick(start), pick(count)
+    return ids, lens, raw, pick(fb), pick(fk), pick(doc), pick(start), pick(count)
 
 
 def _distinct(raw: bytes, start: np.ndarray, count: np.ndarray, length: int, begin: int, end: int) -> tuple[list[bytes], np.ndarray]:
@@ -208,27 +212,46 @@ def _distinct(raw: bytes, start: np.ndarray, count: np.ndarray, length: int, beg
 def _send_fragments(batches, length, buckets):
     for batch in batches:
         for row in batch.to_pylist():
-            ids, _, raw, b, doc, start, count = _candidates(row, length, buckets)
-            cols: list[list] = [[], [], [], [], []]
+            ids, _, raw, b, key, doc, start, count = _candidates(row, length, buckets)
+            cols: list[list] = [[], [], [], [], [], []]
             for bucket, i, j in _bounds(b):
                 texts, number = _distinct(raw, start, count, length, i, j)
                 least = np.full(len(texts), _LAST, np.int64)
                 np.minimum.at(least, number, ids[doc[i:j]])
-                for col, v in zip(cols, (bucket, row["block"], _zip(np.array([len(t) for t in texts], np.uint32)), _zip(b"".join(texts)), _zip(least)), strict=True):
+                keys = np.empty(len(texts), np.uint32)
+                keys[number] = key[i:j]
+                for col, v in zip(cols, (bucket, row["block"], _zip(np.array([len(t) for t in texts], np.uint32)), _zip(b"".join(texts)), _zip(least), _zip(keys)), strict=True):
                     col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["bucket", "block", "lens", "data", "least"])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["bucket", "block", "lens", "data", "least", "keys"])
 
 
 # The index of a bucket
 
 
+class Marks:
+    """A bit vector with the number of ones up to each row, by counts of 64 rows."""
+
+    def __init__(self, at: np.ndarray, n: int):
+        bits = np.zeros(-(-n // 64) * 64, np.uint8)
+        bits[at] = 1
+        self.words = np.packbits(bits, bitorder="little").view(np.uint64)
+        counts = np.bitwise_count(self.words).astype(np.int32)
+        self.before = np.cumsum(counts, dtype=np.int32) - counts
+
+    def last(self, rows: np.ndarray) -> np.ndarray:
+        """The number, from 0, of the last mark at or before each row."""
+        word = rows >> 6
+        ones = self.words[word] << (np.uint64(63) - (rows & 63).astype(np.uint64))
+        return self.before[word] + np.bitwise_count(ones) - 1
+
+
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of a collection of fragments.
 
     Kept: the first row of each run and the row that its first symbol's LF step
-    leads to; the row of each fragment's end; the first row of each group of
-    rows that agree in `length` symbols, and the least document of the group.
+    leads to; the row of each fragment's end; marks at the first row of each group
+    of rows that agree in `length` symbols, and the least document of the group.
     """
 
     def __init__(self, texts: list[bytes], docs: np.ndarray, length: int):
@@ -245,11 +268,11 @@ class RunLengthIndex:
         run = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
         lengths = np.diff(np.append(run, n))
         by = np.argsort(before[run], kind="stable")
-        self.run_first, self.run_leads = run, np.empty(len(run), np.int64)
+        self.run_first, self.run_leads, self.runs = run, np.empty(len(run), np.int64), Marks(run, n)
         self.run_leads[by] = np.cumsum(lengths[by]) - lengths[by]
         group = np.flatnonzero(~same)
-        of = np.searchsorted(self.starts, order, "right") - 1
-        self.group_first, self.group_least = group, np.minimum.reduceat(docs[of], group)
+        of = np.repeat(np.arange(len(texts)), self.sizes + 1)[order]
+        self.groups, self.group_least = Marks(group, n), np.minimum.reduceat(docs[of], group)
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
         self.end_rows = rank[self.starts + self.sizes]
@@ -268,11 +291,10 @@ class RunLengthIndex:
         live = np.searchsorted(-sizes, -np.arange(1, int(sizes.max(initial=0)) + 1), "right")
         for step, n in enumerate(live.tolist(), 1):
             r = rows[:n]
-            run = np.searchsorted(self.run_first, r, "right") - 1
+            run = self.runs.last(r)
             r = rows[:n] = self.run_leads[run] + (r - self.run_first[run])
             if step >= self.length:
-                group = np.searchsorted(self.group_first, r, "right") - 1
-                out[at[:n] + sizes[:n] - step] = self.group_least[group]
+                out[at[:n] + sizes[:n] - step] = self.group_least[self.groups.last(r)]
         return out, place
 
 
@@ -284,7 +306,7 @@ def _sorted_suffixes(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     padded = np.concatenate([t, np.full(width, 0)])
     for i in range(width):
         key = (key << 9) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.append(True, key[order][1:] != key[order][:-1])
     del key, padded
     rank = np.empty(n, np.int64)
@@ -301,7 +323,7 @@ def _sorted_suffixes(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
         far = at + depth
         second = np.where(far < n, rank[np.minimum(far, n - 1)] + 1, 0)
         k = rank[at] * (n + 1) + second
-        by = np.argsort(k, kind="stable")
+        by = np.argsort(k)
         order[open_] = at[by]
         k = k[by]
         new = new.copy()
@@ -320,24 +342,37 @@ def _sorted_suffixes(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
 
 def _match(length: int):
     def match(part: pd.DataFrame) -> pd.DataFrame:
-        sizes = [np.frombuffer(_unzip(x), np.uint32) for x in part["lens"]]
-        least = [np.frombuffer(_unzip(x), np.int64) for x in part["least"]]
+        """For each block of a bucket the least document of each window of its fragments.
+
+        A fragment whose key no other has can share windows with none, so its
+        windows' least document is its own; all others are indexed together.
+        """
         known: dict[bytes, int] = {}
         number: list[np.ndarray] = []
-        for raw, size in zip((_unzip(x) for x in part["data"]), sizes, strict=True):
+        for raw, size in zip((_unzip(x) for x in part["data"]), (np.frombuffer(_unzip(x), np.uint32) for x in part["lens"]), strict=True):
             ends = np.cumsum(size, dtype=np.int64)
             number.append(np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)], np.int64))
-        docs = np.full(len(known), _LAST, np.int64)
-        np.minimum.at(docs, np.concatenate(number), np.concatenate(least))
-        index = RunLengthIndex(list(known), docs, length)
-        found, place = index.stream()
-        windows = index.sizes - length + 1
+        flat = np.concatenate(number)
+        docs, keys = np.full(len(known), _LAST, np.int64), np.empty(len(known), np.uint32)
+        np.minimum.at(docs, flat, np.concatenate([np.frombuffer(_unzip(x), np.int64) for x in part["least"]]))
+        keys[flat] = np.concatenate([np.frombuffer(_unzip(x), np.uint32) for x in part["keys"]])
+        texts = list(known)
+        del known
+        windows = np.array([len(t) for t in texts], np.int64) - length + 1
+        place = np.cumsum(windows) - windows
+        found = np.repeat(docs, windows)
+        _, which, many = np.unique(keys, return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(many[which] > 1)
+        if len(mixed):
+            index = RunLengthIndex([texts[i] for i in mixed.tolist()], docs[mixed], length)
+            least, at = index.stream()
+            w = windows[mixed]
+            found[np.repeat(place[mixed] - at, w) + np.arange(len(least))] = least
         answers = []
         for x in number:
             w = windows[x]
             ends = np.cumsum(w)
-            pick = np.repeat(place[x] - (ends - w), w) + np.arange(int(ends[-1]))
-            answers.append(_zip(found[pick]))
+            answers.append(_zip(found[np.repeat(place[x] - (ends - w), w) + np.arange(int(ends[-1]))]))
         return pd.DataFrame({"block": part["block"], "bucket": part["bucket"], "least": answers})
 
     return match
@@ -346,9 +381,9 @@ def _match(length: int):
 def _finish(batches, length, buckets):
     for batch in batches:
         for row in batch.to_pylist():
-            ids, lens, raw, b, doc, start, count = _candidates(row, length, buckets)
+            ids, lens, raw, b, _, doc, start, count = _candidates(row, length, buckets)
             answers = {a["bucket"]: a["least"] for a in row["answers"] or ()}
-            delta = np.zeros(len(raw) + 1, np.int32)
+            covering = [np.empty(0, np.int64)]
             for bucket, i, j in _bounds(b):
                 texts, number = _distinct(raw, start, count, length, i, j)
                 least = np.frombuffer(_unzip(answers[bucket]), np.int64)
@@ -358,9 +393,9 @@ def _finish(batches, length, buckets):
                 ends = np.cumsum(c)
                 inner = np.arange(int(ends[-1])) - np.repeat(ends - c, c)
                 gone = least[np.repeat(at[number], c) + inner] < np.repeat(ids[doc[i:j]], c)
-                windows = (np.repeat(start[i:j], c) + inner)[gone]
-                delta += np.bincount(windows, minlength=len(delta)).astype(np.int32)
-                delta -= np.bincount(windows + length, minlength=len(delta)).astype(np.int32)
+                covering.append((np.repeat(start[i:j], c) + inner)[gone])
+            windows = np.concatenate(covering)
+            delta = np.bincount(windows, minlength=len(raw) + 1) - np.bincount(windows + length, minlength=len(raw) + 1)
             covered = np.cumsum(delta[:-1]) > 0
             null = np.frombuffer(_unzip(row["null"]), np.uint8)
             data = np.frombuffer(raw, np.uint8)
@@ -385,7 +420,7 @@ def _kept(cols):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, block: int = 6_000_000, bucket: int = 16_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, block: int = 2_500_000, bucket: int = 2_500_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of docs (doc_id, text).
 
     block, bucket: bytes of text for each block of documents and for each bucket
@@ -400,7 +435,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block: int = 6_000_000, bu
     shared = keys.groupBy("bucket").applyInPandas(_shared_keys, "block long, bucket long, bits binary")
     shared = cut(shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("shared")), "shared")
     full = held.join(shared.hint("shuffle_hash"), "block", "left")
-    sent = full.mapInArrow(lambda b: _send_fragments(b, length, buckets), "bucket long, block long, lens binary, data binary, least binary")
+    sent = full.mapInArrow(lambda b: _send_fragments(b, length, buckets), "bucket long, block long, lens binary, data binary, least binary, keys binary")
     answers = sent.groupBy("bucket").applyInPandas(_match(length), "block long, bucket long, least binary")
     answers = cut(answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "least")).alias("answers")), "answers")
     both = held.join(shared.join(answers, "block", "full").hint("shuffle_hash"), "block", "left")
