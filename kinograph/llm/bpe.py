@@ -21,11 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .frames import cut
+from .kept import kept
 
 #: str.split() also parts words at these, the tokenizer doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -47,7 +49,7 @@ class UnitEncoder:
     are told apart by the suffix. Any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 700_000):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -58,6 +60,10 @@ class UnitEncoder:
         self.pieces: dict[str, bytes] = {}
         self.pattern, self.ends = None, None
         kept = json.loads(self.tok.to_str())
+        self.numerals = [str(i) for i in range(self.tok.get_vocab_size())]
+        names = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())]
+        #: without a decoder, tokens are decoded by a space between them
+        self.names = names if kept.get("decoder") is None and None not in names else None
         suffix = kept["model"].get("end_of_word_suffix")
         found = [x["pattern"]["Regex"] for x in (kept["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split" and x["invert"] and x["behavior"] == "Removed" and "Regex" in x["pattern"]]
         if self.by_unit and suffix and len(found) == 1:
@@ -65,6 +71,9 @@ class UnitEncoder:
             self.pattern, self.ends = regex.compile(found[0]), np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
+    def decode(self, ids: list[int]) -> str:
+        return " ".join([self.names[i] for i in ids]) if self.names else self.tok.decode(ids, skip_special_tokens=False)
+
     def _ids(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -120,18 +129,14 @@ class UnitEncoder:
         for u in units:
             if u:
                 new += [x for x in u if x not in known]
-        self._learn(list(set(new)))
+        if new:
+            self._learn(list(set(new)))
         return [self._ids(t) if u is None else b"".join(map(known.__getitem__, u)) for t, u in zip(texts, units, strict=True)]
 
 
-_encoders: dict[str, UnitEncoder] = {}
-
-
-def encoder(path: str) -> UnitEncoder:
-    """One for each Python worker and tokenizer."""
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
+def encoder(path: str, limit: int = 700_000) -> UnitEncoder:
+    """One for each Python worker; some 200 bytes for each unit and piece that it keeps."""
+    return kept(("encoder", path), lambda: UnitEncoder(path, limit))
 
 
 def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -228,8 +233,11 @@ def mend(left: str, left_ids: bytes, right: str, right_ids: bytes, encode) -> tu
         tail, head = _edge(left, units, True), _edge(right, units, False)
         if tail == left and head == right:
             return encode([left + right])[0], b""
+        t, h, joint = encode([tail, head, tail + head])
+        if joint == t + h and left_ids.endswith(t) and right_ids.startswith(h):
+            return left_ids, right_ids
         before, after = tail[: len(tail) - len(_edge(tail, 1, True))], head[len(_edge(head, 1, False)) :]
-        t, h, joint, b, a = encode([tail, head, tail + head, before, after])
+        b, a = encode([before, after])
         if left_ids.endswith(t) and right_ids.startswith(h) and joint.startswith(b) and joint.endswith(a):
             return left_ids[: len(left_ids) - len(t)] + joint, right_ids[len(h) :]
         units *= 2
@@ -280,9 +288,25 @@ def _encode_owned(batches, path, bits):
         )
 
 
+def _squeeze(batches):
+    """Texts compressed, for the way through the shuffle."""
+    z = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "row_key", "packed"])
+
+
+def _unsqueezed(batches, rows: int = 1000):
+    z = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            part = batch.slice(i, rows)
+            yield part, [z.decompress(x).decode("utf-8", "surrogatepass") for x in part.column(part.schema.get_field_index("packed")).to_pylist()]
+
+
 def _assemble(batches, path, bits, digest):
     enc = encoder(path)
-    for batch, texts in text_groups(batches):
+    for batch, texts in _unsqueezed(batches):
         cutup, ready, want = [], [], []
         for text, got in zip(texts, batch.column(batch.schema.get_field_index("given")).to_pylist(), strict=True):
             parts = chunks(text, bits) if text else []
@@ -316,7 +340,8 @@ def encode(docs: DataFrame, path: str, bits: int = 10, small: int = 200_000, dig
     once = cut(rows.join(by, ["doc_id", "row_key"]).select("doc_id", "text", "owned").mapInArrow(lambda b: _encode_owned(b, path, bits), "h1 long, h2 long, ids binary"), "encoded")
     once = once.dropDuplicates(["h1", "h2"])
     given = listed.join(once, ["h1", "h2"]).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("seq", "ids")).alias("given"))
-    full = rows.join(given.hint("shuffle_hash"), ["doc_id", "row_key"], "left").select("doc_id", "text", "given")
+    squeezed = rows.mapInArrow(_squeeze, "doc_id long, row_key long, packed binary")
+    full = squeezed.join(given.hint("shuffle_hash"), ["doc_id", "row_key"], "left").select("doc_id", "packed", "given")
     return full.mapInArrow(lambda b: _assemble(b, path, bits, digest), _DIGESTS if digest else "doc_id long, ids binary")
 
 
@@ -328,8 +353,8 @@ def _digests(doc_ids: pa.Array, encoded: list[bytes], enc: UnitEncoder) -> pa.Re
     for ids in encoded:
         listed = np.frombuffer(ids, "<u4").tolist()
         n.append(len(listed))
-        ids_hex.append(hashlib.sha256(" ".join(map(str, listed)).encode()).hexdigest())
-        text_hex.append(hashlib.sha256(enc.tok.decode(listed, skip_special_tokens=False).encode("utf-8", "surrogatepass")).hexdigest())
+        ids_hex.append(hashlib.sha256(" ".join([enc.numerals[i] for i in listed]).encode()).hexdigest())
+        text_hex.append(hashlib.sha256(enc.decode(listed).encode("utf-8", "surrogatepass")).hexdigest())
     return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -341,7 +366,7 @@ def _read_ids(batches, path):
 def _decode(batches, path):
     enc = encoder(path)
     for batch in batches:
-        texts = [enc.tok.decode(np.frombuffer(i, "<u4").tolist(), skip_special_tokens=False) for i in batch.column(batch.schema.get_field_index("ids")).to_pylist()]
+        texts = [enc.decode(np.frombuffer(i, "<u4").tolist()) for i in batch.column(batch.schema.get_field_index("ids")).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_groups
+from .kept import kept
 
 _WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (1, 2, 3, 4)
@@ -181,6 +182,25 @@ def _predict(batches, model, least):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, kind)], ["doc_id", "lang_pred", "score", "langs"])
 
 
+def _select(batches, model, least):
+    for batch in batches:
+        texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        keep = []
+        for at in range(0, len(texts), 1000):
+            listed = [words(t) for t in texts[at : at + 1000]]
+            keep += [bool(w) and any(map(str.isalpha, w)) and float(model.mixture(p).max()) >= least for w, p in zip(listed, model.likelihoods(listed), strict=True)]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def select(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of docs that have a language whose proportion is `least` or more, all their columns; none where there is no model."""
+    if model is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.table))
+    mark = uuid.uuid4().hex
+    return docs.mapInArrow(lambda b: _select(b, _model(mark, shared), least), docs.schema)
+
+
 def predict(docs: DataFrame, model: Model | None, least: float = 0.01) -> DataFrame:
     """doc_id, lang_pred, score (the proportion of lang_pred) and langs (all of the chosen set) of every row of docs (doc_id, text)."""
     schema = "doc_id long, lang_pred string, score double, langs array<struct<lang string, share double>>"
@@ -192,17 +212,16 @@ def predict(docs: DataFrame, model: Model | None, least: float = 0.01) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(lambda b: _predict(b, _model(mark, shared), least), schema)
 
 
-_held: dict[str, Model] = {}
-
-
 def _model(mark: str, shared) -> Model:
     """The broadcast model with the words that this worker has met so far."""
-    if mark not in _held:
-        _held.clear()
-        model = _held[mark] = Model.__new__(Model)
+
+    def make() -> Model:
+        model = Model.__new__(Model)
         model.names, model.table = shared.value
         model.known, model.rows = {}, np.empty((0, len(model.names)), np.float64)
-    return _held[mark]
+        return model
+
+    return kept(("model", mark), make)
 
 
 def held_out(doc_id="doc_id"):

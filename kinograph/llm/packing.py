@@ -67,8 +67,8 @@ def lower_bound(sizes: np.ndarray, capacity: int, most: int = 32) -> int:
     return max(best, int((large + -(-middle // capacity)).max()))
 
 
-def _pieces(batches, path, capacity, end_id):
-    enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+def _pieces(batches, path, capacity, end_id, limit):
+    enc, end = encoder(path, limit), np.array([end_id], "<u4").tobytes()
     for batch, texts in text_groups(batches):
         cols: list[list] = [[], [], [], [], []]
         for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
@@ -83,9 +83,9 @@ def _pieces(batches, path, capacity, end_id):
         )
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """The pieces of at most `capacity` tokens of every row of docs (doc_id, text), end_id after each text (null: empty)."""
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _pieces(b, path, capacity, end_id), _PIECES)
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, limit: int = 700_000) -> DataFrame:
+    """The pieces of at most `capacity` tokens of every row of docs (doc_id, text), end_id after each text (null: empty). limit: units that an encoder keeps."""
+    return docs.select("doc_id", "text").mapInArrow(lambda b: _pieces(b, path, capacity, end_id, limit), _PIECES)
 
 
 def _packed(capacity: int, round_: int):

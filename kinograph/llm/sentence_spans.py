@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .bpe import text_groups
 from .frames import cut
+from .kept import nothing
 
 _END = re.compile(r"(?:[.!?…。！？]+[\"'”’)\]]*(?:\s+|$)|\n\s*)")
 #: A sentence of more words is cut after words that a hash chooses, so that text without full stops has units as well.
@@ -54,9 +55,9 @@ def runs(text: str, least_sentences: int, least_words: int) -> tuple[list[tuple[
     with `least_words` or more.
     """
     spans = sentences(text)
-    low = text.lower()
+    low = text.casefold()
     same = len(low) == len(text)
-    words = [(low[a:b] if same else text[a:b].lower()).split() for a, b in spans]
+    words = [(low[a:b] if same else text[a:b].casefold()).split() for a, b in spans]
     out: list[tuple[int, int, bytes]] = []
     end, have = 0, 0
     joined = [" ".join(w) for w in words]
@@ -73,6 +74,7 @@ def runs(text: str, least_sentences: int, least_words: int) -> tuple[list[tuple[
 
 
 def _list(batches, least_sentences, least_words):
+    nothing()
     for batch, texts in text_groups(batches):
         cols: list[list] = [[], [], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
@@ -85,6 +87,7 @@ def _list(batches, least_sentences, least_words):
 
 
 def _remove(batches, least_sentences, least_words):
+    nothing()
     for batch, texts in text_groups(batches):
         hits = batch.column(batch.schema.get_field_index("hits")).to_pylist()
         kept, removed = [], []
