@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.islands import hysteresis, spaced
-from ..operators import compose, emission, geometry, lines, possession, predicates, relations
-from ..sources.driver_views import signal_scope, sql_of, tracking_scope
+from ..operators import actions, compose, emission, geometry, lines, possession, predicates, relations
+from ..sources import build
+from ..sources.driver_views import pass_scope, pass_sql, signal_scope, sql_of, tracking_scope
+from . import recipes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -623,3 +626,124 @@ def relation_destination_entry(spark, sf_dir):
     return relations.relation_destination_entry(scope, ep, 0.4, "seed", select_one=True).select("match_id", "anchor_id", "relation_id", "entry_status", "destination_entry_frame_id", "classification")
 
 
+
+
+# Actions: events fused with tracking
+
+
+def _passes_with(views: str, sql: str) -> str:
+    return "WITH " + ",\n".join(f"{v} AS ({pass_sql(v)})" for v in views.split()) + ("," if sql.lstrip().startswith("x_") else "") + "\n" + sql
+
+
+_ALIGN = """x_n AS (SELECT *, CAST(floor(event_ms / 40) AS BIGINT) AS f0 FROM passes),
+x_c AS (SELECT x.*, x.f0 + k AS f, abs((x.f0 + k) * 40 - event_ms) AS d FROM x_n x CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) t),
+x_a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id, n ORDER BY d, f) AS k2 FROM x_c) t WHERE k2 = 1)
+"""
+
+
+@query("nearest_frame_alignment", None, _passes_with("passes", _ALIGN + "SELECT match_id, CAST(n AS INTEGER) AS event_row_index, f AS event_anchor_frame_id, round(CAST(f * 40 - event_ms AS DOUBLE), 3) AS event_frame_offset_ms, CONCAT('h', CAST(p AS STRING)) AS passer_id, CONCAT('h', CAST(r AS STRING)) AS receiver_id FROM x_a WHERE event_type <> 'error'"))
+def nearest_frame_alignment(spark, sf_dir):
+    return actions.action_event_anchor(pass_scope(spark, sf_dir)).select("match_id", "event_row_index", "event_anchor_frame_id", _r("event_frame_offset_ms", 3), "passer_id", "receiver_id")
+
+
+@query("set_piece_structure", None, _passes_with("passes pass_players", _ALIGN + """, x_s AS (SELECT a.match_id, a.n, a.event_type, a.f, max(CASE WHEN q.team_role = a.team_role THEN q.y_m END) - min(CASE WHEN q.team_role = a.team_role THEN q.y_m END) AS w, avg(CASE WHEN q.team_role <> a.team_role THEN q.x_m END) AS cx, sum(CASE WHEN q.team_role = a.team_role THEN 1 ELSE 0 END) AS m, sum(CASE WHEN q.team_role <> a.team_role THEN 1 ELSE 0 END) AS o FROM x_a a LEFT JOIN pass_players q ON q.match_id = a.match_id AND q.frame_id = a.f AND q.player_id <> 'a0' AND a.event_type IN ('purchase', 'error') GROUP BY a.match_id, a.n, a.event_type, a.f)
+SELECT match_id, CAST(n AS INTEGER) AS event_row_index, CASE event_type WHEN 'purchase' THEN 'throw_in' WHEN 'error' THEN 'corner_kick' END AS set_piece_restart_type, round(w, 6) AS attacking_shape_width_m, round(cx, 6) AS defending_shape_centroid_x_m, CASE WHEN event_type NOT IN ('purchase', 'error') THEN 'FAIL' WHEN least(m, o) < 3 THEN 'UNKNOWN' ELSE 'PASS' END AS set_piece_structure_status FROM x_s"""))
+def set_piece_structure(spark, sf_dir):
+    out = actions.set_piece_structure(pass_scope(spark, sf_dir), 3)
+    return out.select("match_id", "event_row_index", "set_piece_restart_type", _r("attacking_shape_width_m"), _r("defending_shape_centroid_x_m"), "set_piece_structure_status")
+
+
+_CONTROL = _ALIGN + """, x_p AS (SELECT match_id, n, f AS ev, p, r, team_role FROM x_a WHERE event_type <> 'error'),
+x_last AS (SELECT match_id, max(base) + 39 AS last FROM passes GROUP BY match_id),
+x_d AS (SELECT q.match_id, q.frame_id, q.player_id, q.team_role, sqrt((q.x_m - b.ball_x) * (q.x_m - b.ball_x) + (q.y_m - b.ball_y) * (q.y_m - b.ball_y)) AS d FROM pass_players q JOIN pass_ball b USING (match_id, frame_id)),
+x_rel AS (SELECT x.match_id, x.n, x.ev, x.ev - 25 + k AS fr, CONCAT('h', CAST(x.p AS STRING)) AS who, x.team_role FROM x_p x, range(0, 101) t(k)),
+x_rc AS (SELECT w.match_id, w.n, w.ev, w.fr, min(CASE WHEN d.player_id = w.who THEN d.d END) AS d, min(CASE WHEN d.player_id <> w.who THEN d.d END) AS m FROM x_rel w LEFT JOIN x_d d ON d.match_id = w.match_id AND d.frame_id = w.fr AND d.team_role = w.team_role GROUP BY w.match_id, w.n, w.ev, w.fr),
+x_rf AS (SELECT *, d IS NOT NULL AS seen, coalesce(d <= 2.5 AND (m IS NULL OR d <= m + 1), FALSE) AS c FROM x_rc),
+x_rl AS (SELECT *, lead(seen AND NOT c, 1) OVER w AND lead(seen AND NOT c, 2) OVER w AND lead(seen AND NOT c, 3) OVER w AND lead(d, 3) OVER w >= d + 0.5 AS free FROM x_rf WINDOW w AS (PARTITION BY match_id, n ORDER BY fr)),
+x_rr AS (SELECT match_id, n, min(CASE WHEN c AND free THEN abs(fr - ev) * 1000000 + fr END) AS best, sum(CASE WHEN c THEN 1 ELSE 0 END) AS nc, sum(CASE WHEN seen THEN 1 ELSE 0 END) AS ns, count(*) AS nn, max(ev) AS ev FROM x_rl GROUP BY match_id, n),
+x_q AS (SELECT p.*, CASE WHEN best IS NOT NULL THEN best % 1000000 END AS rel, CASE WHEN best IS NOT NULL THEN 'PASS' WHEN ns = 0 OR nc > 0 OR 1 - CAST(ns AS DOUBLE) / nn > 0.02 THEN 'UNKNOWN' ELSE 'FAIL' END AS rs FROM x_p p JOIN x_rr USING (match_id, n)),
+x_w AS (SELECT q.match_id, q.n, q.rel, q.rel + k AS fr, CONCAT('h', CAST(q.r AS STRING)) AS who, q.team_role FROM x_q q JOIN x_last l USING (match_id), range(1, 151) t(k) WHERE rel IS NOT NULL AND q.rel + k <= l.last),
+x_wc AS (SELECT w.match_id, w.n, w.rel, w.fr, min(CASE WHEN d.player_id = w.who THEN d.d END) AS d, min(CASE WHEN d.player_id <> w.who THEN d.d END) AS m FROM x_w w LEFT JOIN x_d d ON d.match_id = w.match_id AND d.frame_id = w.fr AND d.team_role = w.team_role GROUP BY w.match_id, w.n, w.rel, w.fr),
+x_ws AS (SELECT *, CASE WHEN d IS NULL THEN 'missing' WHEN d <= 2.5 AND (m IS NULL OR d <= m + 1) THEN 'receiver' WHEN m <= 2.5 AND m < d THEN 'other' ELSE 'nobody' END AS s FROM x_wc),
+x_wg AS (SELECT *, row_number() OVER (PARTITION BY match_id, n ORDER BY fr) - row_number() OVER (PARTITION BY match_id, n, s ORDER BY fr) AS g FROM x_ws),
+x_wk AS (SELECT *, row_number() OVER (PARTITION BY match_id, n, s, g ORDER BY fr) AS k FROM x_wg),
+x_e AS (SELECT match_id, n, min(CASE WHEN s = 'receiver' AND k = 6 THEN fr END) AS recv, min(CASE WHEN s = 'other' AND k = 6 THEN fr END) AS oth, sum(CASE WHEN s = 'missing' THEN 1 ELSE 0 END) AS miss, count(*) AS nn, max(fr) AS fin FROM x_wk GROUP BY match_id, n),
+x_cp AS (SELECT q.match_id, q.n, q.p, q.r, q.team_role, q.rel, q.rs, CASE WHEN rs <> 'PASS' THEN 'UNKNOWN' WHEN coalesce(recv, 1152921504606846976) < coalesce(oth, 1152921504606846976) THEN 'PASS' WHEN oth IS NOT NULL THEN 'FAIL' WHEN CAST(miss AS DOUBLE) / nn > 0.02 THEN 'UNKNOWN' WHEN nn IS NULL OR fin < rel + 150 THEN 'UNKNOWN' ELSE 'FAIL' END AS cs, recv - 5 AS rec FROM x_q q LEFT JOIN x_e USING (match_id, n)),
+x_st AS (SELECT c.*, CASE WHEN rs = 'FAIL' THEN 'FAIL' WHEN rs = 'UNKNOWN' THEN 'UNKNOWN' WHEN cs = 'FAIL' THEN 'FAIL' WHEN cs = 'UNKNOWN' THEN 'UNKNOWN' WHEN b0.ball_x IS NULL OR b1.ball_x IS NULL THEN 'UNKNOWN' ELSE 'PASS' END AS st, b0.ball_x AS bx0, b1.ball_x AS bx1 FROM x_cp c LEFT JOIN pass_ball b0 ON b0.match_id = c.match_id AND b0.frame_id = c.rel LEFT JOIN pass_ball b1 ON b1.match_id = c.match_id AND b1.frame_id = c.rec AND c.cs = 'PASS')
+"""
+
+
+@query("controlled_pass", None, _passes_with("passes pass_frames pass_ball pass_players", _CONTROL + "SELECT match_id, CAST(n AS INTEGER) AS event_row_index, rel AS physical_release_frame_id, CASE WHEN cs = 'PASS' THEN rec END AS controlled_reception_frame_id, rs AS release_control_status, cs AS controlled_reception_status, st AS controlled_pass_status FROM x_st"))
+def controlled_pass(spark, sf_dir):
+    return actions.controlled_pass_episode(pass_scope(spark, sf_dir)).select("match_id", "event_row_index", "physical_release_frame_id", "controlled_reception_frame_id", "release_control_status", "controlled_reception_status", "controlled_pass_status")
+
+
+@query("bypassed_count", None, _passes_with("passes pass_frames pass_ball pass_players", _CONTROL + """, x_o AS (SELECT s.match_id, s.n, s.st, s.rel, s.rec, s.team_role, sum(CASE WHEN q0.x_m * g.sg > bx0 * g.sg + 1 AND q1.x_m * g.sg < bx1 * g.sg - 1 THEN 1 ELSE 0 END) AS c, count(q0.player_id) AS n0, count(q1.player_id) AS n1, max(g.sg * (bx1 - bx0)) AS fwd FROM x_st s JOIN (SELECT 'home' AS team_role, 1 AS sg UNION ALL SELECT 'away', -1) g USING (team_role) LEFT JOIN pass_players q0 ON s.st = 'PASS' AND q0.match_id = s.match_id AND q0.frame_id = s.rel AND q0.team_role <> s.team_role AND q0.player_id <> 'a0' LEFT JOIN pass_players q1 ON q1.match_id = s.match_id AND q1.frame_id = s.rec AND q1.player_id = q0.player_id AND q1.team_role = q0.team_role GROUP BY s.match_id, s.n, s.st, s.rel, s.rec, s.team_role),
+x_sw AS (SELECT o.*, (SELECT count(DISTINCT team_role) FROM pass_players q WHERE q.match_id = o.match_id AND q.player_id = 'h0' AND q.frame_id BETWEEN o.rel AND o.rec) AS sides FROM x_o o)
+SELECT match_id, CAST(n AS INTEGER) AS event_row_index, CASE WHEN st <> 'PASS' THEN st WHEN sides > 1 OR n1 < n0 THEN 'UNKNOWN' ELSE 'PASS' END AS evaluation_status, CASE WHEN st = 'PASS' AND sides = 1 AND n1 = n0 THEN CAST(c AS INTEGER) END AS opponents_bypassed_count, CASE WHEN st <> 'PASS' THEN st WHEN fwd < 8 THEN 'FAIL' WHEN sides > 1 OR n1 < n0 THEN 'UNKNOWN' WHEN c < 1 THEN 'FAIL' ELSE 'PASS' END AS high_bypass_status FROM x_sw"""))
+def bypassed_count(spark, sf_dir):
+    out = recipes.high_bypass_completed_pass(pass_scope(spark, sf_dir), minimum_bypassed=1)
+    return out.select("match_id", "event_row_index", "evaluation_status", "opponents_bypassed_count", "high_bypass_status")
+
+
+@query("one_touch_relay")
+def one_touch_relay(spark, sf_dir):
+    scope = pass_scope(spark, sf_dir)
+    return actions.one_touch_relay_episode(scope, actions.controlled_pass_episode(scope).persist()).select("match_id", "input_pass_episode_id", "relay_pass_episode_id", "relay_player_id", "relay_touch_frame_id", "relay_dwell_seconds", "one_touch_relay_status", "one_touch_relay_reason")
+
+
+@query("pass_chain")
+def pass_chain(spark, sf_dir):
+    scope = pass_scope(spark, sf_dir)
+    passes = actions.controlled_pass_episode(scope).persist()
+    return actions.pass_chain_episode(actions.one_touch_relay_episode(scope, passes), passes).select("match_id", "relay_pass_episode_id", "terminal_receiver_id", "terminal_controlled_reception_frame_id", "pass_chain_status", "pass_chain_reason")
+
+
+@query("carry_episode")
+def carry_episode(spark, sf_dir):
+    scope = pass_scope(spark, sf_dir)
+    return actions.carry_episode(scope, actions.controlled_pass_episode(scope).persist(), minimum_displacement_m=0.0, minimum_controlled_frame_ratio=0.5).select("match_id", "source_reception_pass_id", "carrier_id", "carry_start_frame_id", "carry_end_frame_id", "carry_status", "carry_reason")
+
+
+@query("receiver_line_transition")
+def receiver_line_transition(spark, sf_dir):
+    scope = pass_scope(spark, sf_dir)
+    relay = actions.one_touch_relay_episode(scope, actions.controlled_pass_episode(scope).persist()).persist()
+    line = lines.defensive_line_model(scope, relay, line_band_width_m=20.0, minimum_line_defenders=2, anchor_frame_field="input_physical_release_frame_id")
+    at = [lines.relative_position_to_line(scope, line, relay, "relay_player_id", f) for f in ("input_physical_release_frame_id", "relay_touch_frame_id")]
+    return lines.receiver_line_transition_during_pass_leg(relay, line, *at).select("match_id", "relay_pass_episode_id", "receiver_line_transition_status", "receiver_line_transition_reason")
+
+
+@query("block_shift_recipe")
+def block_shift_recipe(spark, sf_dir):
+    scope, sig = signal_scope(spark, sf_dir, minimum_possession_seconds=0.4, minimum_outfield_players_per_team=1)
+    centroid = sig.select("match_id", "period", "frame_id", F.lit("away").alias("team_role"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("entity_id"), F.lit("player").alias("entity_type"), F.lit(0.0).alias("x_m"), (F.col("event_id") % 41 - 20).cast("double").alias("y_m"))
+    players = centroid.select("match_id", F.col("entity_id").alias("player_id"), F.lit(False).alias("is_goalkeeper"))
+    t = dataclasses.replace(scope.tables, positions=scope.tables.positions.unionByName(centroid), players=players)
+    out = recipes.ball_side_block_shift(dataclasses.replace(scope, tables=t), wide_dwell_seconds=0.2, baseline_seconds=0.4, search_seconds=0.6, minimum_shift_m=3.0, horizon_seconds=1.2, retained_seconds=0.2, dedupe_seconds=1.0)
+    return out.select("match_id", "entry_frame_id", "anchor_frame_id", _r("signed_shift_metres"), "classification")
+
+
+@query("target_inspection")
+def target_inspection(spark, sf_dir):
+    _, sig = signal_scope(spark, sf_dir)
+    a, ev = _click_or_signup(sig), _evaluations(sig)
+    traces = emission.trace(a, "any", predicates.exists(a, ev))
+    results = emission.classify(a, traces, [("SOME", ["any"])])
+    return emission.inspect_target(a, traces, results, "u1", "firstHalf", 600, 400).select("match_id", "anchor_frame_id", "distance_ms", "classification", "target_status")
+
+
+@query("replay_window", "trk", "SELECT frame_id, count(*) AS n_entities, round(sum(x_m), 3) AS sum_x FROM (SELECT frame_id, round(x_m, 3) AS x_m FROM trk WHERE match_id = 'm0' AND frame_id BETWEEN 100 AND 200) t GROUP BY frame_id")
+def replay(spark, sf_dir):
+    scope, _ = tracking_scope(spark, sf_dir)
+    w = build.replay_window(scope.tables.positions.where("entity_type = 'player'").withColumn("timestamp_utc", F.lit("")), "m0", "firstHalf", 100, 200)
+    return w.select("frame_id", F.size("entities").cast("long").alias("n_entities"), F.round(F.aggregate("entities", F.lit(0.0), lambda t, e: t + e["x_m"]), 3).alias("sum_x"))
+
+
+@query("quality_report", "trk frames", """x_p AS (SELECT match_id, count(*) AS rows, sum(CASE WHEN abs(x_m) > 52.5 OR abs(y_m) > 34 THEN 1 ELSE 0 END) AS outside_rows, round(min(x_m), 6) AS x_min, round(max(y_m), 6) AS y_max FROM trk GROUP BY match_id),
+x_f AS (SELECT match_id, count(*) AS frames FROM frames GROUP BY match_id)
+SELECT match_id, rows, outside_rows, x_min, y_max, frames FROM x_p JOIN x_f USING (match_id)""")
+def quality_report(spark, sf_dir):
+    scope, _ = tracking_scope(spark, sf_dir)
+    out = build.quality_report(scope.tables.positions.where("entity_type = 'player'"), scope.tables.frames)
+    return out.select("match_id", "rows", "outside_rows", _r("x_min"), _r("y_max"), "frames")

@@ -86,3 +86,59 @@ def signal_scope(spark: SparkSession, sf_dir: str, **kw) -> tuple[Scope, DataFra
     positions = sig.where("ball_x is not null").select("match_id", "period", "frame_id", F.lit("ball").alias("team_role"), F.lit("ball").alias("entity_id"), F.lit("ball").alias("entity_type"), F.col("ball_x").alias("x_m"), F.col("ball_y").alias("y_m"))
     kw = {"analysis_rate_hz": 5, "frame_rate_hz": 5} | kw
     return Scope(Tables(positions=positions, orientation=_sides(sig), frames=sig.select("match_id", "period", "frame_id"), ball_state=state), **kw), sig
+
+
+# Passes: each event of a user is one, forty frames long. {gen} lists the frames, in each engine's way.
+
+_CHOREO = """
+SELECT CONCAT('u', CAST(user_id AS STRING)) AS match_id, event_id, event_type, n, n * 40 AS base, event_id % 4 AS p, (event_id % 4 + 1 + CAST(floor(event_id / 4) AS BIGINT) % 3) % 4 AS r, 6 + event_id % 9 AS len,
+  (n * 40 + 8) * 40 + event_id % 50 - 20 AS event_ms, CASE WHEN event_id % 10 < 7 THEN 'home' ELSE 'away' END AS team_role
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS n FROM {events}) e
+"""
+
+PASSES = _CHOREO
+
+PASS_FRAMES = "SELECT c.*, {gen} AS t FROM (" + _CHOREO + ") c"
+
+_HX, _HY = "(-30 + 18 * {i} + event_id % 5)", "(-24 + 15 * {i})"
+_SHARE = "CASE WHEN t < 8 THEN CAST(0 AS DOUBLE) WHEN event_type = 'view' AND event_id % 2 = 0 THEN least(CAST(t - 7 AS DOUBLE) / len, CAST(0.6 AS DOUBLE)) ELSE least(CAST(t - 7 AS DOUBLE) / len, CAST(1 AS DOUBLE)) END"
+
+PASS_BALL = f"""
+SELECT match_id, 'firstHalf' AS period, base + t AS frame_id, px + 0.5 + s * (rx - px - 0.5) AS ball_x, py + s * (ry - py) AS ball_y
+FROM (SELECT *, {_SHARE} AS s, CAST({_HX.format(i="p")} AS DOUBLE) AS px, CAST({_HY.format(i="p")} AS DOUBLE) AS py, CAST({_HX.format(i="r")} AS DOUBLE) AS rx, CAST({_HY.format(i="r")} AS DOUBLE) AS ry FROM ({PASS_FRAMES}) f) g
+WHERE NOT (event_type = 'signup' AND t % 7 = 3)
+"""
+
+PASS_PLAYERS = f"""
+SELECT match_id, 'firstHalf' AS period, base + t AS frame_id, CONCAT('h', CAST(i AS STRING)) AS player_id, team_role, CAST({_HX.format(i="i")} AS DOUBLE) AS x_m, CAST({_HY.format(i="i")} AS DOUBLE) AS y_m FROM ({PASS_FRAMES}) f CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k
+UNION ALL
+SELECT match_id, 'firstHalf', base + t, CONCAT('a', CAST(i AS STRING)), CASE team_role WHEN 'home' THEN 'away' ELSE 'home' END, CAST(-20 + 15 * i + t % 3 AS DOUBLE), CAST(-20 + 13 * i AS DOUBLE) FROM ({PASS_FRAMES}) f CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k
+"""
+
+PASS_VIEWS = {"passes": PASSES, "pass_frames": PASS_FRAMES, "pass_ball": PASS_BALL, "pass_players": PASS_PLAYERS}
+
+
+def pass_sql(name: str) -> str:
+    """The view's text for an engine that lists frames by unnest(range())."""
+    return PASS_VIEWS[name].replace("{gen}", "unnest(range(0, 40))").replace("{events}", "events").strip()
+
+
+def pass_scope(spark: SparkSession, sf_dir: str, **kw) -> Scope:
+    """Events as passes between four players, with the ball, four opponents, frames and ball states. a0 keeps goal."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    sql = lambda name: spark.sql(PASS_VIEWS[name].replace("{gen}", "explode(sequence(0, 39))"), events=events)
+    p, ball, players = sql("passes"), sql("pass_ball"), sql("pass_players")
+    stamp = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    frames = sql("pass_frames").select("match_id", F.lit("firstHalf").alias("period"), (F.col("base") + F.col("t")).alias("frame_id"), "team_role")
+    player = F.concat(F.lit("h"), F.col("p").cast("string"))
+    q = F.to_json(F.struct(F.lit("successfullyCompleted").alias("Evaluation"), player.alias("Player"), F.concat(F.lit("h"), F.col("r").cast("string")).alias("Recipient")))
+    kind = F.when(F.col("event_type") == "purchase", "ThrowIn_Play_Pass").when(F.col("event_type") == "error", "CornerKick_Play").otherwise("Play_Pass")
+    ev = p.select("match_id", F.lit("firstHalf").alias("period"), "team_role", F.col("n").cast("int").alias("row_index"), kind.alias("event_type"), (F.col("event_ms") / 1000.0).alias("gameclock_seconds"), player.alias("player_id"), stamp(F.col("event_ms")).alias("timestamp"), q.alias("qualifier_json"))
+    positions = players.select("match_id", "period", "frame_id", "team_role", F.col("player_id").alias("entity_id"), F.lit("player").alias("entity_type"), "x_m", "y_m").unionByName(
+        ball.select("match_id", "period", "frame_id", F.lit("ball").alias("team_role"), F.lit("ball").alias("entity_id"), F.lit("ball").alias("entity_type"), F.col("ball_x").alias("x_m"), F.col("ball_y").alias("y_m"))
+    )
+    positions = positions.persist()  # read by every operator of a plan
+    roster = p.select("match_id").distinct().select("match_id", F.explode(F.array(*[F.lit(f"{s}{i}") for s in "ha" for i in range(4)])).alias("player_id")).withColumn("is_goalkeeper", F.col("player_id") == "a0")
+    state = frames.select("match_id", "period", "frame_id", F.col("team_role").alias("possession_team_role"), F.lit(True).alias("ball_alive"))
+    stamped = frames.select("match_id", "period", "frame_id", stamp(F.col("frame_id") * 40).alias("timestamp_utc"))
+    return Scope(Tables(positions=positions, players=roster, orientation=_sides(p.withColumn("period", F.lit("firstHalf"))), frames=stamped, events=ev, ball_state=state), **kw)
