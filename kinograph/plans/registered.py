@@ -610,20 +610,39 @@ def _corridor(spark, sf_dir):
     return scope, relations.geometric_progressive_corridor(scope, a, **_CORRIDOR, open_after_frames=2, close_after_frames=2)
 
 
-@query("corridor_episodes")
+_EPISODES = """x_w AS (SELECT a.match_id, a.anchor_frame_id AS f, a.anchor_frame_id + k AS g FROM anc a, (SELECT 0 AS k UNION ALL SELECT 5 UNION ALL SELECT 10) t),
+x_t AS (SELECT w.*, t.player_id, t.x_m AS tx, t.y_m AS ty, b.ball_x AS bx, b.ball_y AS bz FROM x_w w JOIN outfield t ON t.match_id = w.match_id AND t.frame_id = w.g AND t.team_role = 'home' LEFT JOIN ball b ON b.match_id = w.match_id AND b.frame_id = w.g),
+x_o AS (SELECT t.*, o.x_m AS ox, o.y_m AS oy, greatest(0.0, least(1.0, coalesce(((o.x_m - bx) * (tx - bx) + (o.y_m - bz) * (ty - bz)) / nullif((tx - bx) * (tx - bx) + (ty - bz) * (ty - bz), 0), 0))) AS u FROM x_t t LEFT JOIN outfield o ON o.match_id = t.match_id AND o.frame_id = t.g AND o.team_role = 'away'),
+x_c AS (SELECT match_id, f, g, player_id, tx, ty, bx, bz, sqrt((tx - bx) * (tx - bx) + (ty - bz) * (ty - bz)) AS l, min(sqrt((ox - (bx + u * (tx - bx))) * (ox - (bx + u * (tx - bx))) + (oy - (bz + u * (ty - bz))) * (oy - (bz + u * (ty - bz))))) AS c, max(CASE WHEN ox IS NOT NULL THEN 1 ELSE 0 END) AS any_o FROM x_o GROUP BY match_id, f, g, player_id, tx, ty, bx, bz),
+x_s AS (SELECT *, CASE WHEN bx IS NULL OR any_o = 0 THEN 'UNKNOWN' WHEN l <= 0.001 THEN 'INVALID' WHEN tx - bx < 5 OR l < 5 OR l > 80 OR c < 2 THEN 'FAIL' ELSE 'PASS' END AS s, row_number() OVER (PARTITION BY match_id, f, player_id ORDER BY g) AS idx FROM x_c),
+x_h AS (SELECT *, lag(idx) OVER (PARTITION BY match_id, f, player_id ORDER BY idx) AS pr FROM x_s WHERE s = 'PASS'),
+x_g AS (SELECT *, sum(CASE WHEN pr IS NULL OR idx - pr - 1 >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY match_id, f, player_id ORDER BY idx) AS gr FROM x_h),
+x_r AS (SELECT *, idx - row_number() OVER (PARTITION BY match_id, f, player_id, gr ORDER BY idx) AS r FROM x_g),
+x_p AS (SELECT *, row_number() OVER (PARTITION BY match_id, f, player_id, gr, r ORDER BY idx) AS k FROM x_r),
+x_q AS (SELECT *, min(CASE WHEN k = 2 THEN idx END) OVER (PARTITION BY match_id, f, player_id, gr) AS op FROM x_p),
+x_e AS (SELECT match_id, f, player_id, gr, min(g) AS og, max(g) AS cg, count(*) AS n, min(c) AS mc, arg_min(ty, g) AS oy FROM x_q WHERE op IS NOT NULL AND idx > op - 2 GROUP BY match_id, f, player_id, gr HAVING count(*) >= 2)
+"""
+
+
+@query("corridor_episodes", "trk outfield ball anc", _EPISODES + """SELECT match_id, CONCAT('a', CAST(f AS STRING)) AS anchor_id, player_id AS target_player_id, og AS open_frame_id, cg AS close_frame_id, CAST(n AS DOUBLE) / 5 AS duration_seconds, round(mc, 6) AS minimum_clearance_m,
+CONCAT(CASE WHEN oy > 0 THEN 'left' WHEN oy < 0 THEN 'right' ELSE 'center' END, '_', CASE WHEN abs(oy) / 34 < 0.33 THEN 'central' WHEN abs(oy) / 34 < 0.66 THEN 'half_space' ELSE 'wide' END) AS destination_region FROM x_e""")
 def corridor_episodes(spark, sf_dir):
-    return _corridor(spark, sf_dir)[1][0].select("match_id", "anchor_id", "target_player_id", "open_frame_id", "close_frame_id", "duration_seconds", "destination_region", _r("minimum_clearance_m"), "limiting_defender_id")
+    return _corridor(spark, sf_dir)[1][0].select("match_id", "anchor_id", "target_player_id", "open_frame_id", "close_frame_id", "duration_seconds", "destination_region", _r("minimum_clearance_m"))
 
 
-@query("corridor_exists")
+@query("corridor_exists", "trk outfield ball anc", _EPISODES + """, x_n AS (SELECT match_id, f, count(*) AS n FROM x_e GROUP BY match_id, f), x_k AS (SELECT match_id, f, max(CASE WHEN s IN ('UNKNOWN', 'INVALID') THEN 1 ELSE 0 END) AS u FROM x_s GROUP BY match_id, f)
+SELECT a.match_id, a.anchor_frame_id, CAST(coalesce(n, 0) AS INTEGER) AS relation_count, CASE WHEN n > 0 THEN 'PASS' WHEN u IS NULL OR u = 1 THEN 'UNKNOWN' ELSE 'FAIL' END AS evaluation_status FROM anc a LEFT JOIN x_n x ON x.match_id = a.match_id AND x.f = a.anchor_frame_id LEFT JOIN x_k k ON k.match_id = a.match_id AND k.f = a.anchor_frame_id""")
 def corridor_exists(spark, sf_dir):
     return _corridor(spark, sf_dir)[1][1].select("match_id", "anchor_frame_id", "evaluation_status", "relation_count")
 
 
-@query("relation_destination_entry")
+@query("relation_destination_entry", "trk outfield ball anc frames lastf", _EPISODES + """, x_b AS (SELECT *, CASE WHEN oy > 0 THEN 0.0 WHEN oy < 0 THEN -34.0 ELSE -1.0 END AS lo, CASE WHEN oy > 0 THEN 34.0 WHEN oy < 0 THEN 0.0 ELSE 1.0 END AS hi FROM x_e),
+x_x AS (SELECT e.match_id, e.f, e.player_id, e.og, min(CASE WHEN b.ball_y BETWEEN e.lo AND e.hi THEN r.frame_id END) AS ent, sum(CASE WHEN b.ball_y IS NULL THEN 1 ELSE 0 END) AS miss, count(r.frame_id) AS n FROM x_b e LEFT JOIN frames r ON r.match_id = e.match_id AND r.frame_id BETWEEN e.og AND e.og + 10 LEFT JOIN ball b ON b.match_id = r.match_id AND b.frame_id = r.frame_id GROUP BY e.match_id, e.f, e.player_id, e.og),
+x_y AS (SELECT x.*, CASE WHEN ent IS NOT NULL THEN 'PASS' WHEN n = 0 OR og + 10 > last_frame_id OR miss > 0 THEN 'UNKNOWN' ELSE 'FAIL' END AS s FROM x_x x JOIN lastf USING (match_id))
+SELECT match_id, CONCAT('a', CAST(f AS STRING)) AS anchor_id, player_id AS target_player_id, og AS open_frame_id, s AS entry_status, ent AS destination_entry_frame_id, CASE s WHEN 'PASS' THEN 'ENTERED' WHEN 'FAIL' THEN 'NOT_ENTERED' ELSE 'UNKNOWN' END AS classification FROM x_y""")
 def relation_destination_entry(spark, sf_dir):
     scope, (ep, _) = _corridor(spark, sf_dir)
-    return relations.relation_destination_entry(scope, ep, 0.4, "seed", select_one=True).select("match_id", "anchor_id", "relation_id", "entry_status", "destination_entry_frame_id", "classification")
+    return relations.relation_destination_entry(scope, ep, 0.4, "seed").select("match_id", "anchor_id", "target_player_id", "open_frame_id", "entry_status", "destination_entry_frame_id", "classification")
 
 
 
@@ -709,7 +728,7 @@ def carry_episode(spark, sf_dir):
 def receiver_line_transition(spark, sf_dir):
     scope = pass_scope(spark, sf_dir)
     relay = actions.one_touch_relay_episode(scope, actions.controlled_pass_episode(scope).persist()).persist()
-    line = lines.defensive_line_model(scope, relay, line_band_width_m=20.0, minimum_line_defenders=2, anchor_frame_field="input_physical_release_frame_id")
+    line = lines.defensive_line_model(scope, relay, line_band_width_m=20.0, minimum_line_defenders=2, anchor_frame_field="input_physical_release_frame_id").persist()
     at = [lines.relative_position_to_line(scope, line, relay, "relay_player_id", f) for f in ("input_physical_release_frame_id", "relay_touch_frame_id")]
     return lines.receiver_line_transition_during_pass_leg(relay, line, *at).select("match_id", "relay_pass_episode_id", "receiver_line_transition_status", "receiver_line_transition_reason")
 
