@@ -24,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/kinograph-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
@@ -31,9 +38,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     again. It is removed when the driver ends, or by release().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinograph-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, digest, html_blocks, langid, packing, rlindex, sentence_spans, simhash, token_rollup, topk
-from .frames import load, shared_dir
+from .frames import load, scratch
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -52,7 +50,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents inserted; those whose id is divisible by 7 deleted; those divisible by 11 counted anew by another tokenizer version; the second batch once more, without effect."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/kinograph-rollup-{uuid.uuid4().hex}")
+    rollup = token_rollup.Rollup(spark, scratch(spark, "rollup"))
     old, new = (token_rollup.counted(docs, v) for v in ("words-1", "pieces-2"))
     gone, again = F.col("doc_id") % 7 == 0, (F.col("doc_id") % 7 != 0) & (F.col("doc_id") % 11 == 0)
     rollup.commit(0, token_rollup.signed(old, 1))
