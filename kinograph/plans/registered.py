@@ -705,17 +705,26 @@ def bypassed_count(spark, sf_dir):
     return out.select("match_id", "event_row_index", "evaluation_status", "opponents_bypassed_count", "high_bypass_status")
 
 
-@query("one_touch_relay")
+_RELAY = _CONTROL + """, x_rq AS (SELECT a.match_id, a.n AS n1, b.n AS n2, a.rel AS r1, b.rel AS r2, b.ev, b.p AS who FROM x_q a JOIN x_q b ON b.match_id = a.match_id AND b.n = a.n + 1 AND a.r = b.p AND a.team_role = b.team_role),
+x_tw AS (SELECT q.*, greatest(ev - 20, r1 + 1) + k AS fr FROM x_rq q, range(0, 31) t(k) WHERE r1 IS NOT NULL AND r2 IS NOT NULL AND greatest(ev - 20, r1 + 1) + k <= least(ev + 10, r2)),
+x_td AS (SELECT w.match_id, w.n2, w.fr, w.ev, d.d FROM x_tw w LEFT JOIN x_d d ON d.match_id = w.match_id AND d.frame_id = w.fr AND d.player_id = CONCAT('h', CAST(w.who AS STRING))),
+x_tt AS (SELECT match_id, n2, fr AS touch FROM (SELECT *, row_number() OVER (PARTITION BY match_id, n2 ORDER BY abs(fr - ev), d, fr) AS k FROM x_td WHERE d <= 2.75) t WHERE k = 1),
+x_tm AS (SELECT match_id, n2, sum(CASE WHEN d IS NULL THEN 1 ELSE 0 END) AS miss, count(*) AS nn FROM x_td GROUP BY match_id, n2),
+x_rs AS (SELECT q.*, touch, CASE WHEN r1 IS NULL OR r2 IS NULL THEN 'UNKNOWN' WHEN touch IS NULL AND coalesce(CAST(miss AS DOUBLE) / nn, 1.0) > 0.02 THEN 'UNKNOWN' WHEN touch IS NULL THEN 'FAIL' WHEN (r2 - touch) / 25.0 > 0.56 + 1e-9 THEN 'FAIL' ELSE 'PASS' END AS s FROM x_rq q LEFT JOIN x_tt USING (match_id, n2) LEFT JOIN x_tm USING (match_id, n2))
+"""
+
+
+@query("one_touch_relay", None, _passes_with("passes pass_frames pass_ball pass_players", _RELAY + "SELECT match_id, CONCAT(match_id, ':firstHalf:', CAST(n2 AS STRING)) AS relay_pass_episode_id, CONCAT('h', CAST(who AS STRING)) AS relay_player_id, touch AS relay_touch_frame_id, s AS one_touch_relay_status FROM x_rs"))
 def one_touch_relay(spark, sf_dir):
     scope = pass_scope(spark, sf_dir)
-    return actions.one_touch_relay_episode(scope, actions.controlled_pass_episode(scope).persist()).select("match_id", "input_pass_episode_id", "relay_pass_episode_id", "relay_player_id", "relay_touch_frame_id", "relay_dwell_seconds", "one_touch_relay_status", "one_touch_relay_reason")
+    return actions.one_touch_relay_episode(scope, actions.controlled_pass_episode(scope).persist()).select("match_id", "relay_pass_episode_id", "relay_player_id", "relay_touch_frame_id", "one_touch_relay_status")
 
 
-@query("pass_chain")
+@query("pass_chain", None, _passes_with("passes pass_frames pass_ball pass_players", _RELAY + "SELECT r.match_id, CONCAT(r.match_id, ':firstHalf:', CAST(n2 AS STRING)) AS relay_pass_episode_id, CASE WHEN s <> 'PASS' THEN s ELSE t.st END AS pass_chain_status FROM x_rs r JOIN x_st t ON t.match_id = r.match_id AND t.n = r.n2"))
 def pass_chain(spark, sf_dir):
     scope = pass_scope(spark, sf_dir)
     passes = actions.controlled_pass_episode(scope).persist()
-    return actions.pass_chain_episode(actions.one_touch_relay_episode(scope, passes), passes).select("match_id", "relay_pass_episode_id", "terminal_receiver_id", "terminal_controlled_reception_frame_id", "pass_chain_status", "pass_chain_reason")
+    return actions.pass_chain_episode(actions.one_touch_relay_episode(scope, passes), passes).select("match_id", "relay_pass_episode_id", "pass_chain_status")
 
 
 @query("carry_episode")
