@@ -118,6 +118,7 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
         docs = docs.drop("hits", "n_removed")
     spans = docs.select("doc_id", "text").mapInArrow(lambda b: _list(b, least_sentences, least_words), "h1 long, h2 int, doc_id long, start int")
     several = spans.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").drop("n")
+    several = cut(several, "several")  # read back, so that both sides of the join have an exchange of their own and hot runs are split
     later = spans.join(several, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")) | F.col("first.doc_id").isNull())
     hits = cut(later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "h2")).alias("hits")), "hits")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
