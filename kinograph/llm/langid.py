@@ -54,7 +54,9 @@ def _grams(listed: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inner = np.zeros(m, np.int64)  # spaces inside: an n-gram may begin or end with one, not pass over it
         for k in range(1, n - 1):
             inner += space[k : k + m]
-        ok = (inner == 0) & ~(space[:m] & (n == 1)) & ~(space[:m] & space[n - 1 :] if n == 2 else False)
+        ok = inner == 0
+        if n <= 2:  # nor be spaces alone
+            ok &= ~(space[:m] & space[n - 1 :])
         x = (h[ok] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
         buckets.append((ORDERS.index(n) * BUCKETS + (x >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)))
         owner.append(word[:m][ok])

@@ -330,3 +330,22 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs_ = stage(spark, docs_, str(tmp_path))
         assert docs_.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_grams_of_words():
+    import collections
+
+    listed = ["abab", "é", "x"]
+    got = collections.Counter()
+    buckets, owner = langid._grams(listed)
+    for b, o in zip(buckets.tolist(), owner.tolist(), strict=True):
+        got[(o, b // langid.BUCKETS)] += 1
+    want = collections.Counter()
+    for o, w in enumerate(listed):
+        raw = b" " + w.encode() + b" "
+        for k, n in enumerate(langid.ORDERS):
+            want[(o, k)] = max(0, len(raw) - n + 1 - (2 if n == 1 else 0))
+    assert {k: v for k, v in want.items() if v} == dict(got)
+    assert len(langid._grams([])[0]) == 0
+    same = [b for b, o in zip(*(x.tolist() for x in langid._grams(["ab", "ab"])), strict=True)]
+    assert collections.Counter(same) and all(v % 2 == 0 for v in collections.Counter(same).values())
