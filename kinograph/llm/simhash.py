@@ -78,9 +78,9 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
-def groups(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable) of every row of fps (doc_id, fp)."""
-    linked = components(links(fps, radius))
+def groups(fps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable by pairs a, b of fp) of every row of fps (doc_id, fp)."""
+    linked = components(pairs)
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     named = cut(
         first.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")),
@@ -94,4 +94,4 @@ def groups(fps: DataFrame, radius: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs (doc_id, text)."""
     fps = cut(fingerprints(docs, shingle), "fp")
-    return groups(fps, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return groups(fps, links(fps, radius)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

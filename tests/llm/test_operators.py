@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from kinograph.llm import bpe, digest, html_blocks, langid, packing, rlindex, sentence_spans, simhash, token_rollup, topk
+from kinograph.llm import bpe, digest, html_blocks, langid, packing, rlindex, sentence_spans, similar, simhash, token_rollup, topk
 from kinograph.llm.components import components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -217,6 +217,33 @@ def test_balls_lose_no_link(spark, radius):
     assert {r.node: r.root for r in got} == want
 
 
+def test_pipeline_drops_edited_copies(spark, tmp_path):
+    """The pipeline's stage against brute force: copies with a few edits each, also many of one original."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(_SYL) for _ in range(4))
+    texts = [[word() for _ in range(rng.randint(60, 300))] for _ in range(30)]
+    for k in range(90):
+        t = list(texts[k % 30 if k < 60 else 0])
+        for _ in range(rng.randint(1, 1 + len(t) // 45)):
+            t[rng.randrange(len(t))] = word()
+        texts.append(t)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    linked = [(a, b) for a in root for b in root if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, "").collect()}
+    assert len(linked) > 100 and got == {i for i, r in enumerate(root) if i == r}
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (3, "one two"), (None, "one two"), (4, "One  two"), (None, "alone")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in similar.near_duplicates(odd).collect()} == {(None, None), (None, 3), (1, 1), (2, 1), (3, 3), (4, 3)}
+    assert similar.near_duplicates(table.limit(0)).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
