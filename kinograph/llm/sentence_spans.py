@@ -1,9 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are taken apart into sentences. Every run of consecutive sentences that
-has just enough words is hashed; runs that occur more than once are joined over
-the whole corpus, and the sentences that any but the first of equal runs covers
-go. The first is that with the least doc_id, then the least place. Comparison
+Texts are taken apart into sentences. The shortest runs of consecutive sentences
+with enough words that start and that end with each sentence are hashed; runs that
+occur more than once are joined over the whole corpus, and the sentences that any
+but the first of equal runs covers go. The first is that with the least doc_id, then the least place. Comparison
 is without case and without regard to the kind and amount of white space.
 
 Null and empty texts stay as they are. Repeats inside a document count. Equal
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -51,26 +52,31 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def runs(text: str, least_sentences: int, least_words: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
     """The sentences, and of each run its first sentence, the one behind its last, and its hash.
 
-    From each sentence on one run: the shortest of `least_sentences` or more
-    with `least_words` or more.
+    For each sentence two runs, the shortest of `least_sentences` or more with
+    `least_words` or more that starts with it and the shortest that ends with it:
+    those inside any longer run cover all of it.
     """
     spans = sentences(text)
     low = text.casefold()
     same = len(low) == len(text)
     words = [(low[a:b] if same else text[a:b].casefold()).split() for a, b in spans]
-    out: list[tuple[int, int, bytes]] = []
-    end, have = 0, 0
     joined = [" ".join(w) for w in words]
-    for i in range(len(spans)):
-        while end < len(spans) and (end - i < least_sentences or have < least_words):
-            have += len(words[end])
+    before = [0, *accumulate(map(len, words))]
+    n, end, begin = len(spans), 0, 0
+    pairs: dict[tuple[int, int], None] = {}
+    for i in range(n):
+        while end <= n and (end - i < least_sentences or before[end] - before[i] < least_words):
             end += 1
-        if end - i < least_sentences or have < least_words:
+        if end > n:
             break
         if words[i]:
-            out.append((i, end, xxhash.xxh3_128_digest(" ".join(joined[i:end]).encode("utf-8", "surrogatepass"))))
-        have -= len(words[i])
-    return spans, out
+            pairs[i, end] = None
+    for j in range(1, n + 1):
+        while j - begin > least_sentences and before[j] - before[begin + 1] >= least_words:
+            begin += 1
+        if j - begin >= least_sentences and before[j] - before[begin] >= least_words and words[begin] and words[j - 1]:
+            pairs[begin, j] = None
+    return spans, [(i, j, xxhash.xxh3_128_digest(" ".join(joined[i:j]).encode("utf-8", "surrogatepass"))) for i, j in pairs]
 
 
 def _list(batches, least_sentences, least_words):

@@ -328,6 +328,29 @@ def test_sentence_spans(docs, empty):
     assert sentence_spans.remove_repeats(empty).count() == 0
 
 
+def test_sentence_spans_against_all_runs(spark):
+    """Every run of 2 or more sentences and 20 or more words, enumerated here; passages end in short sentences."""
+    rng = random.Random(21)
+    passages = [[_sentence(n) for n in sizes] for sizes in ((30, 13, 6), (9, 12, 3, 2), (5, 5, 11, 4, 1), (19, 1), (12, 12, 12, 12, 2, 2))]
+    texts = [[_sentence(30), *passages[0], _sentence(15)]]
+    for _ in range(60):
+        parts = [[_sentence(rng.randint(1, 14)) for _ in range(rng.randint(1, 4))] for _ in range(2)]
+        texts.append(parts[0] + rng.choice(passages) + parts[1])
+    units = [[" ".join(t)[a:b] for a, b in sentence_spans.sentences(" ".join(t))] for t in texts]
+    seen, want = {}, []
+    for k, t in enumerate(units):
+        gone = set()
+        for i in range(len(t)):
+            for j in range(i + 2, len(t) + 1):
+                run = " ".join("".join(t[i:j]).split()).casefold()
+                if len(run.split()) >= 20 and seen.setdefault(run, (k, i)) != (k, i):
+                    gone |= set(range(i, j))
+        want.append("".join(x for i, x in enumerate(t) if i not in gone))
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in sentence_spans.remove_repeats(table).collect()}
+    assert got == dict(enumerate(want)) and any(len(w) < len(" ".join(t)) for w, t in zip(want, texts, strict=True))
+
+
 def test_rollup(spark, docs, tmp_path):
     r = token_rollup.Rollup(spark, f"file://{tmp_path}/roll")
     assert r.read().count() == 0
