@@ -25,28 +25,42 @@ from .bpe import text_groups
 from .frames import cut
 from .kept import nothing
 
-_END = re.compile(r"(?:[.!?…。！？]+[\"'”’)\]]*(?:\s+|$)|\n\s*)")
-#: A sentence of more words is cut after words that a hash chooses, so that text without full stops has units as well.
-LONGEST = 32
+_END = re.compile(r"(?:[.!?…]+[\"'”’)\]]*(?:\s+|$)|[。！？｡]+[\"'”’)\]」』）】》〉]*\s*|\n\s*)")
+#: Letters of scripts without spaces: Thai and Lao, Burmese, Khmer, kana, Chinese. Each counts as a word.
+_LETTER = "฀-໿က-႟ក-៿々-〇ぁ-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
+_HAS_LETTER = re.compile(f"[{_LETTER}]")
+_WORD = re.compile(rf"[{_LETTER}]|[^\s{_LETTER}]+")
+_SPACED = re.compile(r"\S+")
+_cuts: dict[str, bool] = {}
+
+
+def _cut_after(word: str) -> bool:
+    """Whether a unit ends with this word: one in eight, by its hash."""
+    if (found := _cuts.get(word)) is None:
+        if len(_cuts) >= 100_000:
+            _cuts.clear()
+        found = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % 8 == 0
+        if len(word) <= 40:
+            _cuts[word] = found
+    return found
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Start and end of the sentences, white space after them included; together they are the whole text."""
-    out, at = [], 0
-    for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
-        if end <= at:
-            continue
-        if end - at > 4 * LONGEST and len(words := list(re.finditer(r"\S+\s*", text[at:end]))) > LONGEST:
-            begin = at
-            for m in words[:-1]:
-                if zlib.crc32(m[0].strip().lower().encode("utf-8", "surrogatepass")) % 8 == 0:
-                    out.append((begin, at + m.end()))
-                    begin = at + m.end()
-            out.append((begin, end))
-        else:
-            out.append((at, end))
-        at = end
-    return out
+    """Start and end of the sentences, white space after them included; together they are the whole text.
+
+    All are cut after the words that a hash chooses, so that text without full
+    stops has units as well and a passage has the same ones in any text.
+    """
+    stops = {m.end() for m in _END.finditer(text)}
+    word = _WORD if not text.isascii() and _HAS_LETTER.search(text) else _SPACED
+    found = [(m.start(), _cut_after(m[0])) for m in word.finditer(text)]
+    stops.update(b for (_, cut_), (b, _) in zip(found, found[1:]) if cut_)
+    ends = sorted(stops | {len(text)})
+    return [(a, b) for a, b in zip([0, *ends], ends) if b > a]
+
+
+def _words(text: str) -> list[str]:
+    return text.split() if text.isascii() or not _HAS_LETTER.search(text) else _WORD.findall(text)
 
 
 def runs(text: str, least_sentences: int, least_words: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
@@ -59,7 +73,7 @@ def runs(text: str, least_sentences: int, least_words: int) -> tuple[list[tuple[
     spans = sentences(text)
     low = text.casefold()
     same = len(low) == len(text)
-    words = [(low[a:b] if same else text[a:b].casefold()).split() for a, b in spans]
+    words = [_words(low[a:b] if same else text[a:b].casefold()) for a, b in spans]
     joined = [" ".join(w) for w in words]
     before = [0, *accumulate(map(len, words))]
     n, end, begin = len(spans), 0, 0

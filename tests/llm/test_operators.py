@@ -351,6 +351,25 @@ def test_sentence_spans_against_all_runs(spark):
     assert got == dict(enumerate(want)) and any(len(w) < len(" ".join(t)) for w, t in zip(want, texts, strict=True))
 
 
+def test_sentence_spans_in_any_script_and_host(spark):
+    """Repeats in scripts without spaces, and a passage behind words without a full stop."""
+    rng = random.Random(33)
+    plain = lambda n: " ".join("".join(rng.choice(_SYL) for _ in range(4)) for _ in range(n))
+    script = lambda first, n: "".join(chr(first + rng.randrange(300 if first > 0x3400 else 40)) for _ in range(n))
+    chinese = "。".join(script(0x4E00, 18) for _ in range(6)) + "。"
+    thai = script(0x0E01, 120)
+    passage = plain(26) + ". " + plain(26) + "."
+    texts = [f"{script(0x4E00, 30)}。{chinese}", f"{script(0x4E00, 41)}。{chinese}{script(0x4E00, 30)}。", script(0x0E01, 60) + thai, script(0x0E01, 90) + thai + script(0x0E01, 50)]
+    texts += [f"{plain(11)}. {passage} {plain(9)}.", f"{plain(12)}. {plain(14)} {passage} {plain(12)}."]
+    assert all("".join(t[a:b] for a, b in sentence_spans.sentences(t)) == t for t in texts)
+    got = {r.doc_id: r.text for r in sentence_spans.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in (0, 2, 4)] == [texts[i] for i in (0, 2, 4)]
+    assert chinese[:18] not in got[1] and chinese[-19:] not in got[1] and texts[1][:42] in got[1] and texts[1][-31:] in got[1]
+    assert thai[40:80] not in got[3] and texts[3][:60] in got[3]
+    left = set(got[5].split())
+    assert len(left & set(passage.split())) <= 26 and not left & set(passage.split()[26:40])
+
+
 def test_rollup(spark, docs, tmp_path):
     r = token_rollup.Rollup(spark, f"file://{tmp_path}/roll")
     assert r.read().count() == 0
