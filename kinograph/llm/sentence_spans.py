@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,21 +28,50 @@ from .kept import nothing
 _END = re.compile(r"(?:[.!?…]+[\"'”’)\]]*(?:\s+|$)|[。！？｡]+[\"'”’)\]」』）】》〉]*\s*|\n\s*)")
 #: Letters of scripts without spaces: Thai and Lao, Burmese, Khmer, kana, Chinese. Each counts as a word.
 _LETTER = "฀-໿က-႟ក-៿々-〇ぁ-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
-_HAS_LETTER = re.compile(f"[{_LETTER}]")
+_ODD = re.compile(f"[{_LETTER}。！？｡]")
 _WORD = re.compile(rf"[{_LETTER}]|[^\s{_LETTER}]+")
-_SPACED = re.compile(r"\S+")
-_cuts: dict[str, bool] = {}
+#: By character (0xFFFF for all beyond): 1 white space, 2 what a match of _END may begin with.
+_KIND = np.zeros(0x10000, np.uint8)
+_KIND[[c for c in range(0xFFFF) if chr(c).isspace()]] = 1
+_KIND[[ord(c) for c in ".!?…。！？｡\n"]] |= 2
 
 
-def _cut_after(word: str) -> bool:
-    """Whether a unit ends with this word: one in eight, by its hash."""
-    if (found := _cuts.get(word)) is None:
-        if len(_cuts) >= 100_000:
-            _cuts.clear()
+class _Cuts(dict):
+    """Whether a unit ends with a word: one in eight, by its hash."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= 100_000:
+            self.clear()
         found = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % 8 == 0
         if len(word) <= 40:
-            _cuts[word] = found
-    return found
+            self[word] = found
+        return found
+
+
+_cuts = _Cuts()
+
+
+def _units(text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Where the units begin, and the text's end; where the words begin; whether a unit may begin inside what white space parts."""
+    odd = not text.isascii() and _ODD.search(text) is not None
+    if text.isascii():
+        kind = _KIND[np.frombuffer(text.encode(), np.uint8)]
+    else:
+        kind = _KIND[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
+    if odd:
+        found = list(_WORD.finditer(text))
+        words, at = [m[0] for m in found], np.array([m.start() for m in found], np.int64)
+    else:
+        words = text.split()
+        solid = kind & 1 == 0
+        at = np.flatnonzero(solid & np.append(True, ~solid)[:-1])
+    chosen = np.fromiter(map(_cuts.__getitem__, words), bool, len(words))
+    stops, end = [], 0
+    for i in np.flatnonzero(kind & 2).tolist():
+        if i >= end and (m := _END.match(text, i)):
+            end = m.end()
+            stops.append(end)
+    return np.unique(np.concatenate([at[1:][chosen[:-1]], np.array([0, *stops, len(text)], np.int64)])), at, odd
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -51,16 +80,36 @@ def sentences(text: str) -> list[tuple[int, int]]:
     All are cut after the words that a hash chooses, so that text without full
     stops has units as well and a passage has the same ones in any text.
     """
-    stops = {m.end() for m in _END.finditer(text)}
-    word = _WORD if not text.isascii() and _HAS_LETTER.search(text) else _SPACED
-    found = [(m.start(), _cut_after(m[0])) for m in word.finditer(text)]
-    stops.update(b for (_, cut_), (b, _) in zip(found, found[1:]) if cut_)
-    ends = sorted(stops | {len(text)})
-    return [(a, b) for a, b in zip([0, *ends], ends) if b > a]
-
-
-def _words(text: str) -> list[str]:
-    return text.split() if text.isascii() or not _HAS_LETTER.search(text) else _WORD.findall(text)
+    ends = _units(text)[0].tolist()
+    return list(zip(ends, ends[1:]))
+
+
+def _runs(text: str, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Where the sentences begin; of each run its first sentence, the one behind its last, and its hash."""
+    units, at, odd = _units(text)
+    n = len(units) - 1
+    if n < least_sentences:
+        return units, np.empty(0, np.int64), np.empty(0, np.int64), []
+    words = [] if odd else text.casefold().split()
+    before = np.searchsorted(at, units)
+    if odd or len(words) != len(at):
+        ends = units.tolist()
+        parts = [(_WORD.findall if odd else str.split)(text[a:b].casefold()) for a, b in zip(ends, ends[1:])]
+        words = [w for part in parts for w in part]
+        before = np.cumsum([0, *map(len, parts)])
+    flat = " ".join(words).encode("utf-8", "surrogatepass")
+    lens = np.fromiter(map(len, flat.split(b" ")), np.int64) if words else np.empty(0, np.int64)
+    places = np.append(0, np.cumsum(lens + 1))
+    full = before[1:] > before[:-1]
+    i = np.arange(n)
+    end = np.maximum(i + least_sentences, np.searchsorted(before, before[:-1] + least_words))
+    starting = (end <= n) & full
+    j = np.arange(1, n + 1)
+    begin = np.minimum(j - least_sentences, np.searchsorted(before, before[1:] - least_words, "right") - 1)
+    ending = (begin >= 0) & full & full[np.maximum(begin, 0)]
+    pairs = np.unique(np.concatenate([i[starting] * (n + 1) + end[starting], begin[ending] * (n + 1) + j[ending]]))
+    i, j = pairs // (n + 1), pairs % (n + 1)
+    return units, i, j, [xxhash.xxh3_128_digest(flat[a:b]) for a, b in zip(places[before[i]].tolist(), (places[before[j]] - 1).tolist(), strict=True)]
 
 
 def runs(text: str, least_sentences: int, least_words: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
@@ -70,40 +119,24 @@ def runs(text: str, least_sentences: int, least_words: int) -> tuple[list[tuple[
     `least_words` or more that starts with it and the shortest that ends with it:
     those inside any longer run cover all of it.
     """
-    spans = sentences(text)
-    low = text.casefold()
-    same = len(low) == len(text)
-    words = [_words(low[a:b] if same else text[a:b].casefold()) for a, b in spans]
-    joined = [" ".join(w) for w in words]
-    before = [0, *accumulate(map(len, words))]
-    n, end, begin = len(spans), 0, 0
-    pairs: dict[tuple[int, int], None] = {}
-    for i in range(n):
-        while end <= n and (end - i < least_sentences or before[end] - before[i] < least_words):
-            end += 1
-        if end > n:
-            break
-        if words[i]:
-            pairs[i, end] = None
-    for j in range(1, n + 1):
-        while j - begin > least_sentences and before[j] - before[begin + 1] >= least_words:
-            begin += 1
-        if j - begin >= least_sentences and before[j] - before[begin] >= least_words and words[begin] and words[j - 1]:
-            pairs[begin, j] = None
-    return spans, [(i, j, xxhash.xxh3_128_digest(" ".join(joined[i:j]).encode("utf-8", "surrogatepass"))) for i, j in pairs]
+    units, i, j, hashes = _runs(text, least_sentences, least_words)
+    ends = units.tolist()
+    return list(zip(ends, ends[1:])), list(zip(i.tolist(), j.tolist(), hashes, strict=True))
 
 
 def _list(batches, least_sentences, least_words):
     nothing()
     for batch, texts in text_groups(batches):
-        cols: list[list] = [[], [], [], []]
-        for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-            for i, _, h in runs(text, least_sentences, least_words)[1]:
-                cols[0].append(int.from_bytes(h[:8], "little", signed=True))
-                cols[1].append(int.from_bytes(h[8:12], "little", signed=True))
-                cols[2].append(doc_id)
-                cols[3].append(i)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["h1", "h2", "doc_id", "start"])
+        first, hashes, counts = [np.empty(0, np.int64)], [], []
+        for text in texts:
+            _, i, _, found = _runs(text, least_sentences, least_words)
+            first.append(i)
+            hashes += found
+            counts.append(len(i))
+        h = np.frombuffer(b"".join(hashes), np.dtype([("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")]))
+        owner = pa.array(np.repeat(np.arange(len(texts)), counts))
+        cols = [pa.array(np.ascontiguousarray(h["h1"])), pa.array(np.ascontiguousarray(h["h2"])), batch.column(0).take(owner), pa.array(np.concatenate(first).astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "doc_id", "start"])
 
 
 def _remove(batches, least_sentences, least_words):
