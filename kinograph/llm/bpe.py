@@ -156,7 +156,7 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n at least."""
     if not _powers or len(_powers[0]) < n:
         size = max(1 << 17, 1 << (n - 1).bit_length())
@@ -172,7 +172,7 @@ def rolling(data: np.ndarray, window: int) -> np.ndarray:
     n = len(data)
     if n < window:
         return np.empty(0, np.uint64)
-    up, down = _power_tables(n + 1)
+    up, down = power_tables(n + 1)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])

@@ -6,22 +6,24 @@ occur more than once are joined over the whole corpus, and the sentences that an
 but the first of equal runs covers go. The first is that with the least doc_id, then the least place. Comparison
 is without case and without regard to the kind and amount of white space.
 
-Null and empty texts stay as they are. Repeats inside a document count. Equal
-doc_ids count as one document; rows with null doc_id come first and are kept.
+Null and empty texts stay as they are. Repeats inside a text count. Rows with
+equal doc_ids count as one document: they take nothing from each other. Rows with
+null doc_id come first and lose only what repeats inside themselves. Other columns
+are carried, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import text_groups
+from .bpe import power_tables, text_groups
 from .frames import cut
 from .kept import nothing
 
@@ -34,44 +36,48 @@ _WORD = re.compile(rf"[{_LETTER}]|[^\s{_LETTER}]+")
 _KIND = np.zeros(0x10000, np.uint8)
 _KIND[[c for c in range(0xFFFF) if chr(c).isspace()]] = 1
 _KIND[[ord(c) for c in ".!?…。！？｡\n"]] |= 2
-
-
-class _Cuts(dict):
-    """Whether a unit ends with a word: one in eight, by its hash."""
-
-    def __missing__(self, word: str) -> bool:
-        if len(self) >= 100_000:
-            self.clear()
-        found = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % 8 == 0
-        if len(word) <= 40:
-            self[word] = found
-        return found
-
-
-_cuts = _Cuts()
-
-
-def _units(text: str) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Where the units begin, and the text's end; where the words begin; whether a unit may begin inside what white space parts."""
-    odd = not text.isascii() and _ODD.search(text) is not None
-    if text.isascii():
-        kind = _KIND[np.frombuffer(text.encode(), np.uint8)]
-    else:
-        kind = _KIND[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
-    if odd:
-        found = list(_WORD.finditer(text))
-        words, at = [m[0] for m in found], np.array([m.start() for m in found], np.int64)
-    else:
-        words = text.split()
-        solid = kind & 1 == 0
-        at = np.flatnonzero(solid & np.append(True, ~solid)[:-1])
-    chosen = np.fromiter(map(_cuts.__getitem__, words), bool, len(words))
-    stops, end = [], 0
-    for i in np.flatnonzero(kind & 2).tolist():
-        if i >= end and (m := _END.match(text, i)):
-            end = m.end()
-            stops.append(end)
-    return np.unique(np.concatenate([at[1:][chosen[:-1]], np.array([0, *stops, len(text)], np.int64)])), at, odd
+#: One word in so many ends a unit.
+_CUT = 8
+
+
+def _spread(words: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, from sums of powers over all their bytes."""
+    up, down = power_tables(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum((np.frombuffer(words, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(words)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h >> np.uint64(32)
+
+
+class _Parts:
+    """A text's units and words. units: where they begin, and the text's end. flat: its words in one case, parted by spaces; places: where they begin there; before: words before each unit."""
+
+    def __init__(self, text: str):
+        odd = not text.isascii() and _ODD.search(text) is not None
+        if text.isascii():
+            kind = _KIND[np.frombuffer(text.encode(), np.uint8)]
+        else:
+            kind = _KIND[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
+        if odd:
+            found = list(_WORD.finditer(text))
+            words, at = [m[0].casefold() for m in found], np.array([m.start() for m in found], np.int64)
+        else:
+            words = text.casefold().split()
+            solid = kind & 1 == 0
+            at = np.flatnonzero(solid & np.append(True, ~solid)[:-1])
+        self.flat = " ".join(words).encode("utf-8", "surrogatepass")
+        spaces = np.flatnonzero(np.frombuffer(self.flat, np.uint8) == 32)
+        self.places = np.concatenate([[0], spaces + 1, [len(self.flat) + 1]]) if words else np.zeros(1, np.int64)
+        chosen = _spread(self.flat, self.places[:-1], self.places[1:] - 1) % np.uint64(_CUT) == 0
+        stops, end = [], 0
+        for i in np.flatnonzero(kind & 2).tolist():
+            if i >= end and (m := _END.match(text, i)):
+                end = m.end()
+                stops.append(end)
+        self.units = np.unique(np.concatenate([at[1:][chosen[:-1]], np.array([0, *stops, len(text)], np.int64)]))
+        self.before = np.searchsorted(at, self.units)
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -80,26 +86,17 @@ def sentences(text: str) -> list[tuple[int, int]]:
     All are cut after the words that a hash chooses, so that text without full
     stops has units as well and a passage has the same ones in any text.
     """
-    ends = _units(text)[0].tolist()
+    ends = _Parts(text).units.tolist()
     return list(zip(ends, ends[1:]))
 
 
 def _runs(text: str, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Where the sentences begin; of each run its first sentence, the one behind its last, and its hash."""
-    units, at, odd = _units(text)
+    parts = _Parts(text)
+    units, before, places, flat = parts.units, parts.before, parts.places, parts.flat
     n = len(units) - 1
     if n < least_sentences:
         return units, np.empty(0, np.int64), np.empty(0, np.int64), []
-    words = [] if odd else text.casefold().split()
-    before = np.searchsorted(at, units)
-    if odd or len(words) != len(at):
-        ends = units.tolist()
-        parts = [(_WORD.findall if odd else str.split)(text[a:b].casefold()) for a, b in zip(ends, ends[1:])]
-        words = [w for part in parts for w in part]
-        before = np.cumsum([0, *map(len, parts)])
-    flat = " ".join(words).encode("utf-8", "surrogatepass")
-    lens = np.fromiter(map(len, flat.split(b" ")), np.int64) if words else np.empty(0, np.int64)
-    places = np.append(0, np.cumsum(lens + 1))
     full = before[1:] > before[:-1]
     i = np.arange(n)
     end = np.maximum(i + least_sentences, np.searchsorted(before, before[:-1] + least_words))
@@ -124,57 +121,92 @@ def runs(text: str, least_sentences: int, least_words: int) -> tuple[list[tuple[
     return list(zip(ends, ends[1:])), list(zip(i.tolist(), j.tolist(), hashes, strict=True))
 
 
+_HASH = np.dtype([("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")])
+_SPANS = "h1 long, h2 int, doc_id long, row_key long, i int, j int, a int, b int, again boolean"
+
+
 def _list(batches, least_sentences, least_words):
     nothing()
     for batch, texts in text_groups(batches):
-        first, hashes, counts = [np.empty(0, np.int64)], [], []
+        cols: list[list] = [[], [], [], [], [], []]
+        counts = []
         for text in texts:
-            _, i, _, found = _runs(text, least_sentences, least_words)
-            first.append(i)
-            hashes += found
+            units, i, j, found = _runs(text, least_sentences, least_words)
             counts.append(len(i))
-        h = np.frombuffer(b"".join(hashes), np.dtype([("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")]))
+            if not len(i):
+                continue
+            h = np.frombuffer(b"".join(found), _HASH)
+            again = np.ones(len(i), bool)
+            again[np.unique(h["h1"], return_index=True)[1]] = False
+            for col, v in zip(cols, (h, i, j, units[i], units[j], again), strict=True):
+                col.append(v)
+        if not cols[0]:
+            continue
+        h = np.concatenate(cols[0])
         owner = pa.array(np.repeat(np.arange(len(texts)), counts))
-        cols = [pa.array(np.ascontiguousarray(h["h1"])), pa.array(np.ascontiguousarray(h["h2"])), batch.column(0).take(owner), pa.array(np.concatenate(first).astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "doc_id", "start"])
-
-
-def _remove(batches, least_sentences, least_words):
+        numbers = [pa.array(np.concatenate(c).astype(np.int32)) for c in cols[1:5]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.ascontiguousarray(h["h1"])), pa.array(np.ascontiguousarray(h["h2"])), batch.column(0).take(owner), batch.column(1).take(owner), *numbers, pa.array(np.concatenate(cols[5]))],
+            ["h1", "h2", "doc_id", "row_key", "i", "j", "a", "b", "again"],
+        )
+
+
+def _left(text: str, i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[str, int]:
+    """A text without the sentences [i, j), which are its characters [a, b), and the number of sentences that went."""
+    by = np.argsort(i, kind="stable")
+    i, j, a, b = i[by], np.maximum.accumulate(j[by]), a[by], np.maximum.accumulate(b[by])
+    new = np.flatnonzero(np.append(True, i[1:] > j[:-1]))
+    last = np.append(new[1:], len(i)) - 1
+    kept, at = [], 0
+    for begin, end in zip(a[new].tolist(), b[last].tolist(), strict=True):
+        kept.append(text[at:begin])
+        at = end
+    return "".join([*kept, text[at:]]), int((j[last] - i[new]).sum())
+
+
+def _remove(batches, place):
+    """The texts of rows with hits less these; other rows as they are. place: that of text; hits stand last."""
     nothing()
-    for batch, texts in text_groups(batches):
-        hits = batch.column(batch.schema.get_field_index("hits")).to_pylist()
-        kept, removed = [], []
-        for text, hit in zip(texts, hits, strict=True):
-            if not hit:
-                kept.append(text)
-                removed.append(0)
-                continue
-            spans, found = runs(text, least_sentences, least_words)
-            gone = [False] * len(spans)
-            wanted = {(h["start"], h["h2"]) for h in hit}
-            for i, j, h in found:
-                if (i, int.from_bytes(h[8:12], "little", signed=True)) in wanted:
-                    gone[i:j] = [True] * (j - i)
-            kept.append("".join(text[a:b] for (a, b), g in zip(spans, gone, strict=True) if not g))
-            removed.append(sum(gone))
-        at = batch.schema.get_field_index("text")
-        null = batch.column(at).is_null().to_pylist()
-        new = pa.array([None if n else t for n, t in zip(null, kept, strict=True)], pa.string())
-        cols = [new if f.name == "text" else batch.column(i) for i, f in enumerate(batch.schema) if f.name != "hits"]
-        names = [f.name for f in batch.schema if f.name != "hits"]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int32())], [*names, "n_removed"])
-
-
-def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 20) -> DataFrame:
-    """docs with text less its repeated runs, and n_removed, the number of sentences that went."""
-    if not set(docs.columns).isdisjoint({"hits", "n_removed"}):
-        docs = docs.drop("hits", "n_removed")
-    spans = docs.select("doc_id", "text").mapInArrow(lambda b: _list(b, least_sentences, least_words), "h1 long, h2 int, doc_id long, start int")
-    several = spans.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").drop("n")
+    for batch in batches:
+        hits, texts = batch.column(batch.num_columns - 1), batch.column(place)
+        removed = np.zeros(batch.num_rows, np.int32)
+        which = np.flatnonzero(hits.is_valid().to_numpy(zero_copy_only=False))
+        if len(which):
+            ends = hits.offsets.to_numpy()
+            i, j, a, b = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            new = []
+            for k, text in zip(which.tolist(), texts.take(pa.array(which)).to_pylist(), strict=True):
+                at = slice(ends[k], ends[k + 1])
+                text, removed[k] = _left(text, i[at], j[at], a[at], b[at])
+                new.append(text)
+            texts = pc.replace_with_mask(texts, hits.is_valid(), pa.array(new, texts.type))
+        cols = [texts if k == place else batch.column(k) for k in range(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(removed)], [*batch.schema.names[:-1], "n"])
+
+
+def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, count_as: str = "n_removed") -> DataFrame:
+    """docs with text less its repeated runs, and the number of sentences that went as `count_as`, instead of any column of that name.
+
+    The runs are listed once, in a table of the shared folder. Those that come
+    again inside their own text go without a join; the others are grouped by
+    hash, and joined with the least doc_id of hashes that several documents have.
+    """
+    docs = docs.drop(count_as)
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])  # whatever the names are
+    place = docs.columns.index("text")
+    doc_id, text = f"c{docs.columns.index('doc_id')}", f"c{place}"
+    keyed = plain.withColumn("row_key", F.xxhash64(text))  # rows of one doc_id are told apart by their texts
+    spans = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), "row_key", F.col(text).alias("text")).mapInArrow(lambda b: _list(b, least_sentences, least_words), _SPANS)
+    spans = cut(spans, "spans")
+    order = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    once = spans.where("not again")
+    several = once.groupBy("h1", "h2").agg(F.min(order).alias("least"), F.max(order).alias("most")).where("least < most").drop("most")
     several = cut(several, "several")  # read back, so that both sides of the join have an exchange of their own and hot runs are split
-    later = spans.join(several, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")) | F.col("first.doc_id").isNull())
-    hits = cut(later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "h2")).alias("hits")), "hits")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.join(hits.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "hits").mapInArrow(
-        lambda b: _remove(b, least_sentences, least_words), f"{fields}, n_removed int"
-    )
+    later = once.join(several, ["h1", "h2"]).where(order > F.col("least"))
+    hit = lambda df: df.select("doc_id", "row_key", F.struct("i", "j", "a", "b").alias("hit"))
+    hits = hit(later).unionByName(hit(spans.where("again"))).groupBy("doc_id", "row_key").agg(F.collect_list("hit").alias("hits"))
+    hits = cut(hits.withColumnRenamed("row_key", "key"), "hits").hint("shuffle_hash")
+    fields = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
+    full = keyed.join(hits, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("row_key") == F.col("key")), "left").select(*plain.columns, "hits")
+    out = full.mapInArrow(lambda b: _remove(b, place), f"{fields}, n int")
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.col("n").alias(count_as))
