@@ -37,7 +37,7 @@ _KIND = np.zeros(0x10000, np.uint8)
 _KIND[[c for c in range(0xFFFF) if chr(c).isspace()]] = 1
 _KIND[[ord(c) for c in ".!?…。！？｡\n"]] |= 2
 #: One word in so many ends a unit.
-_CUT = 8
+_CUT = 16
 
 
 def _spread(words: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -122,46 +122,48 @@ def runs(text: str, least_sentences: int, least_words: int) -> tuple[list[tuple[
 
 
 _HASH = np.dtype([("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")])
-_SPANS = "h1 long, h2 int, doc_id long, row_key long, i int, j int, a int, b int, again boolean"
+_SPANS = "h1 long, h2 int, doc_id long, row int, a int, b int, again boolean"
 
 
 def _list(batches, least_sentences, least_words):
+    """The runs of each text: hash, row, the characters [a, b), and whether the same run began before in this text."""
     nothing()
     for batch, texts in text_groups(batches):
-        cols: list[list] = [[], [], [], [], [], []]
+        hashes: list[bytes] = []
+        cols: list[list] = [[], [], []]
         counts = []
         for text in texts:
             units, i, j, found = _runs(text, least_sentences, least_words)
             counts.append(len(i))
             if not len(i):
                 continue
-            h = np.frombuffer(b"".join(found), _HASH)
             again = np.ones(len(i), bool)
-            again[np.unique(h["h1"], return_index=True)[1]] = False
-            for col, v in zip(cols, (h, i, j, units[i], units[j], again), strict=True):
+            again[np.unique(np.frombuffer(b"".join(found), _HASH)["h1"], return_index=True)[1]] = False
+            hashes += found
+            for col, v in zip(cols, (units[i], units[j], again), strict=True):
                 col.append(v)
-        if not cols[0]:
+        if not hashes:
             continue
-        h = np.concatenate(cols[0])
+        h = np.frombuffer(b"".join(hashes), _HASH)
         owner = pa.array(np.repeat(np.arange(len(texts)), counts))
-        numbers = [pa.array(np.concatenate(c).astype(np.int32)) for c in cols[1:5]]
+        a, b, again = (np.concatenate(c) for c in cols)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(h["h1"])), pa.array(np.ascontiguousarray(h["h2"])), batch.column(0).take(owner), batch.column(1).take(owner), *numbers, pa.array(np.concatenate(cols[5]))],
-            ["h1", "h2", "doc_id", "row_key", "i", "j", "a", "b", "again"],
+            [pa.array(np.ascontiguousarray(h["h1"])), pa.array(np.ascontiguousarray(h["h2"])), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(again)],
+            ["h1", "h2", "doc_id", "row", "a", "b", "again"],
         )
 
 
-def _left(text: str, i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[str, int]:
-    """A text without the sentences [i, j), which are its characters [a, b), and the number of sentences that went."""
-    by = np.argsort(i, kind="stable")
-    i, j, a, b = i[by], np.maximum.accumulate(j[by]), a[by], np.maximum.accumulate(b[by])
-    new = np.flatnonzero(np.append(True, i[1:] > j[:-1]))
-    last = np.append(new[1:], len(i)) - 1
+def _left(text: str, a: np.ndarray, b: np.ndarray) -> tuple[str, int]:
+    """A text without its characters [a, b), and how many went."""
+    by = np.argsort(a, kind="stable")
+    a, b = a[by], np.maximum.accumulate(b[by])
+    new = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
+    begins, ends = a[new], b[np.append(new[1:], len(a)) - 1]
     kept, at = [], 0
-    for begin, end in zip(a[new].tolist(), b[last].tolist(), strict=True):
+    for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
         kept.append(text[at:begin])
         at = end
-    return "".join([*kept, text[at:]]), int((j[last] - i[new]).sum())
+    return "".join([*kept, text[at:]]), int((ends - begins).sum())
 
 
 def _remove(batches, place):
@@ -172,12 +174,11 @@ def _remove(batches, place):
         removed = np.zeros(batch.num_rows, np.int32)
         which = np.flatnonzero(hits.is_valid().to_numpy(zero_copy_only=False))
         if len(which):
-            ends = hits.offsets.to_numpy()
-            i, j, a, b = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            at = hits.offsets.to_numpy()
+            a, b = (hits.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
             new = []
             for k, text in zip(which.tolist(), texts.take(pa.array(which)).to_pylist(), strict=True):
-                at = slice(ends[k], ends[k + 1])
-                text, removed[k] = _left(text, i[at], j[at], a[at], b[at])
+                text, removed[k] = _left(text, a[at[k] : at[k + 1]], b[at[k] : at[k + 1]])
                 new.append(text)
             texts = pc.replace_with_mask(texts, hits.is_valid(), pa.array(new, texts.type))
         cols = [texts if k == place else batch.column(k) for k in range(batch.num_columns - 1)]
@@ -185,7 +186,7 @@ def _remove(batches, place):
 
 
 def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 20, count_as: str = "n_removed") -> DataFrame:
-    """docs with text less its repeated runs, and the number of sentences that went as `count_as`, instead of any column of that name.
+    """docs with text less its repeated runs, and the number of characters that went as `count_as`, instead of any column of that name.
 
     The runs are listed once, in a table of the shared folder. Those that come
     again inside their own text go without a join; the others are grouped by
@@ -195,18 +196,18 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])  # whatever the names are
     place = docs.columns.index("text")
     doc_id, text = f"c{docs.columns.index('doc_id')}", f"c{place}"
-    keyed = plain.withColumn("row_key", F.xxhash64(text))  # rows of one doc_id are told apart by their texts
-    spans = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), "row_key", F.col(text).alias("text")).mapInArrow(lambda b: _list(b, least_sentences, least_words), _SPANS)
+    keyed = plain.withColumn("row", F.hash(text))  # rows of one doc_id are told apart by their texts
+    spans = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), "row", F.col(text).alias("text")).mapInArrow(lambda b: _list(b, least_sentences, least_words), _SPANS)
     spans = cut(spans, "spans")
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     once = spans.where("not again")
     several = once.groupBy("h1", "h2").agg(F.min(order).alias("least"), F.max(order).alias("most")).where("least < most").drop("most")
     several = cut(several, "several")  # read back, so that both sides of the join have an exchange of their own and hot runs are split
     later = once.join(several, ["h1", "h2"]).where(order > F.col("least"))
-    hit = lambda df: df.select("doc_id", "row_key", F.struct("i", "j", "a", "b").alias("hit"))
-    hits = hit(later).unionByName(hit(spans.where("again"))).groupBy("doc_id", "row_key").agg(F.collect_list("hit").alias("hits"))
-    hits = cut(hits.withColumnRenamed("row_key", "key"), "hits").hint("shuffle_hash")
+    hit = lambda df: df.select("doc_id", "row", F.struct("a", "b").alias("hit"))
+    hits = hit(later).unionByName(hit(spans.where("again"))).groupBy("doc_id", "row").agg(F.collect_list("hit").alias("hits"))
+    hits = cut(hits.withColumnRenamed("row", "key"), "hits").hint("shuffle_hash")
     fields = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
-    full = keyed.join(hits, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("row_key") == F.col("key")), "left").select(*plain.columns, "hits")
+    full = keyed.join(hits, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("row") == F.col("key")), "left").select(*plain.columns, "hits")
     out = full.mapInArrow(lambda b: _remove(b, place), f"{fields}, n int")
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.col("n").alias(count_as))
