@@ -2,25 +2,29 @@
 
 A page is taken apart into blocks of text between block-level tags. A block is
 described by its number of words and its link density, those of the blocks
-before and after it, and by what it stands in; a decision tree, trained on a
-small labelled table (html_labelled.py), keeps it or drops it.
+before and after it, the share of the page's words that its container holds, and
+by what it stands in: HTML's own elements, and as a weak hint the parts of class
+names; a decision tree, trained on a small labelled table (html_labelled.py), keeps
+it or drops it.
 
-Null and empty pages have the empty text. Missing end tags, stray tags and
-unclosed comments are borne with.
+Null and empty pages have the empty text; equal page_ids are each answered, a null
+page_id stays null. Missing end tags, stray tags and unclosed comments are borne with.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_labelled import PAGES
+from .html_labelled import pages
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
@@ -33,45 +37,58 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _WALLS = frozenset("ul ol dl table menu nav div section article aside body".split())
-_OFF_TAGS = frozenset("nav aside footer form menu dialog fieldset label".split())
+#: HTML's own elements for what isn't the article; a header is one of them outside an article only.
+_OFF_TAGS = frozenset("nav aside footer menu dialog fieldset label".split())
 _MAIN_TAGS = frozenset(("article", "main"))
+_HOLDS = frozenset("div section td body li details".split())
 _ATTR = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_PART = re.compile(r"[A-Z]?[a-zà-ÿ]+|[A-Z]+")
+#: Parts of names that hint at something else than the article, and parts that say nothing.
 _OFF_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu topbar toolbar breadcrumb breadcrumbs sidebar rail footer colophon masthead header cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login signin register comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations trending widget pagination pager copyright legal disclaimer skip search form paywall contentinfo complementary".split()
 )
-_MAIN_WORDS = frozenset("article content entry post story main body text maincontent articlebody postcontent".split())
-_HARD = frozenset("comment comments commentlist reply replies respond ad ads advert advertisement sidebar cookie notice".split())
-
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "off", "main", "heading", "has_main", "item")
-
-
-def _cues(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element stands for something else than the article, and whether it stands for it."""
-    off, main = tag in _OFF_TAGS, tag in _MAIN_TAGS
-    if attrs and "=" in attrs:
-        words: set[str] = set()
-        for m in _ATTR.finditer(attrs):
-            words.update(w.lower() for w in _PART.findall(m[2] or m[3] or m[4] or ""))
-        if words:
-            has_main = not words.isdisjoint(_MAIN_WORDS)
-            if tag not in ("body", "html") and not words.isdisjoint(_OFF_WORDS) and not (has_main or tag in _MAIN_TAGS) or not words.isdisjoint(_HARD) and tag not in ("body", "html", "main") and not (has_main and "sidebar" in words):
-                off = True
-            elif has_main and tag in ("div", "section", "td"):
-                main = True
-    if attrs and _HIDDEN.search(attrs):
-        off = True
-    return off, main
+_EMPTY_WORDS = frozenset("box wrap wrapper container inner outer block area section item list top bottom left right unit slot bar site page wide small large buttons icons".split())
+_NAMED_MAIN = frozenset("article content entry post story main maincontent articlebody".split())
+
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "has_article", "held", "held_above", "off", "hint", "heading", "item")
+
+
+def _hint(attrs: str) -> tuple[float, bool]:
+    """How far an element's names hint at something else than the article: of the parts of one name that say anything, the share that does; and whether one names the article."""
+    most, main = 0.0, False
+    for m in _ATTR.finditer(attrs):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = [w.lower() for w in _PART.findall(name)]
+            parts = [w for w in parts if w not in _EMPTY_WORDS]
+            if parts:
+                most = max(most, sum(w in _OFF_WORDS for w in parts) / len(parts))
+                main = main or all(w in _NAMED_MAIN for w in parts)
+    return most, main
+
+
+class _Open(NamedTuple):
+    """An open element, with what it has from those around it."""
+
+    tag: str
+    off: bool = False
+    form: bool = False
+    hint: float = 0.0
+    article: int = -1  # number of the outermost article element, -1 for none
+    main: bool = False
+    holder: int = 0  # number of the nearest container, and of the one around it
+    above: int = -1
 
 
 def blocks(page: str) -> list[dict]:
-    """The text blocks of a page in order: text, words, linked words, off, main, heading, item."""
+    """The text blocks of a page in order: text, words, linked words, and what they stand in."""
     out: list[dict] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[_Open] = [_Open("")]
+    count: Counter = Counter()
+    shut_from: dict[str, bool] = {}
     buf: list[str] = []
     linked: list[str] = []
-    in_link = 0
+    in_link = numbers = 0
     at, n = 0, len(page)
 
     def flush():
@@ -79,11 +96,11 @@ def blocks(page: str) -> list[dict]:
             return
         text = " ".join(html.unescape("".join(buf)).split())
         if text:
+            top = stack[-1]
             links = len(html.unescape(" ".join(linked)).split())
-            tags = [s[0] for s in stack]
             out.append({
-                "text": text, "words": len(text.split()), "linked": links, "off": any(s[1] for s in stack), "main": any(s[2] for s in stack),
-                "heading": bool(tags) and tags[-1] in ("h1", "h2", "h3", "h4", "h5", "h6"), "item": "li" in tags[-2:],
+                "text": text, "words": len(text.split()), "linked": links, "off": top.off or top.form, "hint": top.hint, "article": top.article, "main": top.main,
+                "holder": top.holder, "above": top.above, "heading": top.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), "item": "li" in (top.tag, stack[-2].tag if len(stack) > 1 else ""),
             })
         buf.clear()
         linked.clear()
@@ -93,6 +110,11 @@ def blocks(page: str) -> list[dict]:
         if in_link:
             linked.append(piece)
 
+    def close(i: int):
+        for gone in stack[i:]:
+            count[gone.tag] -= 1
+        del stack[i:]
+
     for m in _TOKEN.finditer(page):
         start = m.start()
         if start < at:
@@ -109,8 +131,10 @@ def blocks(page: str) -> list[dict]:
         if tag in _RAW:
             if end or attrs.endswith("/"):
                 continue
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else (n if tag in ("script", "style") else at)
+            found = None if shut_from.get(tag) else _closing(tag).search(page, at)
+            if not found:
+                shut_from[tag] = True  # nor is there one further on
+            at = found.end() if found else (n if tag in ("script", "style") else at)
             add(" ")
             continue
         if tag == "a":
@@ -121,50 +145,84 @@ def blocks(page: str) -> list[dict]:
             continue
         if tag == "hr" or tag in _BLOCK:
             flush()
-        elif tag not in ("div",):
+        else:
             if tag == "head" and end:
                 buf.clear()
             continue
         if tag in _VOID:
             continue
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if count[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close(i)
             in_link = 0 if tag != "p" else in_link
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
+        if stack[-1].tag == "p":
+            close(len(stack) - 1)
         shut = _CLOSES.get(tag)
-        if shut:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shut:
-                    del stack[i:]
+        if shut and any(count[t] for t in shut):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in shut:
+                    close(i)
                     break
-                if stack[i][0] in _WALLS:
+                if stack[i].tag in _WALLS:
                     break
-        stack.append((tag, *_cues(tag, attrs)))
-        if len(stack) > 4000:
-            del stack[1000:3000]
+        up = stack[-1]
+        named, main = _hint(attrs) if attrs and "=" in attrs and tag not in ("body", "html") else (0.0, False)
+        inside = tag in _MAIN_TAGS or main and tag in ("div", "section", "td")
+        off = up.off or tag in _OFF_TAGS or tag == "header" and up.article < 0 and not up.main or bool(attrs and _HIDDEN.search(attrs))
+        numbers += 1
+        stack.append(_Open(
+            tag, off, (up.form or tag == "form") and tag not in _MAIN_TAGS, max(up.hint, named), numbers if up.article < 0 and inside and tag != "main" else up.article,
+            up.main or inside, *((numbers, up.holder) if tag in _HOLDS or inside else (up.holder, up.above)),
+        ))
+        count[tag] += 1
     if at < n:
         add(page[at:])
     flush()
     return out
 
 
+@cache
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
+
+
 def features(found: list[dict]) -> np.ndarray:
-    """One row of FEATURES for each block."""
+    """One row of FEATURES for each block.
+
+    article: 0 outside an article element; inside, its share of the words in such
+    elements, those of main outside any article taken together. held, held_above:
+    the share of the page's unlinked words in the nearest container and in the one
+    around it (0 for the whole page).
+    """
     n = len(found)
     if not n:
         return np.empty((0, len(FEATURES)))
-    words = np.array([b["words"] for b in found], float)
-    links = np.array([b["linked"] for b in found], float) / words
     col = lambda k: np.array([b[k] for b in found], float)
+    words, linked = col("words"), col("linked")
+    links = linked / words
     before, after = lambda x: np.append(0.0, x[:-1]), lambda x: np.append(x[1:], 0.0)
-    off, main = col("off"), col("main")
-    has = np.full(n, float(((main > 0) & (off == 0)).any()))
-    return np.stack([words, links, before(words), before(links), after(words), after(links), off, main, col("heading"), has, col("item")], axis=1)
+    off, hint = col("off"), col("hint")
+    group = np.array([b["article"] if b["article"] >= 0 else (0 if b["main"] else -1) for b in found])
+    inside = (group >= 0) & (off == 0) & (hint <= 0.5)
+    _, of = np.unique(group, return_inverse=True)
+    share = np.bincount(of, np.where(inside, words, 0))
+    article = np.where(group >= 0, share[of] / max(1.0, words[inside].sum()), 0.0)
+    plain = np.maximum(words - linked, 0)
+    total = max(1.0, plain.sum())
+    held: Counter = Counter()
+    up = {b["holder"]: b["above"] for b in found}
+    for b, w in zip(found, plain.tolist(), strict=True):
+        held[b["holder"]] += w
+    own = dict(held)
+    for h, a in up.items():  # a container holds what the containers in it hold, one level down
+        held[a] += own[h]
+    near = np.array([held[b["holder"]] / total for b in found])
+    above = np.array([held[b["above"]] / total if b["above"] > 0 else 0.0 for b in found])
+    return np.stack([words, links, before(words), before(links), after(words), after(links), article, np.full(n, float(inside.any())), near, above, off, hint, col("heading"), col("item")], axis=1)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
@@ -189,11 +247,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
 def labelled() -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the blocks of the labelled pages; a block's text begins with + if it belongs to the article, with - if not."""
     xs, ys = [], []
-    for page in PAGES:
+    for page in pages():
         found = blocks(page)
-        for b in found:
-            if b["text"][0] not in "+-":
-                raise ValueError(f"no label: {b['text']}")
         ys += [b["text"][0] == "+" for b in found]
         xs.append(features(found))
     return np.concatenate(xs), np.array(ys, float)
@@ -226,7 +281,7 @@ def _extract(batches, tree):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row of pages (page_id, url, html)."""
+def extract(table: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars of every row of table (page_id, url, html); other columns are left out."""
     tree = trained()
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(lambda b: _extract(b, tree), "page_id long, url string, text string, n_chars long")
+    return table.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(lambda b: _extract(b, tree), "page_id long, url string, text string, n_chars long")
