@@ -438,19 +438,59 @@ def test_sentence_spans_in_any_script_and_host(spark):
     assert len(left & set(passage.split())) <= 26 and not left & set(passage.split()[26:40])
 
 
-def test_rollup(spark, docs, tmp_path):
+def _counts(texts, path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    return [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+
+
+def test_rollup(spark, docs, empty, tmp_path):
+    other = public_tokenizers.path("byte_bpe_50k.json")
     r = token_rollup.Rollup(spark, f"file://{tmp_path}/roll")
     assert r.read().count() == 0
-    old, new = token_rollup.counted(docs, "words-1"), token_rollup.counted(docs, "pieces-2")
+    old, new = token_rollup.counted(docs, "word", PATH), token_rollup.counted(docs, "byte", other)
+    assert token_rollup.counted(empty, "word", PATH).count() == 0
+    sums = {"word": _counts(TEXTS, PATH), "byte": _counts(TEXTS, other)}
+
+    def want(inserted, version):
+        out = {}
+        for i in inserted:
+            key = (None if i % 7 == 0 else f"s{i % 2}", ("en", "fr", None)[i % 3], version)
+            n, t, c = out.get(key, (0, 0, 0))
+            out[key] = (n + 1, t + sums[version][i], c + len(TEXTS[i] or ""))
+        return out
+
+    got = lambda: {(x.source, x.lang, x.version): (x.docs, x.tokens, x.chars) for x in r.read().collect()}
     assert r.commit(0, token_rollup.signed(old, 1)) and not r.commit(0, token_rollup.signed(old, 1))
-    whole = {(x.source, x.lang): (x.docs, x.tokens) for x in r.read().collect()}
-    assert sum(d for d, _ in whole.values()) == len(TEXTS) and (None, "en") in whole
-    assert sum(t for _, t in whole.values()) == sum(len(re.findall(r"[^ \t\n\r]+", t or "")) for t in TEXTS)
-    assert r.commit(1, token_rollup.signed(old, -1).unionByName(token_rollup.signed(new, 1)))
+    assert got() == want(range(len(TEXTS)), "word")
+    assert r.commit(1, token_rollup.signed(old.where("doc_id >= 60"), -1))
+    assert got() == want(range(20), "word")
+    assert r.commit(2, token_rollup.signed(old.where("doc_id < 60"), -1).unionByName(token_rollup.signed(new.where("doc_id < 60"), 1)))
+    assert got() == want(range(20), "byte")
+    r.compact()
+    assert not r.commit(1, token_rollup.signed(old, -1)) and r.batches() == [(0, 2)] and got() == want(range(20), "byte")
+    assert r.commit(3, token_rollup.signed(new.where("doc_id < 60"), -1)) and r.read().count() == 0
+
+
+def test_rollup_takes_batches_in_any_order_and_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    rows = spark.createDataFrame([(1, "s", "en", "w", 5, 9), (2, "s", None, "w", 3, 4)], "doc_id long, source string, lang string, version string, tokens long, chars long")
+    one = token_rollup.signed(rows, 1)
+    r = token_rollup.Rollup(spark, f"file://{tmp_path}/late")
+    assert r.commit(0, one) and r.commit(2, one)
+    r.compact()
+    assert r.batches() == [(0, 0), (2, 2)] and r.commit(1, one) and not r.commit(2, one)
+    assert sorted(x.docs for x in r.read().collect()) == [3, 3]
+    r.compact()
+    assert r.batches() == [(0, 2)] and not r.commit(1, one) and sorted(x.tokens for x in r.read().collect()) == [9, 15]
+    with ThreadPoolExecutor(4) as pool:  # several writers of one batch, as retries are
+        done = list(pool.map(lambda _: token_rollup.Rollup(spark, f"file://{tmp_path}/late").commit(7, one), range(4)))
+    assert sum(done) >= 1 and sorted(x.docs for x in r.read().collect()) == [4, 4] and r.batches() == [(0, 2), (7, 7)]
     r.compact()
-    assert not r.commit(1, token_rollup.signed(old, -1)) and r.batches() == ["base=000000000001"]
-    assert {x.version for x in r.read().collect()} == {"pieces-2"}
-    assert r.commit(2, token_rollup.signed(new, -1)) and r.read().count() == 0
+    assert sorted(x.docs for x in r.read().collect()) == [4, 4]
 
 
 def test_pipeline(spark, tmp_path):
