@@ -5,7 +5,9 @@ bits of each. Every distinct fingerprint emits all its variants within r; those
 that meet at a variant are linked to the smallest of them after their distance
 is verified, and the links' connected components are the groups.
 
-Empty and null texts have the fingerprint zero, like any text without words.
+Empty and null texts have the fingerprint zero, like any text without words. Rows of
+equal doc_id are each answered; a null doc_id stays null and names no group, so a
+group that only such rows are in has a null component_id.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from .components import components
 from .frames import cut
 from .kept import nothing
 
+#: Variants that one task emits, about.
+VARIANTS = 1_000_000
+
 _hash = partial(xxhash.xxh64_digest, seed=42)
 
 
@@ -69,7 +74,10 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """
     half = (radius + 1) // 2
     masks = F.array(*[F.lit(m) for m in _masks(half)])
-    balls = fps.select("fp").distinct().select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("v"))
+    each = cut(fps.select("fp").distinct(), "distinct")
+    # as many tasks as some million variants each take, whatever the partitions were merged to
+    tasks = max(1, -(-each.count() * len(_masks(half)) // VARIANTS))
+    balls = each.repartition(tasks, "fp").select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("v"))
     met = balls.groupBy("v").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select(F.array_sort("fps").alias("fps"))
     if radius % 2 == 0:  # all at a variant are within the radius of each other: the smallest stands for them
         pairs = met.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, len(_masks(half)))).alias("b"))
