@@ -10,6 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The form of the JSON, and of the hash, that ids are made from.
+
+
 def canonical_json(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
 

@@ -11,6 +11,9 @@ from ..functions.identity import anchor_id, result_id
 from ..functions.tri import FAIL, UNKNOWN
 from ..sources.tables import ANCHOR, KEYS
 
+#: Frames of one bucket in which intervals and anchors meet.
+BUCKET = 256
+
 
 def extracted(anchors: DataFrame) -> DataFrame:
     """One row for each anchor: ids derived anew, the first of equal ones kept."""
@@ -30,11 +33,15 @@ def trace(anchors: DataFrame, predicate_id: str, evaluations: DataFrame) -> Data
 def interval_trace(anchors: DataFrame, predicate_id: str, intervals: DataFrame) -> DataFrame:
     """The status of the interval that covers an anchor's frame; UNKNOWN where none does.
 
-    Intervals are brought to their frames, so the join is on equal frames.
+    Both sides meet in buckets of BUCKET frames: an interval has a row for each
+    bucket that it touches, an anchor one.
     """
-    at = intervals.select(*KEYS, "predicate_status", F.explode(F.sequence("start_frame_id", "end_frame_id")).alias("anchor_frame_id"))
-    at = at.groupBy(*KEYS, "anchor_frame_id").agg(F.min("predicate_status").alias("s"))
-    out = anchors.select(*ANCHOR, "anchor_frame_id").join(at, [*KEYS, "anchor_frame_id"], "left")
+    bucket = lambda c: F.floor(F.col(c) / BUCKET)
+    spread = intervals.select(*KEYS, "predicate_status", "start_frame_id", "end_frame_id", F.explode(F.sequence(bucket("start_frame_id"), bucket("end_frame_id"))).alias("_b"))
+    own = anchors.select(*ANCHOR, "anchor_frame_id")
+    at = own.withColumn("_b", bucket("anchor_frame_id")).join(spread, [*KEYS, "_b"]).where(F.col("anchor_frame_id").between(F.col("start_frame_id"), F.col("end_frame_id")))
+    at = at.groupBy(*ANCHOR).agg(F.min("predicate_status").alias("s"))
+    out = own.join(at, list(ANCHOR), "left")
     return out.select(*ANCHOR, "anchor_frame_id", F.lit(predicate_id).alias("predicate_id"), F.coalesce("s", F.lit(UNKNOWN)).alias("predicate_status"), F.lit(None).cast("string").alias("predicate_value"))
 
 
@@ -84,14 +91,28 @@ def project(results: DataFrame, evidence: Sequence[tuple[DataFrame, str, str, bo
 
 def ordered(results: DataFrame, match_ids: Sequence[str] | None, plan_hash: str, max_results: int) -> DataFrame:
     """The first results: by the invocation's order of matches, then period, frame, label and id."""
-    at = F.array_position(F.array(*[F.lit(m) for m in match_ids]), F.col("match_id")) if match_ids else F.lit(0)
-    r = results.withColumns({"result_id": result_id(plan_hash), "_m": at})
+    r = results.withColumn("result_id", result_id(plan_hash))
+    if match_ids:
+        places = r.sparkSession.createDataFrame([(m, i) for i, m in enumerate(dict.fromkeys(match_ids))], "match_id string, _m int")
+        r = r.join(places, "match_id", "left")
+    else:
+        r = r.withColumn("_m", F.lit(0))
     return r.orderBy("_m", *KEYS, "anchor_frame_id", "classification", "anchor_id").limit(max_results).drop("_m")
 
 
-def too_many_relations(episodes: DataFrame, most: int) -> DataFrame:
-    """Anchors with more relations than the plan allows."""
-    return episodes.groupBy(*ANCHOR).count().where(F.col("count") > most)
+def limited_relations(episodes: DataFrame, most: int, node_id: str) -> DataFrame:
+    """episodes; reading one of an anchor that has more than the plan allows is an error."""
+    n = F.count("*").over(Window.partitionBy(*ANCHOR))
+    said = F.concat(F.lit(f"{node_id} exceeded max_relations_per_anchor={most}: anchor "), F.col("anchor_id"), F.lit(" has "), F.col("_n").cast("string"))
+    return episodes.withColumn("_n", n).where(F.when(F.col("_n") > most, F.raise_error(said).cast("boolean")).otherwise(True)).drop("_n")
+
+
+def limited_counts(evaluations: DataFrame, most: int, node_id: str) -> DataFrame:
+    """evaluations; reading one with a relation_count beyond what the plan allows is an error."""
+    if "relation_count" not in evaluations.columns:
+        return evaluations
+    said = F.concat(F.lit(f"{node_id} exceeded max_relations_per_anchor={most}: anchor "), F.col("anchor_id"), F.lit(" has "), F.col("relation_count").cast("string"))
+    return evaluations.where(F.when(F.col("relation_count") > most, F.raise_error(said).cast("boolean")).otherwise(True))
 
 
 def proof_selection(results: DataFrame, overall: int = 16, per_match: int = 5) -> DataFrame:
@@ -104,11 +125,16 @@ def proof_selection(results: DataFrame, overall: int = 16, per_match: int = 5) -
     return r.orderBy("_k", "match_id", "period", "anchor_frame_id", "anchor_id").limit(overall).drop("_first", "_k")
 
 
-def inspect_target(anchors: DataFrame, traces: DataFrame, results: DataFrame, match_id: str, period: str, time_ms: int, radius_ms: int, frame_rate_hz: int = 25) -> DataFrame:
-    """The anchor nearest to a time within a radius: MATCH, NON_MATCH or NO_COMPATIBLE_ANCHOR, with its traces."""
+def inspect_target(anchors: DataFrame, traces: DataFrame, results: DataFrame, match_id: str, period: str, time_ms: int, radius_ms: int, frames: DataFrame, frame_rate_hz: int = 25) -> DataFrame:
+    """The anchor nearest to a time within a radius: MATCH, NON_MATCH or NO_COMPATIBLE_ANCHOR, with its traces.
+
+    Times count from the first of the period's frames (match_id, period, frame_id).
+    """
     spark = anchors.sparkSession
-    ms = F.col("anchor_frame_id") * (1000.0 / frame_rate_hz)
-    near = anchors.where((F.col("match_id") == match_id) & (F.col("period") == period) & (F.abs(ms - time_ms) <= radius_ms)).select(*ANCHOR, "anchor_frame_id", F.abs(ms - time_ms).alias("distance_ms"))
+    here = lambda df: df.where((F.col("match_id") == match_id) & (F.col("period") == period))
+    first = here(frames).groupBy(*KEYS).agg(F.min("frame_id").alias("_first"))
+    ms = (F.col("anchor_frame_id") - F.col("_first")) * (1000.0 / frame_rate_hz)
+    near = here(anchors).join(first, list(KEYS)).where(F.abs(ms - time_ms) <= radius_ms).select(*ANCHOR, "anchor_frame_id", F.abs(ms - time_ms).alias("distance_ms"))
     near = near.orderBy("distance_ms", "anchor_frame_id", "anchor_id").limit(1)
     hit = near.join(results.select(*ANCHOR, "classification").distinct(), list(ANCHOR), "left").join(statuses(traces), list(ANCHOR), "left")
     hit = hit.withColumn("target_status", F.when(F.col("classification").isNotNull(), "MATCH").otherwise("NON_MATCH"))

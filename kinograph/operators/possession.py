@@ -43,8 +43,8 @@ def transition_anchor(scope: Scope, transition_type: str = "regain", minimum_pri
         a = structured_zone(scope, a, "anchor_frame_id", zone_filter, zone_boundary_buffer_m)
         gates += [(F.col("zone_status") == UNKNOWN, UNKNOWN, "zone_unknown"), (F.col("zone_status") == FAIL, FAIL, "outside_zone")]
     status, reason = cascade(gates, PASS, "transition")
-    a = put(a, transition_status=status, transition_reason=reason, minimum_prior_possession_seconds=F.lit(float(minimum_prior_possession_seconds)), transition_match_time_ms=(F.col("anchor_frame_id") * (1000 / scope.frame_rate_hz)).cast("long"))
-    return a.drop("frame_id", "idx", "role", "alive", "ball_x", "ball_y")
+    a = put(a, transition_status=status, transition_reason=reason, minimum_prior_possession_seconds=F.lit(float(minimum_prior_possession_seconds)))
+    return scope.timed(a, transition_match_time_ms="anchor_frame_id").drop("frame_id", "idx", "role", "alive", "ball_x", "ball_y")
 
 
 def structured_zone(scope: Scope, anchors: DataFrame, frame_field: str = "anchor_frame_id", zone_name: str = "own_half", zone_boundary_buffer_m: float = 0.5) -> DataFrame:

@@ -164,7 +164,7 @@ class Host:
 
     def explain_non_match(self, execution_id: str, match_id: str, period: str, time_ms: int, radius_ms: int) -> dict:
         run = self._run(execution_id)
-        return emission.inspect_target(run.anchors, run.traces, run.results, match_id, period, time_ms, radius_ms).first().asDict(recursive=True)
+        return emission.inspect_target(run.anchors, run.traces, run.results, match_id, period, time_ms, radius_ms, self.tables.frames if self.tables.frames is not None else self.tables.ball_state).first().asDict(recursive=True)
 
     def replay(self, match_id: str, period: str, start: int, end: int) -> DataFrame:
         return replay_window(self.tables.positions, match_id, period, start, end)

@@ -145,7 +145,11 @@ def compile_plan(plan: BoundPlan, tables: Tables) -> Execution:
         if key not in by_key:
             if isinstance(n, CatalogNode):
                 inputs = {name: _output(done, r.source_node_id, r.output_name) for name, r in n.inputs.items()}
-                by_key[key] = OPERATORS[n.catalog_ref](scope, inputs, {k: _whole(v) for k, v in bound.parameters.items()})
+                made = OPERATORS[n.catalog_ref](scope, inputs, {k: _whole(v) for k, v in bound.parameters.items()})
+                if n.kind == "relation" and "episodes" in made:
+                    most = plan.draft.complexity_limits.max_relations_per_anchor
+                    made = made | {"episodes": emission.limited_relations(made["episodes"], most, n.node_id), "anchor_evaluations": emission.limited_counts(made["anchor_evaluations"], most, n.node_id)}
+                by_key[key] = made
             else:
                 by_key[key] = {"predicate": _predicate(scope, bound, done, signals)}
         done[n.node_id] = by_key[key]

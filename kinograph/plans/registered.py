@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.islands import hysteresis, spaced
+from ..functions.islands import hysteresis, spaced_rows
 from ..operators import actions, compose, emission, geometry, lines, possession, predicates, relations
 from ..sources import build
+from ..sources.shared import scratch
 from ..sources.driver_views import pass_scope, pass_sql, signal_scope, sql_of, tracking_scope
 from . import recipes
 
@@ -181,8 +182,7 @@ WITH RECURSIVE r AS (SELECT match_id, min(frame_id) AS frame_id FROM sig WHERE e
 SELECT n.match_id, n.f FROM (SELECT r.match_id, (SELECT min(s.frame_id) FROM sig s WHERE s.match_id = r.match_id AND s.event_type = 'purchase' AND s.frame_id - r.frame_id >= 8) AS f FROM r) n WHERE n.f IS NOT NULL) SELECT * FROM r) t""")
 def greedy_dedupe(spark, sf_dir):
     _, sig = signal_scope(spark, sf_dir)
-    kept = sig.where("event_type = 'purchase'").groupBy("match_id").agg(spaced(F.array_sort(F.collect_set("frame_id")), F.lit(8)).alias("k"))
-    return kept.select("match_id", F.explode("k").alias("entry_frame_id"))
+    return spaced_rows(sig.where("event_type = 'purchase'"), ["match_id"], "frame_id", 8).withColumnRenamed("frame_id", "entry_frame_id")
 
 
 @query(
@@ -233,14 +233,17 @@ def count_at_least(spark, sf_dir):
 _RULES = [("SOME", ["any"]), ("MANY", ["any", "two"]), ("NONE", ["none"])]
 
 
+def _rule_traces(sig):
+    a, ev = _click_or_signup(sig), _evaluations(sig)
+    any_ = predicates.exists(a, ev)
+    none = any_.withColumn("predicate_status", F.when(F.col("predicate_status") == "PASS", "FAIL").when(F.col("predicate_status") == "FAIL", "PASS").otherwise(F.col("predicate_status")))
+    return emission.trace(a, "any", any_).unionByName(emission.trace(a, "two", predicates.count_at_least(a, ev, 2))).unionByName(emission.trace(a, "none", none))
+
+
 def _classified(policy):
     def run(spark, sf_dir):
         _, sig = signal_scope(spark, sf_dir)
-        a, ev = _click_or_signup(sig), _evaluations(sig)
-        any_ = predicates.exists(a, ev)
-        none = any_.withColumn("predicate_status", F.when(F.col("predicate_status") == "PASS", "FAIL").when(F.col("predicate_status") == "FAIL", "PASS").otherwise(F.col("predicate_status")))
-        traces = emission.trace(a, "any", any_).unionByName(emission.trace(a, "two", predicates.count_at_least(a, ev, 2))).unionByName(emission.trace(a, "none", none))
-        return emission.classify(a, traces, _RULES, policy).select("match_id", "anchor_frame_id", "classification", "has_unknown_evidence")
+        return emission.classify(_click_or_signup(sig), _rule_traces(sig), _RULES, policy).select("match_id", "anchor_frame_id", "classification", "has_unknown_evidence")
 
     return run
 
@@ -553,15 +556,23 @@ def change_across_anchor(spark, sf_dir):
     return out.select("anchor_frame_id", _r("delta_value"), "change_status")
 
 
-@query("join_episode_sets", "anc", """x_r AS (SELECT receiver_id AS k, match_id, count(*) AS n, min(anchor_frame_id) AS f FROM anc WHERE anchor_frame_id % 400 < 2 GROUP BY receiver_id, match_id)
+@query("join_episode_sets", "anc", """x_r AS (SELECT receiver_id AS k, match_id, count(*) AS n, min(anchor_frame_id) AS f FROM (SELECT match_id, receiver_id, max(anchor_frame_id) AS anchor_frame_id FROM anc GROUP BY match_id, receiver_id UNION ALL SELECT match_id, min(receiver_id), min(anchor_frame_id) FROM anc GROUP BY match_id) t GROUP BY receiver_id, match_id)
 SELECT a.anchor_frame_id, coalesce(n, 0) AS right_match_count, CASE WHEN coalesce(n, 0) = 0 THEN 'FAIL' WHEN n > 1 THEN 'UNKNOWN' WHEN (f - a.anchor_frame_id) / 25.0 < 0 OR (f - a.anchor_frame_id) / 25.0 > 20 THEN 'FAIL' ELSE 'PASS' END AS join_status FROM anc a LEFT JOIN x_r r ON r.match_id = a.match_id AND r.k = a.passer_id""")
 def join_episode_sets(spark, sf_dir):
     scope, a = tracking_scope(spark, sf_dir)
-    right = a.where("anchor_frame_id % 400 < 2")
+    right = _last_of_receivers(a)
     out = compose.join_episode_sets(scope, a, right, "passer_id", "receiver_id", temporal_relation="left_ends_before_right", maximum_gap_seconds=20.0)
     return out.select("anchor_frame_id", "right_match_count", "join_status")
 
 
+def _last_of_receivers(a):
+    """The last anchor of each receiver, and once more the first anchor of a match as one of its first receiver's, so that some have several."""
+    last = a.groupBy("match_id", "period", "receiver_id").agg(F.max("anchor_frame_id").alias("anchor_frame_id"))
+    first = a.groupBy("match_id", "period").agg(F.min("receiver_id").alias("receiver_id"), F.min("anchor_frame_id").alias("anchor_frame_id"))
+    both = last.unionByName(first)
+    return both.withColumns({"anchor_id": F.concat_ws(":", "receiver_id", "anchor_frame_id"), "start_frame_id": F.col("anchor_frame_id"), "end_frame_id": F.col("anchor_frame_id") + 5})
+
+
 def _as_passes(a):
     """Each order as a controlled pass from its frame to five frames later."""
     return a.withColumns({"physical_release_frame_id": F.col("anchor_frame_id"), "controlled_reception_frame_id": F.col("end_frame_id"), "controlled_pass_status": F.lit("PASS")})
@@ -594,14 +605,13 @@ def support_arrival(spark, sf_dir):
 _CORRIDOR = {"max_window_seconds": 0.4, "minimum_progression_m": 5.0, "minimum_segment_length_m": 5.0, "maximum_segment_length_m": 80.0, "minimum_clearance_m": 2.0}
 
 
-@query("corridor_states", "trk outfield ball anc", """x_w AS (SELECT a.match_id, a.anchor_frame_id AS f, a.anchor_frame_id + k AS g FROM anc a, (SELECT 0 AS k UNION ALL SELECT 5 UNION ALL SELECT 10) t WHERE a.anchor_frame_id % 4 = 0),
+@query("corridor_states", "trk outfield ball anc", """x_w AS (SELECT a.match_id, a.anchor_frame_id AS f, a.anchor_frame_id + k AS g FROM anc a, (SELECT 0 AS k UNION ALL SELECT 5 UNION ALL SELECT 10) t),
 x_t AS (SELECT w.*, t.player_id, t.x_m AS tx, t.y_m AS ty, b.ball_x AS bx, b.ball_y AS bz FROM x_w w JOIN outfield t ON t.match_id = w.match_id AND t.frame_id = w.g AND t.team_role = 'home' LEFT JOIN ball b ON b.match_id = w.match_id AND b.frame_id = w.g),
 x_o AS (SELECT t.*, o.x_m AS ox, o.y_m AS oy, greatest(0.0, least(1.0, coalesce(((o.x_m - bx) * (tx - bx) + (o.y_m - bz) * (ty - bz)) / nullif((tx - bx) * (tx - bx) + (ty - bz) * (ty - bz), 0), 0))) AS u FROM x_t t LEFT JOIN outfield o ON o.match_id = t.match_id AND o.frame_id = t.g AND o.team_role = 'away'),
 x_c AS (SELECT match_id, f, g, player_id, tx, ty, bx, bz, min(sqrt((ox - (bx + u * (tx - bx))) * (ox - (bx + u * (tx - bx))) + (oy - (bz + u * (ty - bz))) * (oy - (bz + u * (ty - bz))))) AS c, max(CASE WHEN ox IS NOT NULL THEN 1 ELSE 0 END) AS any_o FROM x_o GROUP BY match_id, f, g, player_id, tx, ty, bx, bz)
 SELECT f AS anchor_frame_id, g AS frame_id, player_id AS target_player_id, CASE WHEN bx IS NULL OR any_o = 0 THEN 'UNKNOWN' WHEN sqrt((tx - bx) * (tx - bx) + (ty - bz) * (ty - bz)) <= 0.001 THEN 'INVALID' WHEN tx - bx < 5 THEN 'FAIL' WHEN sqrt((tx - bx) * (tx - bx) + (ty - bz) * (ty - bz)) < 5 OR sqrt((tx - bx) * (tx - bx) + (ty - bz) * (ty - bz)) > 80 THEN 'FAIL' WHEN c < 2 THEN 'FAIL' ELSE 'PASS' END AS state FROM x_c""")
 def corridor_states(spark, sf_dir):
     scope, a = tracking_scope(spark, sf_dir)
-    a = a.where("anchor_frame_id % 4 = 0")
     return relations.corridor_states(scope, a, **_CORRIDOR).select(F.split("anchor_id", "a")[1].cast("long").alias("anchor_frame_id"), "frame_id", "target_player_id", "state")
 
 
@@ -717,32 +727,74 @@ x_rs AS (SELECT q.*, touch, CASE WHEN r1 IS NULL OR r2 IS NULL THEN 'UNKNOWN' WH
 @query("one_touch_relay", None, _passes_with("passes pass_frames pass_ball pass_players", _RELAY + "SELECT match_id, CONCAT(match_id, ':firstHalf:', CAST(n2 AS STRING)) AS relay_pass_episode_id, CONCAT('h', CAST(who AS STRING)) AS relay_player_id, touch AS relay_touch_frame_id, s AS one_touch_relay_status FROM x_rs"))
 def one_touch_relay(spark, sf_dir):
     scope = pass_scope(spark, sf_dir)
-    return actions.one_touch_relay_episode(scope, actions.controlled_pass_episode(scope).persist()).select("match_id", "relay_pass_episode_id", "relay_player_id", "relay_touch_frame_id", "one_touch_relay_status")
+    return actions.one_touch_relay_episode(scope, actions.controlled_pass_episode(scope)).select("match_id", "relay_pass_episode_id", "relay_player_id", "relay_touch_frame_id", "one_touch_relay_status")
 
 
 @query("pass_chain", None, _passes_with("passes pass_frames pass_ball pass_players", _RELAY + "SELECT r.match_id, CONCAT(r.match_id, ':firstHalf:', CAST(n2 AS STRING)) AS relay_pass_episode_id, CASE WHEN s <> 'PASS' THEN s ELSE t.st END AS pass_chain_status FROM x_rs r JOIN x_st t ON t.match_id = r.match_id AND t.n = r.n2"))
 def pass_chain(spark, sf_dir):
     scope = pass_scope(spark, sf_dir)
-    passes = actions.controlled_pass_episode(scope).persist()
+    passes = actions.controlled_pass_episode(scope)
     return actions.pass_chain_episode(actions.one_touch_relay_episode(scope, passes), passes).select("match_id", "relay_pass_episode_id", "pass_chain_status")
 
 
-@query("carry_episode")
+_CARRY = _CONTROL + """, x_nx AS (SELECT * FROM (SELECT b.match_id, b.n, q.rel AS xr, q.p AS xp, row_number() OVER (PARTITION BY b.match_id, b.n ORDER BY q.rel, CAST(q.n AS STRING)) AS k FROM x_st b JOIN x_q q ON q.match_id = b.match_id AND q.rel > b.rec AND q.rel <= b.rec + 250 WHERE b.st = 'PASS') t WHERE k = 1),
+x_ct AS (SELECT b.match_id, b.n, b.team_role, b.r, b.rec, xr, xp, CASE WHEN xp = b.r THEN xr END AS fin FROM x_st b LEFT JOIN x_nx x ON x.match_id = b.match_id AND x.n = b.n WHERE b.st = 'PASS'),
+x_cf AS (SELECT t.match_id, t.n, t.team_role, CONCAT('h', CAST(t.r AS STRING)) AS who, rec + k AS fr FROM x_ct t, range(0, 251) g(k) WHERE fin IS NOT NULL AND rec + k <= fin),
+x_cc AS (SELECT f.match_id, f.n, f.fr, f.who, f.team_role, min(CASE WHEN d.player_id = f.who THEN d.d END) AS d, min(CASE WHEN d.player_id <> f.who THEN d.d END) AS m FROM x_cf f LEFT JOIN x_d d ON d.match_id = f.match_id AND d.frame_id = f.fr AND d.team_role = f.team_role GROUP BY f.match_id, f.n, f.fr, f.who, f.team_role),
+x_cv AS (SELECT c.*, b.ball_x AS bx, b.ball_y AS bz, q.x_m AS px, q.y_m AS py FROM x_cc c LEFT JOIN pass_ball b ON b.match_id = c.match_id AND b.frame_id = c.fr LEFT JOIN pass_players q ON q.match_id = c.match_id AND q.frame_id = c.fr AND q.player_id = c.who),
+x_cl AS (SELECT *, abs(sqrt((bx - lag(bx) OVER w) * (bx - lag(bx) OVER w) + (bz - lag(bz) OVER w) * (bz - lag(bz) OVER w)) * 25 - sqrt((px - lag(px) OVER w) * (px - lag(px) OVER w) + (py - lag(py) OVER w) * (py - lag(py) OVER w)) * 25) AS dv FROM x_cv WINDOW w AS (PARTITION BY match_id, n ORDER BY fr)),
+x_cg AS (SELECT match_id, n, count(*) AS nn, count(d) AS ns, sum(CASE WHEN d <= 2.5 AND (m IS NULL OR d <= m + 1) THEN 1 ELSE 0 END) AS nc, count(dv) AS nv, sum(CASE WHEN dv <= 10 THEN 1 ELSE 0 END) AS nm FROM x_cl GROUP BY match_id, n),
+x_po AS (SELECT f.match_id, f.n, count(*) AS pn, sum(CASE WHEN s.team_role = f.team_role THEN 1 ELSE 0 END) AS pk FROM x_cf f JOIN (SELECT match_id, base + t AS fr, team_role FROM pass_frames) s ON s.match_id = f.match_id AND s.fr = f.fr AND s.fr % 5 = 0 GROUP BY f.match_id, f.n),
+x_cr AS (SELECT t.*, CASE WHEN xr IS NULL OR fin IS NULL THEN 'FAIL' ELSE 'PASS' END AS ts, CASE WHEN coalesce(pn, 0) = 0 THEN 'UNKNOWN' WHEN pk = pn THEN 'PASS' ELSE 'FAIL' END AS ps,
+  CASE WHEN nn IS NULL OR round(CAST(nn - ns AS DOUBLE) / nn, 3) > 0.02 THEN 'UNKNOWN' WHEN round(CAST(nc AS DOUBLE) / nullif(ns, 0), 3) < 0.5 THEN 'FAIL' WHEN nv = 0 THEN 'UNKNOWN' WHEN round(CAST(nm AS DOUBLE) / nv, 3) < 0.75 THEN 'FAIL' ELSE 'PASS' END AS cs FROM x_ct t LEFT JOIN x_cg g ON g.match_id = t.match_id AND g.n = t.n LEFT JOIN x_po p ON p.match_id = t.match_id AND p.n = t.n)
+SELECT match_id, CONCAT(match_id, ':firstHalf:', CAST(n AS STRING)) AS source_reception_pass_id, CONCAT('h', CAST(r AS STRING)) AS carrier_id, rec AS carry_start_frame_id, fin AS carry_end_frame_id,
+  CASE WHEN ts = 'FAIL' OR ps = 'FAIL' OR cs = 'FAIL' THEN 'FAIL' WHEN ps = 'UNKNOWN' OR cs = 'UNKNOWN' THEN 'UNKNOWN' ELSE 'PASS' END AS carry_status,
+  CASE WHEN ts = 'FAIL' THEN 'no_own_release' WHEN ps = 'FAIL' THEN 'possession_interrupted' WHEN cs = 'FAIL' THEN 'control_not_continuous' WHEN ps = 'UNKNOWN' THEN 'possession_unknown' WHEN cs = 'UNKNOWN' THEN 'control_unknown' ELSE 'carried' END AS carry_reason FROM x_cr"""
+
+
+@query("carry_episode", None, _passes_with("passes pass_frames pass_ball pass_players", _CARRY))
 def carry_episode(spark, sf_dir):
     scope = pass_scope(spark, sf_dir)
-    return actions.carry_episode(scope, actions.controlled_pass_episode(scope).persist(), minimum_displacement_m=0.0, minimum_controlled_frame_ratio=0.5).select("match_id", "source_reception_pass_id", "carrier_id", "carry_start_frame_id", "carry_end_frame_id", "carry_status", "carry_reason")
+    return actions.carry_episode(scope, actions.controlled_pass_episode(scope), minimum_displacement_m=0.0, minimum_controlled_frame_ratio=0.5).select("match_id", "source_reception_pass_id", "carrier_id", "carry_start_frame_id", "carry_end_frame_id", "carry_status", "carry_reason")
+
+
+def _line_at_releases():
+    """The SQL of a line, at the first pass's release of each relay."""
+    sql = _LINE
+    for a, b in (("FROM anc a", "FROM z_an a"), ("JOIN ball b", "JOIN pass_ball b"), ("JOIN outfield o", "JOIN (SELECT * FROM pass_players WHERE player_id <> 'a0') o"), ("<= 30 +", "<= 20 +"), ("x_", "z_")):
+        sql = sql.replace(a, b)
+    return sql.replace("nz_", "nx_").replace("o.z_m", "o.x_m")
 
 
-@query("receiver_line_transition")
+_CROSSING = _RELAY + ", z_an AS (SELECT match_id, r1 AS anchor_frame_id FROM x_rs WHERE s = 'PASS'),\n" + _line_at_releases() + """, x_x AS (SELECT r.match_id, r.n2, r.s, l.s AS ls, a.x_m - l.line AS d0, b.x_m - l.line AS d1 FROM x_rs r LEFT JOIN z_ls l ON l.match_id = r.match_id AND l.anchor_frame_id = r.r1 AND r.s = 'PASS' LEFT JOIN pass_players a ON a.match_id = r.match_id AND a.frame_id = r.r1 AND a.player_id = CONCAT('h', CAST(r.who AS STRING)) LEFT JOIN pass_players b ON b.match_id = r.match_id AND b.frame_id = r.touch AND b.player_id = CONCAT('h', CAST(r.who AS STRING))),
+x_y AS (SELECT *, CASE WHEN s = 'FAIL' THEN 'no_relay' WHEN s <> 'PASS' THEN 'relay_unknown' WHEN ls = 'FAIL' THEN 'no_line' WHEN coalesce(ls, 'UNKNOWN') <> 'PASS' THEN 'line_unknown' WHEN d0 IS NULL OR d1 IS NULL THEN 'position_unknown' WHEN d0 > 0.5 THEN 'ahead_at_release' WHEN d1 > 0.5 THEN 'crossed_line' ELSE 'not_ahead_at_touch' END AS why FROM x_x)
+SELECT match_id, CONCAT(match_id, ':firstHalf:', CAST(n2 AS STRING)) AS relay_pass_episode_id, CASE why WHEN 'crossed_line' THEN 'PASS' WHEN 'relay_unknown' THEN 'UNKNOWN' WHEN 'line_unknown' THEN 'UNKNOWN' WHEN 'position_unknown' THEN 'UNKNOWN' ELSE 'FAIL' END AS receiver_line_transition_status, why AS receiver_line_transition_reason FROM x_y"""
+
+
+@query("receiver_line_transition", None, _passes_with("passes pass_frames pass_ball pass_players", _CROSSING))
 def receiver_line_transition(spark, sf_dir):
     scope = pass_scope(spark, sf_dir)
-    relay = actions.one_touch_relay_episode(scope, actions.controlled_pass_episode(scope).persist()).persist()
-    line = lines.defensive_line_model(scope, relay, line_band_width_m=20.0, minimum_line_defenders=2, anchor_frame_field="input_physical_release_frame_id").persist()
+    relay = actions.one_touch_relay_episode(scope, actions.controlled_pass_episode(scope))
+    line = lines.defensive_line_model(scope, relay, line_band_width_m=20.0, minimum_line_defenders=2, anchor_frame_field="input_physical_release_frame_id")
     at = [lines.relative_position_to_line(scope, line, relay, "relay_player_id", f) for f in ("input_physical_release_frame_id", "relay_touch_frame_id")]
     return lines.receiver_line_transition_during_pass_leg(relay, line, *at).select("match_id", "relay_pass_episode_id", "receiver_line_transition_status", "receiver_line_transition_reason")
 
 
-@query("block_shift_recipe")
+@query(
+    "block_shift_recipe", "sig st",
+    """x_f AS (SELECT *, CAST(event_id % 41 - 20 AS DOUBLE) AS c, abs(ball_y) / 34.0 AS fr, coalesce(abs(ball_y) / 34.0 >= 0.6 AND has, FALSE) AS wide, CASE WHEN ball_y > 0 THEN 1 WHEN ball_y < 0 THEN -1 ELSE 0 END AS side FROM st),
+x_e AS (SELECT *, wide AND NOT coalesce(lag(wide) OVER (PARTITION BY match_id ORDER BY idx), FALSE) AS rise, sum(CASE WHEN fr <= 0.45 THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS central, avg(c) OVER (PARTITION BY match_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS base FROM x_f),
+x_g AS (SELECT match_id, idx, idx - row_number() OVER (PARTITION BY match_id ORDER BY idx) AS g FROM st WHERE has),
+x_p AS (SELECT match_id, min(idx) AS i0, max(idx) AS i1 FROM x_g GROUP BY match_id, g HAVING count(*) >= 2),
+x_n AS (SELECT e.match_id, e.idx, e.frame_id AS entry, e.side, e.base, p.i0, p.i1 FROM x_e e JOIN x_p p ON p.match_id = e.match_id AND e.idx BETWEEN p.i0 AND p.i1 WHERE rise AND central > 0 AND base IS NOT NULL),
+x_b AS (SELECT * FROM (SELECT n.*, f.frame_id AS anchor, f.idx AS ai, n.side * (f.c - n.base) AS shift, row_number() OVER (PARTITION BY n.match_id, n.idx ORDER BY n.side * (f.c - n.base) DESC, f.frame_id) AS k FROM x_n n JOIN x_f f ON f.match_id = n.match_id AND f.idx BETWEEN n.idx AND least(n.i1, n.idx + 3)) t WHERE k = 1 AND shift >= 3),
+x_w AS (SELECT b.match_id, b.idx, f.idx - b.ai AS pos, f.alive, f.role, b.side * f.ball_y <= -0.35 * 34 AS sw, lead(f.has) OVER (PARTITION BY b.match_id, b.idx ORDER BY f.idx) AS kept FROM x_b b JOIN x_f f ON f.match_id = b.match_id AND f.idx BETWEEN b.ai AND b.ai + 6),
+x_o AS (SELECT match_id, idx, coalesce(min(CASE WHEN NOT alive THEN pos END), 999) AS d, coalesce(min(CASE WHEN alive AND role <> 'home' THEN pos END), 999) AS l, coalesce(min(CASE WHEN sw THEN pos END), 999) AS s, coalesce(arg_min(coalesce(kept, FALSE), CASE WHEN sw THEN pos END), FALSE) AS kept FROM x_w WHERE pos < 6 GROUP BY match_id, idx),
+x_c AS (SELECT b.match_id, b.i0, b.entry, b.anchor, b.shift, CASE WHEN d < s AND d < l THEN 'STOPPAGE' WHEN s < 999 AND s <= l AND kept THEN 'SWITCHED' WHEN l < 999 THEN 'LOST_BEFORE_SWITCH' ELSE 'RETAINED_NO_SWITCH' END AS label FROM x_b b JOIN x_o o ON o.match_id = b.match_id AND o.idx = b.idx)
+SELECT c.match_id, c.entry AS entry_frame_id, c.anchor AS anchor_frame_id, round(c.shift, 6) AS signed_shift_metres, c.label AS classification FROM x_c c JOIN (
+WITH RECURSIVE r AS (SELECT match_id, i0, min(entry) AS entry FROM x_c GROUP BY match_id, i0 UNION ALL
+SELECT n.match_id, n.i0, n.f FROM (SELECT r.match_id, r.i0, (SELECT min(s.entry) FROM x_c s WHERE s.match_id = r.match_id AND s.i0 = r.i0 AND s.entry - r.entry >= 5) AS f FROM r) n WHERE n.f IS NOT NULL) SELECT * FROM r) k ON k.match_id = c.match_id AND k.i0 = c.i0 AND k.entry = c.entry WHERE c.label <> 'STOPPAGE'""",
+)
 def block_shift_recipe(spark, sf_dir):
     scope, sig = signal_scope(spark, sf_dir, minimum_possession_seconds=0.4, minimum_outfield_players_per_team=1)
     centroid = sig.select("match_id", "period", "frame_id", F.lit("away").alias("team_role"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("entity_id"), F.lit("player").alias("entity_type"), F.lit(0.0).alias("x_m"), (F.col("event_id") % 41 - 20).cast("double").alias("y_m"))
@@ -752,13 +804,43 @@ def block_shift_recipe(spark, sf_dir):
     return out.select("match_id", "entry_frame_id", "anchor_frame_id", _r("signed_shift_metres"), "classification")
 
 
-@query("target_inspection")
+@query("target_inspection", "sig", _EVAL + """, x_0 AS (SELECT match_id, min(frame_id) AS f0 FROM sig GROUP BY match_id),
+x_n AS (SELECT match_id, frame_id AS anchor_frame_id, CAST(abs((frame_id - f0) * 40 - 600) AS DOUBLE) AS distance_ms, CASE WHEN s = 'PASS' THEN 'SOME' END AS classification FROM x_s JOIN x_0 USING (match_id) WHERE match_id = 'u1' AND abs((frame_id - f0) * 40 - 600) <= 400 ORDER BY distance_ms, anchor_frame_id LIMIT 1)
+SELECT n.match_id, n.anchor_frame_id, n.distance_ms, n.classification, CASE WHEN n.match_id IS NULL THEN 'NO_COMPATIBLE_ANCHOR' WHEN n.classification IS NULL THEN 'NON_MATCH' ELSE 'MATCH' END AS target_status FROM (SELECT 1 AS one) o LEFT JOIN (SELECT 1 AS one, * FROM x_n) n USING (one)""")
 def target_inspection(spark, sf_dir):
     _, sig = signal_scope(spark, sf_dir)
     a, ev = _click_or_signup(sig), _evaluations(sig)
     traces = emission.trace(a, "any", predicates.exists(a, ev))
     results = emission.classify(a, traces, [("SOME", ["any"])])
-    return emission.inspect_target(a, traces, results, "u1", "firstHalf", 600, 400).select("match_id", "anchor_frame_id", "distance_ms", "classification", "target_status")
+    return emission.inspect_target(a, traces, results, "u1", "firstHalf", 600, 400, sig).select("match_id", "anchor_frame_id", "distance_ms", "classification", "target_status")
+
+
+@query(
+    "evidence_projection", "sig",
+    _EVAL + f"""SELECT match_id, frame_id AS anchor_frame_id, {_LABEL} ELSE 'MANY' END AS classification, CASE WHEN event_type = 'click' THEN CAST(c AS BIGINT) END AS view_count, CASE WHEN event_type = 'click' THEN s END AS seen, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS evidence_missing FROM x_s""",
+)
+def evidence_projection(spark, sf_dir):
+    """Results with a required and an optional field of the evaluations; sign-ups have none."""
+    _, sig = signal_scope(spark, sf_dir)
+    r = _classified("include_with_warning")(spark, sf_dir).withColumns({"period": F.lit("firstHalf"), "anchor_id": F.concat_ws(":", "match_id", "anchor_frame_id")})
+    ev = _evaluations(sig)
+    return emission.project(r, [(ev, "relation_count", "view_count", True), (ev, "evaluation_status", "seen", False)]).select("match_id", "anchor_frame_id", "classification", "view_count", "seen", "evidence_missing")
+
+
+@query("unknown_policy_invalidate", "sig", _EVAL + f"SELECT match_id, frame_id AS anchor_frame_id, CASE WHEN s <> 'UNKNOWN' THEN {_LABEL} END END AS classification, s = 'UNKNOWN' AS unknown_candidate FROM x_s")
+def unknown_policy_invalidate(spark, sf_dir):
+    _, sig = signal_scope(spark, sf_dir)
+    return emission.classify(_click_or_signup(sig), _rule_traces(sig), _RULES, "invalidate_execution").select("match_id", "anchor_frame_id", "classification", "unknown_candidate")
+
+
+@query("evidence_bundle", "trk anc", "SELECT CONCAT('r', CAST(a.anchor_frame_id AS STRING)) AS result_id, t.frame_id, count(*) AS n_entities FROM anc a JOIN trk t ON t.match_id = a.match_id AND t.frame_id BETWEEN a.anchor_frame_id - 2 AND a.anchor_frame_id + 2 GROUP BY a.anchor_frame_id, t.frame_id")
+def evidence_bundle(spark, sf_dir):
+    """The replay frames around every anchor, as the bundle's files give them."""
+    scope, a = tracking_scope(spark, sf_dir)
+    path = scratch(spark, "bundle")
+    build.evidence_bundle(a.select("match_id", "period", "anchor_frame_id", F.concat(F.lit("r"), F.col("anchor_frame_id").cast("string")).alias("result_id")), scope.tables.positions.where("entity_type = 'player'"), path, 2, 2)
+    rows = spark.read.schema("result_id string, frame_id long, entities array<struct<entity_id: string>>").json(f"{path}/replay")
+    return rows.select("result_id", "frame_id", F.size("entities").cast("long").alias("n_entities"))
 
 
 @query("replay_window", "trk", "SELECT frame_id, count(*) AS n_entities, round(sum(x_m), 3) AS sum_x FROM (SELECT frame_id, round(x_m, 3) AS x_m FROM trk WHERE match_id = 'm0' AND frame_id BETWEEN 100 AND 200) t GROUP BY frame_id")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import cut
 from .tables import Scope, Tables
 
 _MATCH = "CONCAT('m', CAST(CAST(floor({k} / 2000) AS BIGINT) AS STRING))"
@@ -137,7 +138,7 @@ def pass_scope(spark: SparkSession, sf_dir: str, **kw) -> Scope:
     positions = players.select("match_id", "period", "frame_id", "team_role", F.col("player_id").alias("entity_id"), F.lit("player").alias("entity_type"), "x_m", "y_m").unionByName(
         ball.select("match_id", "period", "frame_id", F.lit("ball").alias("team_role"), F.lit("ball").alias("entity_id"), F.lit("ball").alias("entity_type"), F.col("ball_x").alias("x_m"), F.col("ball_y").alias("y_m"))
     )
-    positions = positions.persist()  # read by every operator of a plan
+    positions = cut(positions, "positions")  # read by every operator of a plan
     roster = p.select("match_id").distinct().select("match_id", F.explode(F.array(*[F.lit(f"{s}{i}") for s in "ha" for i in range(4)])).alias("player_id")).withColumn("is_goalkeeper", F.col("player_id") == "a0")
     state = frames.select("match_id", "period", "frame_id", F.col("team_role").alias("possession_team_role"), F.lit(True).alias("ball_alive"))
     stamped = frames.select("match_id", "period", "frame_id", stamp(F.col("frame_id") * 40).alias("timestamp_utc"))

@@ -22,6 +22,10 @@ SCHEMAS = {
 }
 
 
+#: Matches that a plan may name one by one.
+LITERALS = 100
+
+
 @dataclass(frozen=True)
 class Tables:
     """The canonical tables of all matches; any may be None where no operator of a plan needs it."""
@@ -44,7 +48,11 @@ class Tables:
         def cut(df: DataFrame | None) -> DataFrame | None:
             if df is None:
                 return None
-            df = df.where(F.col("match_id").isin(match_ids))
+            if len(match_ids) > LITERALS:  # a table of them, so that the plan doesn't grow with their number
+                wanted = df.sparkSession.createDataFrame([(m,) for m in set(match_ids)], "match_id string")
+                df = df.join(wanted, "match_id", "left_semi")
+            else:
+                df = df.where(F.col("match_id").isin(match_ids))
             return df.where(F.col("period").isin(periods)) if "period" in df.columns else df
 
         return replace(self, **{name: cut(getattr(self, name)) for name in SCHEMAS})
@@ -97,6 +105,17 @@ class Scope:
     def sign_of(self, role: str, name: str = "sign") -> DataFrame:
         return self.signs().where(F.col("team_role") == role).select(*KEYS, F.col("sign").alias(name))
 
+    def first_frames(self) -> DataFrame:
+        """match_id, period and first_frame_id, where the clock of a period begins."""
+        rows = self.tables.frames if self.tables.frames is not None else self.tables.ball_state
+        return rows.groupBy(*KEYS).agg(F.min("frame_id").alias("first_frame_id"))
+
+    def timed(self, df: DataFrame, **frames: str) -> DataFrame:
+        """df with the match time in ms, by name, of the frames in these columns: from the first frame of the period."""
+        out = df.drop("first_frame_id").join(self.first_frames(), list(KEYS), "left")
+        ms = {name: F.round((F.col(c) - F.col("first_frame_id")) / self.frame_rate_hz * 1000).cast("long") for name, c in frames.items()}
+        return out.withColumns(ms).drop("first_frame_id")
+
     def last_frames(self) -> DataFrame:
         return self.tables.frames.groupBy(*KEYS).agg(F.max("frame_id").alias("last_frame_id"))
 
@@ -109,15 +128,17 @@ class Scope:
         rows = self.tables.ball_state.select(*KEYS, "frame_id", F.col("possession_team_role").alias("role"), F.coalesce("ball_alive", F.lit(False)).alias("alive"))
         w = Window.partitionBy(*KEYS).orderBy("frame_id")
         rows = rows.withColumn("_n", F.row_number().over(w) - 1).where(F.col("_n") % step == 0).withColumn("idx", (F.col("_n") / step).cast("long")).drop("_n")
+        if step == self.stride:
+            rows = self._gated(rows, w)
         if self.tables.positions is None:
             return rows.withColumn("ball_x", F.lit(None).cast("double")).withColumn("ball_y", F.lit(None).cast("double"))
         return rows.join(self.ball(), [*KEYS, "frame_id"], "left")
 
-    def gaps(self) -> DataFrame:
-        """Places where the analysis stream jumps by more than the maximum gap; a run is not valid where there is one."""
-        w = Window.partitionBy(*KEYS).orderBy("frame_id")
+    def _gated(self, rows: DataFrame, w) -> DataFrame:
+        """The stream's rows; reading one that stands more than the maximum gap behind the row before is an error."""
         gap = (F.col("frame_id") - F.lag("frame_id").over(w)) * 1000.0 / self.frame_rate_hz
-        return self.stream().withColumn("gap_ms", gap).where(F.col("gap_ms") > self.maximum_analysis_gap_ms).select(*KEYS, "frame_id", "gap_ms")
+        said = F.concat(F.lit("gap in the analysis stream: "), F.concat_ws(" ", *KEYS, F.col("frame_id").cast("string")))
+        return rows.withColumn("_gap", gap).where(F.when(F.col("_gap") > self.maximum_analysis_gap_ms, F.raise_error(said).cast("boolean")).otherwise(True)).drop("_gap")
 
 
 ANCHOR = (*KEYS, "anchor_id")
