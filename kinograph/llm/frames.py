@@ -1,57 +1,13 @@
-"""Reading tables and cutting lineage."""
+"""Reading tables; cutting lineage is the library's own."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+from ..sources.shared import cut, release, scratch, shared_dir
+
+__all__ = ["cut", "load", "release", "scratch", "shared_dir"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of this machine where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kinograph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/kinograph-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    The table outlives lost executors and is read instead of being computed
-    again. It is removed when the driver ends, or by release().
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Remove the tables that cut() wrote; frames that read them are void afterwards."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session may be gone
-            return
-
-
-atexit.register(release)
