@@ -4,16 +4,23 @@ A byte goes if a string of `length` bytes that covers it also starts in a
 document with a smaller id. Repeats share the least hash of the k-grams in any
 `length` bytes, so texts are taken apart into fragments of windows that have
 one such least hash; fragments whose hash only one document has are left out,
-and the others are dealt out by it. Each bucket builds a run-compressed
-Burrows-Wheeler transform of its distinct fragments, with samples at the ends of
-fragments and, for each group of rows that agree in `length` bytes, the least
-document. All fragments are streamed through it from their ends, one LF step a
-byte over the runs, and matched with the least document of each window. The
-answers go back to the blocks of documents, not to single documents, so that a
-passage that a third of all documents share costs a block one row.
+and the others are dealt out by it. Hashes that very many blocks of documents have
+are split by more of the bytes around the k-gram, so that a frequent line with
+other text around it each time fills no bucket; equal windows still meet.
+
+A bucket indexes, of each hash, the fragments of the documents with the least ids:
+a run-compressed Burrows-Wheeler transform, with the text positions at both ends of
+each run. All fragments are streamed against it from their ends: a matching
+statistic grows by one LF step as long as the run has the fragment's byte, else it
+jumps to the nearest run that has it, above or below, whichever the longer common
+extension from the sampled positions speaks for. Windows with a match of `length`
+bytes have their least document; what no index had goes on to the next, over four
+times as many fragments of a hash. In repetitive text the first index settles nearly
+all. The answers go back to the blocks of documents, not to single documents, so
+that a passage that a third of all documents share costs a block one row.
 
 Null texts are empty. Rows of equal doc_id don't remove each other. A null doc_id
-counts as the largest.
+counts as the largest and stays null; such rows don't remove each other either.
 """
 
 from __future__ import annotations
@@ -27,11 +34,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import rolling, text_groups
+from .bpe import power_tables, rolling, text_groups
 from .frames import cut
 from .kept import nothing
 
 GRAM = 20
+#: Blocks that have a hash from which on it is split further.
+HOT = 32
 _LAST = (1 << 63) - 1
 
 
@@ -166,20 +175,62 @@ def _list_keys(batches, length, buckets):
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["bucket", "block", "keys", "many"])
 
 
-def _shared_keys(part: pd.DataFrame) -> pd.DataFrame:
-    """For each block of a bucket one bit for each of its keys: whether several documents of the corpus have it."""
-    keys = [np.cumsum(np.frombuffer(_unzip(k), np.uint32), dtype=np.uint32) for k in part["keys"]]
-    many = [np.unpackbits(np.frombuffer(_unzip(m), np.uint8), count=len(k)).astype(bool) for m, k in zip(part["many"], keys, strict=True)]
-    flat = np.concatenate(keys)
-    values, where, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = counts > 1
-    shared[where[np.concatenate(many)]] = True
-    bits, at = [], 0
-    for k in keys:
-        bits.append(_zip(np.packbits(shared[where[at : at + len(k)]])))
-        at += len(k)
-    del values
-    return pd.DataFrame({"block": part["block"], "bucket": part["bucket"], "bits": bits})
+def _shared_keys(hot: int):
+    def shared_keys(part: pd.DataFrame) -> pd.DataFrame:
+        """For each block of a bucket two bits for each of its keys: whether several documents of the corpus have it, and whether so many blocks do that it is to be split."""
+        keys = [np.cumsum(np.frombuffer(_unzip(k), np.uint32), dtype=np.uint32) for k in part["keys"]]
+        many = [np.unpackbits(np.frombuffer(_unzip(m), np.uint8), count=len(k)).astype(bool) for m, k in zip(part["many"], keys, strict=True)]
+        _, where, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        shared = counts > 1
+        shared[where[np.concatenate(many)]] = True
+        bits, at = [], 0
+        for k in keys:
+            w = where[at : at + len(k)]
+            bits.append(_zip(np.packbits(np.concatenate([shared[w], counts[w] >= hot]))))
+            at += len(k)
+        return pd.DataFrame({"block": part["block"], "bucket": part["bucket"], "bits": bits})
+
+    return shared_keys
+
+
+def _split_hot(data: np.ndarray, length: int, h: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fragments with hot hashes as smaller ones, each of windows that agree in more bytes than the k-gram.
+
+    In a window the first k-gram of the least hash is widened three times, on the
+    side where the window has more bytes left, by half of what is left; the new
+    hash is that of these bytes, so equal windows have equal ones.
+    """
+    n = int(count.sum())
+    ends = np.cumsum(count)
+    of = np.repeat(np.arange(len(h)), count)
+    at = start[of] + np.arange(n) - np.repeat(ends - count, count)
+    grams = rolling(data, GRAM)
+    # the first place from each window's start on that has the least hash: hits are in order, and every window has one
+    span = count + length - GRAM
+    every = np.repeat(start, span) + np.arange(int(span.sum())) - np.repeat(np.cumsum(span) - span, span)
+    hits = np.unique(every[grams[every] == np.repeat(h, span)])
+    # a hit of another fragment's hash may lie between: keep to hits of the own hash by (hash, place)
+    _, code = np.unique(np.concatenate([h, grams[hits]]), return_inverse=True)
+    mine, theirs = code[: len(h)].astype(np.int64), code[len(h) :].astype(np.int64)
+    big = np.int64(len(data) + 1)
+    table = np.sort(theirs * big + hits)
+    lo = table[np.searchsorted(table, mine[of] * big + at)] % big
+    hi, stop = lo + GRAM, at + length
+    for _ in range(3):
+        left, right = lo - at, stop - hi
+        more = (left + right) // 2
+        wide = right >= left
+        hi = np.where(wide, hi + np.minimum(more, right), hi)
+        lo = np.where(wide, lo, lo - np.minimum(more, left))
+    up, down = power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    core = (sums[hi] - sums[lo]) * down[lo]
+    core ^= core >> np.uint64(31)
+    core *= np.uint64(0xD6E8FEB86659FD93)
+    core ^= core >> np.uint64(32)
+    new = np.flatnonzero(np.append(True, (core[1:] != core[:-1]) | (of[1:] != of[:-1])))
+    return core[new], doc[of[new]], at[new], np.diff(np.append(new, n))
 
 
 def _candidates(row, length, buckets) -> tuple:
@@ -188,17 +239,21 @@ def _candidates(row, length, buckets) -> tuple:
     data = np.frombuffer(raw, np.uint8)
     h, doc, start, count = fragments(data, lens, length)
     b, k, _ = _keys(h, doc, buckets)
-    shared = np.zeros(len(b), bool)
+    shared, hot = np.zeros(len(b), bool), np.zeros(len(b), bool)
     bits = {s["bucket"]: s["bits"] for s in row["shared"] or ()}
     for bucket, i, j in _bounds(b):
-        shared[i:j] = np.unpackbits(np.frombuffer(_unzip(bits[bucket]), np.uint8), count=j - i).astype(bool)
+        both = np.unpackbits(np.frombuffer(_unzip(bits[bucket]), np.uint8), count=2 * (j - i)).astype(bool)
+        shared[i:j], hot[i:j] = both[: j - i], both[j - i :]
     code = (b.astype(np.uint64) << np.uint64(32)) | k
     fb, fk = _split(h, buckets)
-    mine = (fb.astype(np.uint64) << np.uint64(32)) | fk
-    keep = shared[np.searchsorted(code, mine)] if len(code) else np.empty(0, bool)
-    order = np.argsort(fb[keep], kind="stable")
-    pick = lambda x: x[keep][order]
-    return ids, lens, raw, pick(fb), pick(fk), pick(doc), pick(start), pick(count)
+    place = np.searchsorted(code, (fb.astype(np.uint64) << np.uint64(32)) | fk) if len(code) else np.empty(0, np.int64)
+    keep, split = (shared & ~hot)[place], (shared & hot)[place]
+    found = [x[keep] for x in (h, doc, start, count)]
+    if split.any():
+        found = [np.concatenate(x) for x in zip(found, _split_hot(data, length, *(x[split] for x in (h, doc, start, count))), strict=True)]
+    fb, fk = _split(found[0], buckets)
+    order = np.argsort(fb, kind="stable")
+    return ids, lens, raw, fb[order], fk[order], *(x[order] for x in found[1:])
 
 
 def _distinct(raw: bytes, start: np.ndarray, count: np.ndarray, length: int, begin: int, end: int) -> tuple[list[bytes], np.ndarray]:
@@ -247,54 +302,96 @@ class Marks:
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of a collection of fragments.
+    """Run-compressed Burrows-Wheeler transform of a collection of fragments, against which texts are streamed.
 
-    Kept: the first row of each run and the row that its first symbol's LF step
-    leads to; the row of each fragment's end; marks at the first row of each group
-    of rows that agree in `length` symbols, and the least document of the group.
+    Kept: of each run its symbol, its first row, the row that this row's LF step leads
+    to, and the text positions of its first and last row; marks at the first row of each
+    group of rows that agree in `length` symbols, and the least document of the group;
+    the text, for common extensions. Symbols are bytes plus one, which UTF-8 leaves room
+    for; 0 ends a fragment.
     """
 
     def __init__(self, texts: list[bytes], docs: np.ndarray, length: int):
         self.length = length
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        flat = np.frombuffer(b"".join(texts), np.uint8)
-        self.starts = np.cumsum(self.sizes) - self.sizes + np.arange(len(texts))
-        n = int(self.sizes.sum()) + len(texts)
-        t = np.zeros(n, np.int64)
-        owner = np.repeat(np.arange(len(texts)), self.sizes)
-        t[np.arange(len(flat)) + owner] = flat.astype(np.int64) + 1  # 0 ends a fragment
-        order, same = _sorted_suffixes(t, length)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        n = int(sizes.sum()) + len(texts)
+        t = np.frombuffer(b"\xff".join([*texts, b""]), np.uint8) + np.uint8(1)  # 0xff is no byte of UTF-8
+        order, same = _sorted_suffixes(t.astype(np.int64), length)
         before = t[order - 1]  # of row 0's suffix, the whole text's last symbol
-        run = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-        lengths = np.diff(np.append(run, n))
-        by = np.argsort(before[run], kind="stable")
-        self.run_first, self.run_leads, self.runs = run, np.empty(len(run), np.int64), Marks(run, n)
-        self.run_leads[by] = np.cumsum(lengths[by]) - lengths[by]
+        first = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+        last = np.append(first[1:], n) - 1
+        self.symbols, self.first, self.last, self.runs = before[first], first, last, Marks(first, n)
+        by = np.argsort(self.symbols, kind="stable")
+        lengths = (last - first + 1)[by]
+        self.leads = np.empty(len(first), np.int64)
+        self.leads[by] = np.cumsum(lengths) - lengths
+        self.first_at, self.last_at = order[first], order[last]
+        self.ordered = self.symbols[by].astype(np.int64) * len(first) + by  # runs by symbol, then place
         group = np.flatnonzero(~same)
-        of = np.repeat(np.arange(len(texts)), self.sizes + 1)[order]
+        of = np.repeat(np.arange(len(texts)), sizes + 1)[order]
         self.groups, self.group_least = Marks(group, n), np.minimum.reduceat(docs[of], group)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        self.end_rows = rank[self.starts + self.sizes]
-
-    def stream(self) -> tuple[np.ndarray, np.ndarray]:
-        """The least document of each window of each fragment, and where each fragment's begin.
-
-        All fragments step together, longest first, so that those still running
-        are the first of the array.
+        self.start = order[0]
+        self.words = np.lib.stride_tricks.as_strided(np.concatenate([t, np.zeros(length + 16, np.uint8)]), (n + length + 8, 8), (1, 1))
+
+    def _word(self, at: np.ndarray) -> np.ndarray:
+        return self.words[at].view("<u8")[:, 0]
+
+    def extension(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """In how many symbols, `most` at most, the text agrees from positions a and b on."""
+        out = most.copy()
+        open_ = np.flatnonzero(most > 0)
+        done = 0
+        while len(open_):
+            differ = self._word(a[open_] + done) ^ self._word(b[open_] + done)
+            low = differ & (~differ + np.uint64(1))
+            agree = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3).astype(np.int64) + done
+            out[open_] = np.minimum(agree, most[open_])
+            done += 8
+            open_ = open_[(agree == done) & (most[open_] > done)]
+        return out
+
+    def stream(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The least document of each window of each text, _LAST where the index lacks it, and where each text's begin.
+
+        The matching statistics of all texts, from their ends; all step together,
+        longest first, so that those still running are the first of the array.
         """
-        windows = self.sizes - self.length + 1
+        sizes = np.array([len(t) for t in texts], np.int64)
+        flat = np.frombuffer(b"".join(texts), np.uint8) + np.uint8(1)
+        windows = sizes - self.length + 1
         place = np.cumsum(windows) - windows
-        out = np.empty(int(windows.sum()), np.int64)
-        by = np.argsort(-self.sizes, kind="stable")
-        rows, sizes, at = self.end_rows[by].copy(), self.sizes[by], place[by]
+        out = np.full(int(windows.sum()), _LAST, np.int64)
+        by = np.argsort(-sizes, kind="stable")
+        ends, sizes, at = np.cumsum(sizes)[by], sizes[by], place[by]
         live = np.searchsorted(-sizes, -np.arange(1, int(sizes.max(initial=0)) + 1), "right")
+        rows, position, have = np.zeros(len(texts), np.int64), np.full(len(texts), self.start), np.zeros(len(texts), np.int64)
+        n_runs = len(self.first)
         for step, n in enumerate(live.tolist(), 1):
-            r = rows[:n]
-            run = self.runs.last(r)
-            r = rows[:n] = self.run_leads[run] + (r - self.run_first[run])
+            c = flat[ends[:n] - step]
+            run = self.runs.last(rows[:n])
+            other = np.flatnonzero(self.symbols[run] != c)
+            if len(other):
+                key = c[other].astype(np.int64) * n_runs
+                j = np.searchsorted(self.ordered, key + run[other])
+                below = self.ordered[np.minimum(j, n_runs - 1)] - key
+                above = self.ordered[np.maximum(j - 1, 0)] - key
+                has_below, has_above = (j < n_runs) & (below >= 0) & (below < n_runs), (j > 0) & (above >= 0) & (above < n_runs)
+                below, above = np.where(has_below, below, 0), np.where(has_above, above, 0)
+                was, most = position[other], have[other]
+                x = np.where(has_below, self.extension(was, self.first_at[below], np.where(has_below, most, 0)), -1)
+                y = np.where(has_above, self.extension(was, self.last_at[above], np.where(has_above, most, 0)), -1)
+                down = x >= y
+                run[other] = np.where(down, below, above)
+                rows[other] = np.where(down, self.first[below], self.last[above])
+                position[other] = np.where(down, self.first_at[below], self.last_at[above])
+                have[other] = np.maximum(x, y)  # -1: the index hasn't the symbol, and the match begins anew
+            known = have[:n] >= 0
+            rows[:n] = np.where(known, self.leads[run] + (rows[:n] - self.first[run]), 0)
+            position[:n] = np.where(known, position[:n] - 1, self.start)
+            have[:n] = np.minimum(have[:n] + 1, self.length)
             if step >= self.length:
-                out[at[:n] + sizes[:n] - step] = self.group_least[self.groups.last(r)]
+                full = np.flatnonzero(have[:n] == self.length)
+                out[at[full] + sizes[full] - step] = self.group_least[self.groups.last(rows[full])]
         return out, place
 
 
@@ -340,13 +437,50 @@ def _sorted_suffixes(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     return order, np.append(False, near)
 
 
+def least_documents(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least document of each window of each text, and where each text's begin. docs: the least document of each text; windows are equal only where keys are.
+
+    Of each key the texts of the least documents are indexed, at first one, and all
+    are streamed against them; the windows that the index lacks go on, as smaller texts.
+    What is indexed has no greater document than what is streamed, so an answer is final.
+    """
+    windows = np.array([len(t) for t in texts], np.int64) - length + 1
+    place = np.cumsum(windows) - windows
+    found = np.repeat(docs, windows)
+    of, first, count, most = np.arange(len(texts)), np.zeros(len(texts), np.int64), windows.copy(), 1
+    while True:
+        _, which, several = np.unique(keys[of], return_inverse=True, return_counts=True)
+        mixed = several[which] > 1  # what is alone has its own document
+        of, first, count, which = of[mixed], first[mixed], count[mixed], which[mixed]
+        if not len(of):
+            return found, place
+        order = np.lexsort((docs[of], which))
+        of, first, count, which = of[order], first[order], count[order], which[order]
+        begins = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+        rank = np.arange(len(of)) - np.repeat(begins, np.diff(np.append(begins, len(of))))
+        parts = [texts[i][a : a + c + length - 1] for i, a, c in zip(of.tolist(), first.tolist(), count.tolist(), strict=True)]
+        indexed = rank < most
+        index = RunLengthIndex([parts[i] for i in np.flatnonzero(indexed).tolist()], docs[of[indexed]], length)
+        least, at = index.stream(parts)
+        owner = np.repeat(np.arange(len(of)), count)
+        inner = np.arange(len(least)) - at[owner]
+        hit = least < _LAST
+        where = place[of[owner]] + first[owner] + inner
+        found[where[hit]] = least[hit]
+        hit |= indexed[owner]
+        left = np.flatnonzero(~hit)
+        if not len(left):
+            return found, place
+        new = np.flatnonzero(np.append(True, (left[1:] != left[:-1] + 1) | (owner[left[1:]] != owner[left[:-1]])))
+        count = np.diff(np.append(new, len(left)))
+        head = left[new]
+        of, first = of[owner[head]], first[owner[head]] + inner[head]
+        most *= 4
+
+
 def _match(length: int):
     def match(part: pd.DataFrame) -> pd.DataFrame:
-        """For each block of a bucket the least document of each window of its fragments.
-
-        A fragment whose key no other has can share windows with none, so its
-        windows' least document is its own; all others are indexed together.
-        """
+        """For each block of a bucket the least document of each window of its fragments."""
         known: dict[bytes, int] = {}
         number: list[np.ndarray] = []
         for raw, size in zip((_unzip(x) for x in part["data"]), (np.frombuffer(_unzip(x), np.uint32) for x in part["lens"]), strict=True):
@@ -358,16 +492,8 @@ def _match(length: int):
         keys[flat] = np.concatenate([np.frombuffer(_unzip(x), np.uint32) for x in part["keys"]])
         texts = list(known)
         del known
+        found, place = least_documents(texts, docs, keys, length)
         windows = np.array([len(t) for t in texts], np.int64) - length + 1
-        place = np.cumsum(windows) - windows
-        found = np.repeat(docs, windows)
-        _, which, many = np.unique(keys, return_inverse=True, return_counts=True)
-        mixed = np.flatnonzero(many[which] > 1)
-        if len(mixed):
-            index = RunLengthIndex([texts[i] for i in mixed.tolist()], docs[mixed], length)
-            least, at = index.stream()
-            w = windows[mixed]
-            found[np.repeat(place[mixed] - at, w) + np.arange(len(least))] = least
         answers = []
         for x in number:
             w = windows[x]
@@ -420,11 +546,12 @@ def _kept(cols):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, block: int = 2_500_000, bucket: int = 2_500_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, block: int = 2_500_000, bucket: int = 2_500_000, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of docs (doc_id, text).
 
     block, bucket: bytes of text for each block of documents and for each bucket
-    of hashes, about; both are as many as the input needs, none grows.
+    of hashes, about; both are as many as the input needs. hot: blocks that have a
+    hash from which on it is split by the bytes around its k-gram.
     """
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
@@ -432,7 +559,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block: int = 2_500_000, bu
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-total // bucket))
     keys = held.mapInArrow(lambda b: _list_keys(b, length, buckets), "bucket long, block long, keys binary, many binary")
-    shared = keys.groupBy("bucket").applyInPandas(_shared_keys, "block long, bucket long, bits binary")
+    shared = keys.groupBy("bucket").applyInPandas(_shared_keys(hot), "block long, bucket long, bits binary")
     shared = cut(shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("shared")), "shared")
     full = held.join(shared.hint("shuffle_hash"), "block", "left")
     sent = full.mapInArrow(lambda b: _send_fragments(b, length, buckets), "bucket long, block long, lens binary, data binary, least binary, keys binary")

@@ -145,21 +145,48 @@ def test_run_length_index(docs, empty):
         for w in new:
             first.setdefault(w, i)
         want[i * 3] = (len(b), sum(cov), len(re.findall(b"\1+", bytes(cov))), bytes(c for c, m in zip(b, cov, strict=True) if not m))
-    for kw in ({}, {"block": 3000, "bucket": 500}):
+    for kw in ({}, {"block": 3000, "bucket": 500}, {"block": 500, "hot": 2}, {"block": 2000, "hot": 1}):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rlindex.remove_repeats(docs, **kw).collect()}
         assert got == want
     assert sum(w[1] for w in want.values()) > 2000
     assert rlindex.remove_repeats(empty).count() == 0
 
 
-def test_transform_streams_every_window():
+def test_matching_statistics_of_other_texts():
+    """Texts that the index doesn't hold: a window has the least document of the indexed texts that hold it, or none."""
     rng = random.Random(2)
-    texts = list({bytes(rng.choice(b"ab") for _ in range(rng.randint(8, 40))) for _ in range(60)})
-    docs_ = np.array([rng.randint(0, 50) for _ in texts], np.int64)
-    found, place = rlindex.RunLengthIndex(texts, docs_, 8).stream()
+    for alphabet in (b"ab", b"abcdefgh", bytes(range(200))):
+        make = lambda n: [bytes(rng.choice(alphabet) for _ in range(rng.randint(8, 60))) for _ in range(n)]  # noqa: B023, E731
+        texts, others = make(50), make(40)
+        others += [t[rng.randint(0, 3) :] + bytes(rng.choice(alphabet) for _ in range(9)) for t in texts if len(t) > 12] + [b"\xf0" * 20]
+        docs_ = np.array([rng.randint(0, 50) for _ in texts], np.int64)
+        index = rlindex.RunLengthIndex(texts, docs_, 8)
+        found, place = index.stream(others)
+        for k, t in enumerate(others):
+            for p in range(len(t) - 7):
+                have = [int(d) for u, d in zip(texts, docs_, strict=True) if t[p : p + 8] in u]
+                assert found[place[k] + p] == (min(have) if have else rlindex._LAST)
+        assert (found < rlindex._LAST).any()
+
+
+def test_least_documents_by_rounds(monkeypatch):
+    rng = random.Random(6)
+    core = b"the same line in all"
+    texts = sorted({bytes(rng.choice(b"xyz") for _ in range(rng.randint(1, 14))) + core + bytes(rng.choice(b"xyz") for _ in range(rng.randint(1, 14))) for _ in range(150)})
+    texts = [t for t in texts if len(t) >= 24]
+    rng.shuffle(texts)
+    docs_, keys = np.array([rng.randint(0, 99) for _ in texts], np.int64), np.zeros(len(texts), np.uint32)
+    sizes = []
+    make = rlindex.RunLengthIndex.__init__
+    monkeypatch.setattr(rlindex.RunLengthIndex, "__init__", lambda self, t, *a: (sizes.append(len(t)), make(self, t, *a))[1])
+    found, place = rlindex.least_documents(texts, docs_, keys, 24)
     for k, t in enumerate(texts):
-        for p in range(len(t) - 7):
-            assert found[place[k] + p] == min(int(d) for u, d in zip(texts, docs_, strict=True) if t[p : p + 8] in u)
+        for p in range(len(t) - 23):
+            assert found[place[k] + p] == min(int(d) for u, d in zip(texts, docs_, strict=True) if t[p : p + 24] in u)
+    assert sizes[:3] == [1, 4, 16] and len(sizes) < 8
+    monkeypatch.setattr(rlindex.RunLengthIndex, "stream", lambda self, t: (np.full(sum(len(x) - 23 for x in t), rlindex._LAST), np.cumsum([len(x) - 23 for x in t]) - [len(x) - 23 for x in t]))
+    bypassed, _ = rlindex.least_documents(texts, docs_, keys, 24)
+    assert (bypassed != found).any()  # the answers come from the streams
 
 
 def test_language_mixture(spark, docs, empty):
