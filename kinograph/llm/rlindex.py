@@ -4,7 +4,7 @@ A byte goes if a string of `length` bytes that covers it also starts in a
 document with a smaller id. Repeats share the least hash of the k-grams in any
 `length` bytes, so texts are taken apart into fragments of windows that have
 one such least hash; fragments whose hash only one document has are left out,
-and the others are dealt out by it. Hashes that very many blocks of documents have
+and the others are dealt out by it. Hashes with very many different fragments
 are split by more of the bytes around the k-gram, so that a frequent line with
 other text around it each time fills no bucket; equal windows still meet.
 
@@ -39,8 +39,8 @@ from .frames import cut
 from .kept import nothing
 
 GRAM = 20
-#: Blocks that have a hash from which on it is split further.
-HOT = 32
+#: Fragments of one hash, those that are alike in one block once, from which on the hash is split.
+HOT = 20_000
 _LAST = (1 << 63) - 1
 
 
@@ -148,45 +148,58 @@ def _bounds(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(bucket[at].tolist(), at.tolist(), np.append(at[1:], len(bucket)).tolist(), strict=True))
 
 
-def _keys(h: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (bucket, key) in order, and whether several documents of the block have it."""
+def _contents(data: np.ndarray, length: int, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A hash of each fragment's bytes."""
+    up, down = power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    h = (sums[start + count + length - 1] - sums[start]) * down[start]
+    return (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _keys(h: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (bucket, key) in order, whether several documents of the block have it, and each fragment's place among them."""
     b, k = _split(h, buckets)
-    code = (b.astype(np.uint64) << np.uint64(32)) | k
-    order = np.lexsort((doc, code))
-    code, doc = code[order], doc[order]
-    at = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.empty(0, np.int64)
-    several = np.zeros(len(code), bool)
-    several[1:] = (code[1:] == code[:-1]) & (doc[1:] != doc[:-1])
-    many = np.logical_or.reduceat(several, at) if len(at) else np.empty(0, bool)
-    code = code[at]
-    return (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32), many
+    code, where = np.unique((b.astype(np.uint64) << np.uint64(32)) | k, return_inverse=True)
+    low, high = np.full(len(code), _LAST), np.full(len(code), -1)
+    np.minimum.at(low, where, doc)
+    np.maximum.at(high, where, doc)
+    return (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32), low < high, where
 
 
 def _list_keys(batches, length, buckets):
     for batch in batches:
         for row in batch.to_pylist():
             _, lens, raw = _open(row)
-            h, doc, _, _ = fragments(np.frombuffer(raw, np.uint8), lens, length)
-            b, k, many = _keys(h, doc, buckets)
-            cols: list[list] = [[], [], [], []]
+            data = np.frombuffer(raw, np.uint8)
+            h, doc, start, count = fragments(data, lens, length)
+            b, k, many, where = _keys(h, doc, buckets)
+            # unlike fragments of each key
+            content = _contents(data, length, start, count)
+            by = np.lexsort((content, where))
+            w, c = where[by], content[by]
+            unlike = np.bincount(w[np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])))] if len(w) else w, minlength=len(k)).astype(np.uint32)
+            cols: list[list] = [[], [], [], [], []]
             for bucket, i, j in _bounds(b):
-                for col, v in zip(cols, (bucket, row["block"], _zip(np.diff(k[i:j], prepend=np.uint32(0)).astype(np.uint32)), _zip(np.packbits(many[i:j]))), strict=True):
+                for col, v in zip(cols, (bucket, row["block"], _zip(np.diff(k[i:j], prepend=np.uint32(0)).astype(np.uint32)), _zip(np.packbits(many[i:j])), _zip(unlike[i:j])), strict=True):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["bucket", "block", "keys", "many"])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["bucket", "block", "keys", "many", "unlike"])
 
 
 def _shared_keys(hot: int):
     def shared_keys(part: pd.DataFrame) -> pd.DataFrame:
-        """For each block of a bucket two bits for each of its keys: whether several documents of the corpus have it, and whether so many blocks do that it is to be split."""
+        """For each block of a bucket two bits for each of its keys: whether several documents of the corpus have it, and whether it has so many fragments that it is to be split."""
         keys = [np.cumsum(np.frombuffer(_unzip(k), np.uint32), dtype=np.uint32) for k in part["keys"]]
         many = [np.unpackbits(np.frombuffer(_unzip(m), np.uint8), count=len(k)).astype(bool) for m, k in zip(part["many"], keys, strict=True)]
         _, where, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         shared = counts > 1
         shared[where[np.concatenate(many)]] = True
+        total = np.bincount(where, np.concatenate([np.frombuffer(_unzip(x), np.uint32) for x in part["unlike"]]))
         bits, at = [], 0
         for k in keys:
             w = where[at : at + len(k)]
-            bits.append(_zip(np.packbits(np.concatenate([shared[w], counts[w] >= hot]))))
+            bits.append(_zip(np.packbits(np.concatenate([shared[w], total[w] >= hot]))))
             at += len(k)
         return pd.DataFrame({"block": part["block"], "bucket": part["bucket"], "bits": bits})
 
@@ -238,15 +251,12 @@ def _candidates(row, length, buckets) -> tuple:
     ids, lens, raw = _open(row)
     data = np.frombuffer(raw, np.uint8)
     h, doc, start, count = fragments(data, lens, length)
-    b, k, _ = _keys(h, doc, buckets)
+    b, _, _, place = _keys(h, doc, buckets)
     shared, hot = np.zeros(len(b), bool), np.zeros(len(b), bool)
     bits = {s["bucket"]: s["bits"] for s in row["shared"] or ()}
     for bucket, i, j in _bounds(b):
         both = np.unpackbits(np.frombuffer(_unzip(bits[bucket]), np.uint8), count=2 * (j - i)).astype(bool)
         shared[i:j], hot[i:j] = both[: j - i], both[j - i :]
-    code = (b.astype(np.uint64) << np.uint64(32)) | k
-    fb, fk = _split(h, buckets)
-    place = np.searchsorted(code, (fb.astype(np.uint64) << np.uint64(32)) | fk) if len(code) else np.empty(0, np.int64)
     keep, split = (shared & ~hot)[place], (shared & hot)[place]
     found = [x[keep] for x in (h, doc, start, count)]
     if split.any():
@@ -550,7 +560,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block: int = 2_500_000, bu
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of docs (doc_id, text).
 
     block, bucket: bytes of text for each block of documents and for each bucket
-    of hashes, about; both are as many as the input needs. hot: blocks that have a
+    of hashes, about; both are as many as the input needs. hot: fragments of a
     hash from which on it is split by the bytes around its k-gram.
     """
     if length < GRAM:
@@ -558,7 +568,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block: int = 2_500_000, bu
     held = blocks(docs, block)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-total // bucket))
-    keys = held.mapInArrow(lambda b: _list_keys(b, length, buckets), "bucket long, block long, keys binary, many binary")
+    keys = held.mapInArrow(lambda b: _list_keys(b, length, buckets), "bucket long, block long, keys binary, many binary, unlike binary")
     shared = keys.groupBy("bucket").applyInPandas(_shared_keys(hot), "block long, bucket long, bits binary")
     shared = cut(shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("shared")), "shared")
     full = held.join(shared.hint("shuffle_hash"), "block", "left")

@@ -145,7 +145,7 @@ def test_run_length_index(docs, empty):
         for w in new:
             first.setdefault(w, i)
         want[i * 3] = (len(b), sum(cov), len(re.findall(b"\1+", bytes(cov))), bytes(c for c, m in zip(b, cov, strict=True) if not m))
-    for kw in ({}, {"block": 3000, "bucket": 500}, {"block": 500, "hot": 2}, {"block": 2000, "hot": 1}):
+    for kw in ({}, {"block": 3000, "bucket": 500}, {"block": 500, "hot": 3}, {"block": 2000, "hot": 1}):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rlindex.remove_repeats(docs, **kw).collect()}
         assert got == want
     assert sum(w[1] for w in want.values()) > 2000
