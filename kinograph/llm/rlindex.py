@@ -14,7 +14,7 @@ each run. All fragments are streamed against it from their ends: a matching
 statistic grows by one LF step as long as the run has the fragment's byte, else it
 jumps to the nearest run that has it, above or below, whichever the longer common
 extension from the sampled positions speaks for. Windows with a match of `length`
-bytes have their least document; what no index had goes on to the next, over four
+bytes have their least document; what no index had goes on to the next, over eight
 times as many fragments of a hash. In repetitive text the first index settles nearly
 all. The answers go back to the blocks of documents, not to single documents, so
 that a passage that a third of all documents share costs a block one row.
@@ -330,17 +330,18 @@ class RunLengthIndex:
         before = t[order - 1]  # of row 0's suffix, the whole text's last symbol
         first = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
         last = np.append(first[1:], n) - 1
-        self.symbols, self.first, self.last, self.runs = before[first], first, last, Marks(first, n)
+        self.symbols, self.first, self.last, self.runs = before[first], first.astype(np.int32), last.astype(np.int32), Marks(first, n)
         by = np.argsort(self.symbols, kind="stable")
         lengths = (last - first + 1)[by]
         self.leads = np.empty(len(first), np.int64)
         self.leads[by] = np.cumsum(lengths) - lengths
-        self.first_at, self.last_at = order[first], order[last]
+        self.leads = self.leads.astype(np.int32)
+        self.first_at, self.last_at = order[first].astype(np.int32), order[last].astype(np.int32)
         self.ordered = self.symbols[by].astype(np.int64) * len(first) + by  # runs by symbol, then place
         group = np.flatnonzero(~same)
         of = np.repeat(np.arange(len(texts)), sizes + 1)[order]
         self.groups, self.group_least = Marks(group, n), np.minimum.reduceat(docs[of], group)
-        self.start = order[0]
+        self.start = np.int32(order[0])
         self.words = np.lib.stride_tricks.as_strided(np.concatenate([t, np.zeros(length + 16, np.uint8)]), (n + length + 8, 8), (1, 1))
 
     def _word(self, at: np.ndarray) -> np.ndarray:
@@ -354,7 +355,7 @@ class RunLengthIndex:
         while len(open_):
             differ = self._word(a[open_] + done) ^ self._word(b[open_] + done)
             low = differ & (~differ + np.uint64(1))
-            agree = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3).astype(np.int64) + done
+            agree = (np.bitwise_count(low - np.uint64(1)) >> 3).astype(np.int32) + done  # 8 where none differs
             out[open_] = np.minimum(agree, most[open_])
             done += 8
             open_ = open_[(agree == done) & (most[open_] > done)]
@@ -364,7 +365,8 @@ class RunLengthIndex:
         """The least document of each window of each text, _LAST where the index lacks it, and where each text's begin.
 
         The matching statistics of all texts, from their ends; all step together,
-        longest first, so that those still running are the first of the array.
+        longest first, so that those still running are the first of the array. Texts
+        whose match can't reach the full length any more are let go.
         """
         sizes = np.array([len(t) for t in texts], np.int64)
         flat = np.frombuffer(b"".join(texts), np.uint8) + np.uint8(1)
@@ -373,10 +375,18 @@ class RunLengthIndex:
         out = np.full(int(windows.sum()), _LAST, np.int64)
         by = np.argsort(-sizes, kind="stable")
         ends, sizes, at = np.cumsum(sizes)[by], sizes[by], place[by]
-        live = np.searchsorted(-sizes, -np.arange(1, int(sizes.max(initial=0)) + 1), "right")
-        rows, position, have = np.zeros(len(texts), np.int64), np.full(len(texts), self.start), np.zeros(len(texts), np.int64)
-        n_runs = len(self.first)
-        for step, n in enumerate(live.tolist(), 1):
+        rows, position, have = np.zeros(len(texts), np.int32), np.full(len(texts), self.start), np.zeros(len(texts), np.int32)
+        sizes = sizes.astype(np.int32)
+        n_runs = np.int64(len(self.first))
+        step = 0
+        while True:
+            hope = have + sizes - step >= self.length
+            if np.count_nonzero(hope) < 0.9 * len(hope):
+                rows, position, have, sizes, ends, at = (x[hope] for x in (rows, position, have, sizes, ends, at))
+            step += 1
+            n = int(np.searchsorted(-sizes, -step, "right"))
+            if not n:
+                return out, place
             c = flat[ends[:n] - step]
             run = self.runs.last(rows[:n])
             other = np.flatnonzero(self.symbols[run] != c)
@@ -402,7 +412,6 @@ class RunLengthIndex:
             if step >= self.length:
                 full = np.flatnonzero(have[:n] == self.length)
                 out[at[full] + sizes[full] - step] = self.group_least[self.groups.last(rows[full])]
-        return out, place
 
 
 def _sorted_suffixes(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -485,7 +494,7 @@ def least_documents(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, leng
         count = np.diff(np.append(new, len(left)))
         head = left[new]
         of, first = of[owner[head]], first[owner[head]] + inner[head]
-        most *= 4
+        most *= 8
 
 
 def _match(length: int):
