@@ -7,7 +7,8 @@ ids are handed to all documents that hold it. Where two chunks meet, a window
 over the joint is encoded again and widened until its ends agree with the ids
 on both sides; then it replaces them.
 
-Null and empty texts have no ids. Equal rows are each answered.
+Null and empty texts have no ids. Rows of equal or null doc_id are each answered; a
+chunk that such rows share is encoded by whoever has it first.
 """
 
 from __future__ import annotations

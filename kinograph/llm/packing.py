@@ -5,6 +5,9 @@ bound on its number of sequences from dual-feasible functions. Where the two
 differ, the pieces of sequences that aren't full go into a pool, are dealt out
 anew and packed again, until no partition has a gap or the rounds are over. A
 round that doesn't lower the number of sequences is not taken.
+
+Null and empty texts have the end id alone. Rows of equal or null doc_id are documents
+each, and their pieces are placed each for itself.
 """
 
 from __future__ import annotations
@@ -116,7 +119,8 @@ def pack(parts: DataFrame, capacity: int = 2048, group: int = 32_768, rounds: in
 
     def packed(rows: DataFrame, round_: int) -> DataFrame:
         groups = max(1, -(-rows.count() // group))
-        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_)), F.lit(groups)).cast("long")
+        # rows are dealt out by their file's and row's place as well, so that equal rows don't fill one group
+        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_), F.monotonically_increasing_id()), F.lit(groups)).cast("long")
         return cut(rows.withColumn("grp", key).groupBy("grp").applyInPandas(_packed(capacity, round_), schema), f"packed{round_}")
 
     done, now = [], packed(open_, 0)

@@ -9,7 +9,8 @@ for a few; only rows that stay competitive are probed in the non-essential
 terms. Shards keep their k best and are merged.
 
 Vectors that are null, or have null, NaN or infinite components, take no part.
-Scores tie to the smaller id. Rows with equal ids are each a candidate, but not
+Vectors meet those of their own length only; scores and components beyond 64 bits are
+an error. Scores tie to the smaller id. Rows with equal ids are each a candidate, but not
 for a query of that id; equal queries are asked once.
 """
 
@@ -29,13 +30,17 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and v (array of long: floor(scale * x), x as double) of the rows that take part."""
     e = F.col("embedding")
     ok = e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    v = F.transform(e, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
+    wide = F.raise_error(F.lit("a component is too large for a 64-bit integer")).cast("long")
+    whole = lambda x: F.floor(F.lit(scale) * x.cast("double"))
+    v = F.transform(e, lambda x: F.when(F.abs(F.lit(scale) * x.cast("double")) < float(1 << 62), whole(x).cast("long")).otherwise(wide))
     return vectors.where(ok & F.col("vec_id").isNotNull()).select("vec_id", v.alias("v"))
 
 
 def max_score(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of the k best rows of x for the query q, without rows of id `own`; x is column-major."""
     n, dims = x.shape
+    if dims and float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * dims >= float(1 << 60):
+        return _large(x, ids, q, own, k)
     live = ids != own
     lo, hi = x.min(axis=0), x.max(axis=0)
     width = np.abs(q) * (hi - lo)
@@ -72,6 +77,17 @@ def max_score(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -
     return ids[rows][by], part[by]
 
 
+def _large(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for components whose products may pass 64 bits: in integers of any size; a score that does is an error."""
+    rows = np.flatnonzero(ids != own)
+    scores = x[rows].astype(object) @ q.astype(object)
+    by = sorted(range(len(rows)), key=lambda i: (-scores[i], ids[rows[i]]))[:k]
+    best = [scores[i] for i in by]
+    if any(not -(1 << 63) <= s < 1 << 63 for s in best):
+        raise OverflowError("a score is too large for a 64-bit integer")
+    return ids[rows[by]], np.array(best, np.int64)
+
+
 def _search(k: int):
     def search(part: pd.DataFrame) -> pd.DataFrame:
         rows, asks = part[part["is_query"] == 0], part[part["is_query"] == 1]
