@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections import defaultdict
+from threading import get_ident
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: By thread of the driver, so that plans built side by side keep their tables apart.
+_written: defaultdict[int, list[tuple[SparkSession, str]]] = defaultdict(list)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/kinograph-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[get_ident()].append((spark, path))
     return path
 
 
@@ -41,15 +44,35 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables this thread has written; for drop()."""
+    return len(_written[get_ident()])
+
+
+def drop(since: int, but_last: int = 0) -> None:
+    """Remove the tables that this thread wrote since then, except the last few, where nothing reads them any more."""
+    mine = _written[get_ident()]
+    end = len(mine) - but_last
+    gone = mine[since:end]
+    del mine[since:end]
+    for spark, path in gone:
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def release() -> None:
     """Remove the tables that cut() wrote; frames that read them are void afterwards."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session may be gone
-            return
+    for mine in list(_written.values()):
+        while mine:
+            spark, path = mine.pop()
+            try:
+                _remove(spark, path)
+            except Exception:  # noqa: BLE001  the session may be gone
+                return
 
 
 atexit.register(release)

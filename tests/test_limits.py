@@ -115,3 +115,12 @@ def test_a_cluster_without_a_shared_folder_is_refused():
     session = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d=None: None), sparkContext=types.SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(session)
+
+
+def test_tables_of_a_step_are_dropped_and_the_last_is_kept(spark):
+    since = shared.written()
+    one, two = shared.cut(spark.range(5), "one"), shared.cut(spark.range(7), "two")
+    shared.drop(since, but_last=1)
+    assert two.count() == 7 and shared.written() == since + 1
+    with pytest.raises(Exception):  # noqa: B017  any reader's error
+        one.count()
