@@ -41,6 +41,8 @@ from .kept import nothing
 GRAM = 20
 #: Fragments of one hash, those that are alike in one block once, from which on the hash is split.
 HOT = 20_000
+#: Windows of the longest text that is streamed in one piece.
+SPAN = 96
 _LAST = (1 << 63) - 1
 
 
@@ -466,7 +468,13 @@ def least_documents(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, leng
     windows = np.array([len(t) for t in texts], np.int64) - length + 1
     place = np.cumsum(windows) - windows
     found = np.repeat(docs, windows)
-    of, first, count, most = np.arange(len(texts)), np.zeros(len(texts), np.int64), windows.copy(), 1
+    _, which, several = np.unique(keys, return_inverse=True, return_counts=True)
+    of, most = np.flatnonzero(several[which] > 1), 1
+    # long texts in parts of SPAN windows: all step together, so the longest sets the number of steps
+    parts = -(-windows[of] // SPAN)
+    of = np.repeat(of, parts)
+    first = SPAN * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+    count = np.minimum(SPAN, windows[of] - first)
     while True:
         _, which, several = np.unique(keys[of], return_inverse=True, return_counts=True)
         mixed = several[which] > 1  # what is alone has its own document
