@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.shared import cut, release, scratch, shared_dir
+from ..sources.shared import cut, drop, release, scratch, shared_dir, written
 
-__all__ = ["cut", "load", "release", "scratch", "shared_dir"]
+__all__ = ["cut", "drop", "load", "release", "scratch", "shared_dir", "written"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import power_tables, text_groups
-from .frames import cut
+from .frames import cut, drop, written
 from .kept import nothing
 
 _END = re.compile(r"(?:[.!?…]+[\"'”’)\]]*(?:\s+|$)|[。！？｡]+[\"'”’)\]」』）】》〉]*\s*|\n\s*)")
@@ -198,6 +198,7 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     doc_id, text = f"c{docs.columns.index('doc_id')}", f"c{place}"
     keyed = plain.withColumn("row", F.hash(text))  # rows of one doc_id are told apart by their texts
     spans = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), "row", F.col(text).alias("text")).mapInArrow(lambda b: _list(b, least_sentences, least_words), _SPANS)
+    since = written()
     spans = cut(spans, "spans")
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     once = spans.where("not again")
@@ -207,6 +208,7 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     hit = lambda df: df.select("doc_id", "row", F.struct("a", "b").alias("hit"))
     hits = hit(later).unionByName(hit(spans.where("again"))).groupBy("doc_id", "row").agg(F.collect_list("hit").alias("hits"))
     hits = cut(hits.withColumnRenamed("row", "key"), "hits").hint("shuffle_hash")
+    drop(since, but_last=1)  # the spans have been read
     fields = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
     full = keyed.join(hits, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("row") == F.col("key")), "left").select(*plain.columns, "hits")
     out = full.mapInArrow(lambda b: _remove(b, place), f"{fields}, n int")
