@@ -126,13 +126,16 @@ class UnitEncoder:
         units = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
         if len(self.known) > self.limit:
             self.known = {}
-        known, new = self.known, []
-        for u in units:
-            if u:
-                new += [x for x in u if x not in known]
+        known, new, found = self.known, [], []
+        for u in units:  # one look-up a unit: the memory is far larger than the processor's caches
+            got = list(map(known.get, u)) if u else []
+            if None in got:
+                new += [x for x, ids in zip(u, got, strict=True) if ids is None]
+            found.append(got)
         if new:
             self._learn(list(set(new)))
-        return [self._ids(t) if u is None else b"".join(map(known.__getitem__, u)) for t, u in zip(texts, units, strict=True)]
+            found = [[known[x] if ids is None else ids for x, ids in zip(u, got, strict=True)] if None in got else got for u, got in zip(units, found, strict=True)]
+        return [self._ids(t) if u is None else b"".join(got) for t, u, got in zip(texts, units, found, strict=True)]
 
 
 def encoder(path: str, limit: int = 700_000) -> UnitEncoder:
