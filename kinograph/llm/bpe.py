@@ -36,6 +36,8 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _MARKS = ".,;:!?#*$%&)"
 _PLAIN = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u017f]+")
 _WINDOW = 32
+#: Characters of the texts whose units are looked up together.
+_NEAR = 250_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -46,11 +48,12 @@ class UnitEncoder:
     suffix, and a splitting pattern that never takes white space), the ids of a
     text are those of its units between white space, one after another. Units
     and the pieces that the pattern splits them into are kept with their ids,
-    at most `limit` of each; new pieces are encoded many at once, and their ids
-    are told apart by the suffix. Any other tokenizer encodes whole texts.
+    some `limit` of them in all; new pieces are encoded many at once, by the same
+    model without the steps that leave them as they are, and their ids are told
+    apart by the suffix. Any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -58,8 +61,7 @@ class UnitEncoder:
         self.by_unit = pair == self._ids("ab") + self._ids("cd") == self._ids("ab \n\t  cd ") and self._ids(" \n\t ") == b""
         self.limit = limit
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.pattern, self.ends = None, None
+        self.pattern, self.ends, self.bare = None, None, None
         kept = json.loads(self.tok.to_str())
         self.numerals = [str(i) for i in range(self.tok.get_vocab_size())]
         names = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size())]
@@ -71,6 +73,8 @@ class UnitEncoder:
             vocabulary = self.tok.get_vocab()
             self.pattern, self.ends = regex.compile(found[0]), np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            steps = [x for x in kept["pre_tokenizer"]["pretokenizers"] if x["type"] != "Split"]
+            self.bare = Tokenizer.from_str(json.dumps(kept | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}, "added_tokens": []}))
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.names[i] for i in ids]) if self.names else self.tok.decode(ids, skip_special_tokens=False)
@@ -82,47 +86,60 @@ class UnitEncoder:
         return [array("I", e.ids).tobytes() for i in range(0, len(texts), 5000) for e in self.tok.encode_batch_fast(texts[i : i + 5000], add_special_tokens=False)]
 
     def _learn(self, units: list[str]) -> None:
-        """The ids of units: most are a word and marks behind it, the others are split by the pattern, and odd ones are encoded as they are."""
+        """The ids of units: most are a word and marks behind it, the others are split by the pattern, and odd ones are encoded as they are.
+
+        A piece alone is split into itself, so pieces are units too.
+        """
+        known = self.known
         if not self.pattern:
-            self.known.update(zip(units, self._each(units), strict=True))
+            known.update(zip(units, self._each(units), strict=True))
             return
-        if len(self.pieces) > self.limit:
-            self.pieces = {}
-        pieces, other, plain, parts, fresh = self.pieces, [], [], [], set()
+        other, words, marked, split = [], [], [], []
         for u in units:
             w = u.rstrip(_MARKS)
             if w.isalpha() and (w.isascii() or _PLAIN.fullmatch(w)):
-                w = w.lower()
-                parts.append((w, u[len(w) :]) if len(u) > len(w) else (w,))
-                plain.append(u)
-                if w not in pieces:
-                    fresh.add(w)
+                if len(w) < len(u):
+                    marked.append((u, w.lower(), u[len(w) :]))
+                else:
+                    words.append(u)
             elif _PLAIN.fullmatch(u) and "<|" not in u:
-                ps = self.pattern.findall(u.lower())
-                parts.append(ps)
-                plain.append(u)
-                fresh.update(ps)
+                split.append((u, self.pattern.findall(u.lower())))
             else:
                 other.append(u)
-        fresh.update([ps[1] for ps in parts if len(ps) == 2])
-        self.known.update(zip(other, self._each(other), strict=True))
-        listed = [p for p in fresh if p not in pieces]
+        lower = [w.lower() for w in words]
+        fresh = set(lower)
+        fresh.update([w for _, w, _ in marked], [m for _, _, m in marked], *[ps for _, ps in split])
+        listed = [p for p in fresh if p not in known]
         for i in range(0, len(listed), 2000):
             some = listed[i : i + 2000]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.bare.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(ends) != len(some):  # not a piece each: one by one
-                pieces.update(zip(some, self._each(some), strict=True))
+                known.update(zip(some, self._each(some), strict=True))
                 continue
             raw, at = ids.tobytes(), 0
             for p, end in zip(some, ends.tolist(), strict=True):
-                pieces[p] = raw[at:end]
+                known[p] = raw[at:end]
                 at = end
-        self.known.update(zip(plain, [b"".join([pieces[p] for p in ps]) for ps in parts], strict=True))
+        known.update([(u, known[w]) for u, w in zip(words, lower, strict=True) if u != w])
+        known.update([(u, known[w] + known[m]) for u, w, m in marked])
+        known.update([(u, b"".join([known[p] for p in ps])) for u, ps in split])
+        known.update(zip(other, self._each(other), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:
             return [array("I", e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        out, at = [], 0
+        while at < len(texts):  # a few texts at a time, so that their units are still in the processor's caches when they are joined
+            end, size = at, 0
+            while end < len(texts) and size < _NEAR:
+                size += len(texts[end])
+                end += 1
+            out += self._some(texts[at:end])
+            at = end
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         units = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
         if len(self.known) > self.limit:
             self.known = {}
@@ -138,8 +155,8 @@ class UnitEncoder:
         return [self._ids(t) if u is None else b"".join(got) for t, u, got in zip(texts, units, found, strict=True)]
 
 
-def encoder(path: str, limit: int = 700_000) -> UnitEncoder:
-    """One for each Python worker; some 200 bytes for each unit and piece that it keeps."""
+def encoder(path: str, limit: int = 1_200_000) -> UnitEncoder:
+    """One for each Python worker; some 200 bytes for each unit or piece that it keeps."""
     return kept(("encoder", path), lambda: UnitEncoder(path, limit))
 
 

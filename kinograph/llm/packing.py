@@ -86,8 +86,8 @@ def _pieces(batches, path, capacity, end_id, limit):
         )
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, limit: int = 700_000) -> DataFrame:
-    """The pieces of at most `capacity` tokens of every row of docs (doc_id, text), end_id after each text (null: empty). limit: units that an encoder keeps."""
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, limit: int = 1_200_000) -> DataFrame:
+    """The pieces of at most `capacity` tokens of every row of docs (doc_id, text), end_id after each text (null: empty). limit: units and pieces that an encoder keeps."""
     return docs.select("doc_id", "text").mapInArrow(lambda b: _pieces(b, path, capacity, end_id, limit), _PIECES)
 
 

@@ -44,7 +44,7 @@ def op6_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(load(spark, sf_dir, "documents"), tokenizer_path(), limit=900_000))
+    return packing.pack(packing.pieces(load(spark, sf_dir, "documents"), tokenizer_path(), limit=1_500_000))
 
 
 def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
