@@ -552,3 +552,16 @@ def test_grams_of_words():
     assert len(langid._grams([])[0]) == 0
     same = [b for b, o in zip(*(x.tolist() for x in langid._grams(["ab", "ab"])), strict=True)]
     assert collections.Counter(same) and all(v % 2 == 0 for v in collections.Counter(same).values())
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_units_of_odd_texts_have_the_tokenizers_ids(name):
+    """Marks, contractions, case that composes, odd white space and special tokens, with a memory that is let go every few texts."""
+    tok = bpe.Tokenizer.from_file(public_tokenizers.path(name))
+    enc, r = bpe.UnitEncoder(public_tokenizers.path(name), limit=500), random.Random(5)
+    letters = "aAéÉßŒœıİſ'’sStT<|>.,!?#$%&*()0123  \n\t\x1c̀中ΣςŉĸĿ-_"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    texts += ["<|endoftext|> a<|startoftext|>b", "'s's 'S x''s !'s", "ŉ Ŀl ŀ ſ ẞ", "", " \n"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [i for at in range(0, len(texts), 50) for i in enc.encode(texts[at : at + 50])]
+    assert [np.frombuffer(i, "<u4").tolist() for i in got] == want
