@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, html_blocks, langid, packing, rlindex, sentence_spans, simhash, token_rollup, topk
+from . import bpe, digest, html_blocks, langid, packing, periodic, rlindex, sentence_spans, simhash, token_rollup, topk
 from .frames import cut, load, scratch
 
 
@@ -81,6 +81,33 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def _repeating(doc_id: Column, text: Column) -> Column:
+    """Every tenth text, by a hash of its id, with all words from one place on replaced by the first few from there, again and again."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def spoilt(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when(h % 10 == 0, F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, spoilt(w))), F.lit(0))).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", _repeating(F.col("doc_id"), F.col("text")).alias("text"))
+    out = periodic.detect(docs).withColumn("best", periodic.strongest(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +118,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_blocks, op2_sentence_spans, op3_bpe_chunks, op4_run_length_index, op5_language_mixture,
-        op6_simhash_balls, op7_best_fit_packing, op8_token_rollups, op9_exact_digest, op10_max_score, pipeline,
+        op6_simhash_balls, op7_best_fit_packing, op8_token_rollups, op9_exact_digest, op10_max_score, op13_periodic_runs, pipeline,
     )
 }
 
