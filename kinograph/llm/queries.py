@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, html_blocks, langid, packing, periodic, rlindex, sentence_spans, simhash, token_rollup, topk
+from . import bpe, digest, html_blocks, langid, packing, periodic, rlindex, sentence_spans, simhash, token_rollup, topk, warc
 from .frames import cut, load, scratch
 
 
@@ -81,6 +81,28 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(load(spark, sf_dir, "pages"), scratch(spark, "warc"), least=0)
+    records = cut(warc.read(archives).where("record_type is null or record_type != 'warcinfo'"), "records")
+    return warc.resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
+
+
+_OP11 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+g AS (SELECT payload, max(page_id) AS first, count(*) AS n FROM p GROUP BY payload),
+r AS (
+  SELECT p.page_id, octet_length(p.payload) AS size, sha1(p.payload) AS hex,
+    CASE WHEN g.first IS NOT NULL AND p.page_id IS DISTINCT FROM g.first THEN g.first END AS refers_to
+  FROM p JOIN g ON p.payload = g.payload)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, CAST(10 * (x // 8) + 1 AS INTEGER), 10) AS BIGINT) >> (35 - 5 * (x % 8))) & 31 AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, 'ok' AS status
+FROM r
+"""
+
+
 def _repeating(doc_id: Column, text: Column) -> Column:
     """Every tenth text, by a hash of its id, with all words from one place on replaced by the first few from there, again and again."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -118,8 +140,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_blocks, op2_sentence_spans, op3_bpe_chunks, op4_run_length_index, op5_language_mixture,
-        op6_simhash_balls, op7_best_fit_packing, op8_token_rollups, op9_exact_digest, op10_max_score, op13_periodic_runs, pipeline,
+        op6_simhash_balls, op7_best_fit_packing, op8_token_rollups, op9_exact_digest, op10_max_score, op11_warc_archives, op13_periodic_runs, pipeline,
     )
 }
 
-ORACLES = {"op10_max_score": _OP10}
+ORACLES = {"op10_max_score": _OP10, "op11_warc_archives": _OP11}
