@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, html_blocks, langid, packing, periodic, rlindex, sentence_spans, simhash, token_rollup, topk, warc
+from . import bpe, digest, html_blocks, langid, packing, periodic, rlindex, sentence_spans, simhash, token_rollup, topk, turns, warc
 from .frames import cut, load, scratch
 
 
@@ -103,6 +103,28 @@ FROM r
 """
 
 
+def _spoilt(talks: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text with one fault in five of twenty rows, by a hash of conversation and turn; nulls are one space."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(shown("text"), "[.!?]", "")).otherwise(shown("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(shown("role"))
+    rows = talks.select("conv_id", "turn", "role", "text", kind.alias("kind")).where("kind != 0")
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = load(spark, sf_dir, "conversations")
+    rows = _spoilt(talks)
+    found = turns.inspect(rows)
+    digests = turns.repaired(rows, found, digest=True).withColumnRenamed("conv_id", "of")
+    ids = talks.select(F.col("conv_id").alias("id")).distinct()
+    out = ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").join(digests, F.col("id").eqNullSafe(F.col("of")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    nothing = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of the empty string
+    return out.select(F.col("id").alias("conv_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.lit(nothing)).alias("repaired_sha256"))
+
+
 def _repeating(doc_id: Column, text: Column) -> Column:
     """Every tenth text, by a hash of its id, with all words from one place on replaced by the first few from there, again and again."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -140,7 +162,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_blocks, op2_sentence_spans, op3_bpe_chunks, op4_run_length_index, op5_language_mixture,
-        op6_simhash_balls, op7_best_fit_packing, op8_token_rollups, op9_exact_digest, op10_max_score, op11_warc_archives, op13_periodic_runs, pipeline,
+        op6_simhash_balls, op7_best_fit_packing, op8_token_rollups, op9_exact_digest, op10_max_score, op11_warc_archives, op12_turn_repair, op13_periodic_runs, pipeline,
     )
 }
 
