@@ -125,6 +125,70 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("conv_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.lit(nothing)).alias("repaired_sha256"))
 
 
+_OP12 = r"""
+WITH RECURSIVE
+bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes
+  FROM conversations),
+hashed AS (
+  SELECT * EXCLUDE (bytes, t), xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295) % 20 AS kind
+  FROM keyed, bits),
+rows AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END))
+  FROM hashed WHERE kind <> 0),
+placed AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown,
+    row_number() OVER w AS n, lag(left(role, 1)) OVER w AS before
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
+faults AS (
+  SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM placed),
+counted AS (
+  SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n_rows
+  FROM faults GROUP BY conv_id),
+grammar(a, r, b) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')),
+ways(letters, edit, a, r, b, cost) AS (
+  SELECT '', 'D', a, '', a, 4 FROM (VALUES (''), ('s'), ('u'), ('a')) x(a)
+  UNION ALL SELECT '', 'K', a, r, b, 0 FROM grammar UNION ALL SELECT '', 'R', a, '', b, 3 FROM grammar WHERE r <> 's'
+  UNION ALL SELECT 'I', 'D', a, '', b, 7 FROM grammar WHERE r <> 's'
+  UNION ALL SELECT 'I', 'K', g.a, h.r, h.b, 3 FROM grammar g JOIN grammar h ON h.a = g.b WHERE g.r <> 's'
+  UNION ALL SELECT 'I', 'R', g.a, '', h.b, 6 FROM grammar g JOIN grammar h ON h.a = g.b WHERE g.r <> 's'),
+best AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, '' AS state, {'cost': CAST(0 AS BIGINT), 'audit': ''} AS way FROM counted
+  UNION ALL
+  SELECT p.conv_id, p.n + 1, w.b, min({'cost': p.way.cost + w.cost + CASE WHEN f.fault = 'truncated' AND w.edit <> 'D' THEN 3 ELSE 0 END, 'audit': p.way.audit || w.letters || w.edit})
+  FROM best p JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.n = p.n + 1
+    JOIN ways w ON w.a = p.state AND (w.r = '' OR w.r = f.i) AND (w.edit = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY p.conv_id, p.n, w.b),
+chosen AS (
+  SELECT c.conv_id, min({'cost': b.way.cost + CASE WHEN b.state = 'u' THEN 3 ELSE 0 END, 'audit': b.way.audit || CASE WHEN b.state = 'u' THEN 'I' ELSE '' END}) AS way
+  FROM counted c JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.n = c.n_rows WHERE b.state <> 's' GROUP BY c.conv_id),
+letters AS (
+  SELECT conv_id, way.audit AS audit, CAST(unnest(range(1, len(way.audit) + 1)) AS BIGINT) AS k FROM chosen),
+edits AS (
+  SELECT conv_id, k, substr(audit, k, 1) AS edit, k - (len(left(audit, k)) - len(replace(left(audit, k), 'I', ''))) AS n FROM letters),
+kept AS (
+  SELECT e.conv_id, e.k, e.edit, f.role, f.text, f.i, row_number() OVER (PARTITION BY e.conv_id ORDER BY e.k) AS spot
+  FROM edits e LEFT JOIN faults f ON e.edit <> 'I' AND f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.n = e.n WHERE e.edit <> 'D'),
+shifted AS (
+  SELECT *, CASE WHEN first_value(CASE WHEN edit = 'K' THEN i END) OVER (PARTITION BY conv_id ORDER BY spot) = 's' THEN spot - 1 ELSE spot END AS turn_no FROM kept),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN turn_no % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY spot) AS whole
+  FROM shifted GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(c.gaps, 0) AS BIGINT) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+  coalesce(c.illegal, 0) AS illegal, coalesce(h.way.cost, 0) AS cost, coalesce(h.way.audit, '') AS audit, sha256(coalesce(t.whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN chosen h ON h.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
 def _repeating(doc_id: Column, text: Column) -> Column:
     """Every tenth text, by a hash of its id, with all words from one place on replaced by the first few from there, again and again."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -166,4 +230,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op10_max_score": _OP10, "op11_warc_archives": _OP11}
+ORACLES = {"op10_max_score": _OP10, "op11_warc_archives": _OP11, "op12_turn_repair": _OP12}

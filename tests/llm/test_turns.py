@@ -146,3 +146,6 @@ def test_all_conversations(spark, sf):
     got = queries.op12_turn_repair(spark, f"/root/testdata/{sf}").collect()
     names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
     assert {r.conv_id: tuple(r[x] for x in names) for r in got} == want and len(got) == len(want)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '/root/testdata/{sf}/conversations.parquet'")
+    assert {r[0]: r[1:] for r in con.sql(queries.ORACLES["op12_turn_repair"]).fetchall()} == want
