@@ -1,21 +1,32 @@
 """Raw files to canonical tables, and what is checked on the way.
 
-Tables are written as Parquet, partitioned by match and period, so that a
-match's rows are replaced by overwriting its own partitions.
+Tables are Parquet, in folders by build, match and period. A build writes all its
+tables and then publishes them at once (versions.py); it replaces the matches that it
+has rows of, in every table, and no others. `rebuild` builds only what changed since
+the source lock of the last version.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import HALF_LENGTH_M, HALF_WIDTH_M
+from ..functions.ranks import at_ranks
+from . import raw as tracking
+from . import versions
+from .raw import framesets
+from .shared import cut, opened
 from .tables import KEYS, SCHEMAS
 
 PARTITIONED = {"positions": ("match_id", "period"), "frames": ("match_id", "period"), "ball_state": ("match_id", "period"), "events": ("match_id", "period")}
 
-#: The layout of tracking XML: one FrameSet for each entity and half, with a Frame for each moment.
-_FRAMESETS = "_GameSection STRING, _MatchId STRING, _TeamId STRING, _PersonId STRING, Frame ARRAY<STRUCT<_N: BIGINT, _T: STRING, _X: DOUBLE, _Y: DOUBLE, _BallPossession: INT, _BallStatus: INT>>"
 BALL_TEAM = "BALL"
 
 
@@ -25,13 +36,6 @@ def _conformed(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t.lower()).alias(n) for n, t in fields])
 
 
-def framesets(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a tracking file: match, section, team, entity and one row for each frame."""
-    raw = spark.read.format("xml").schema(_FRAMESETS).option("rowTag", "FrameSet").load(path)
-    f = raw.select(F.col("_MatchId").alias("match_id"), F.col("_GameSection").alias("period"), F.col("_TeamId").alias("team_id"), F.col("_PersonId").alias("entity_id"), F.explode("Frame").alias("f"))
-    return f.select("match_id", "period", "team_id", "entity_id", F.col("f._N").alias("frame_id"), F.col("f._T").alias("timestamp_utc"), F.col("f._X").alias("x_m"), F.col("f._Y").alias("y_m"), F.col("f._BallPossession").alias("possession"), F.col("f._BallStatus").alias("status"))
-
-
 def ball_state(sets: DataFrame) -> DataFrame:
     """Possession and whether the ball is in play; whatever isn't the home side's counts as away."""
     b = sets.where(F.col("team_id") == BALL_TEAM)
@@ -51,7 +55,7 @@ def frames(sets: DataFrame, rate_hz: int = 25) -> DataFrame:
     return _conformed(sets.where(F.col("team_id") == BALL_TEAM).select(*KEYS, "frame_id", "timestamp_utc", F.lit(rate_hz).alias("analysis_rate_hz")), "frames")
 
 
-def metadata(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def metadata(spark: SparkSession, path: str | Sequence[str]) -> dict[str, DataFrame]:
     """matches, teams and players of match information files. Goalkeepers are told by the position TW; no position leaves it unknown."""
     team = "STRUCT<_TeamId: STRING, _TeamName: STRING, _Role: STRING, Players: STRUCT<Player: ARRAY<STRUCT<_PersonId: STRING, _FirstName: STRING, _LastName: STRING, _Shortname: STRING, _ShirtNumber: INT, _PlayingPosition: STRING, _Starting: BOOLEAN>>>>"
     ddl = f"General STRUCT<_MatchId: STRING, _CompetitionId: STRING, _CompetitionName: STRING, _Season: STRING, _MatchDay: STRING, _MatchTitle: STRING, _KickoffTime: STRING, _Result: STRING>, Environment STRUCT<_PitchX: DOUBLE, _PitchY: DOUBLE>, Teams STRUCT<Team: ARRAY<{team}>>"
@@ -84,37 +88,115 @@ def orientation(events: DataFrame, teams: DataFrame, kickoffs: DataFrame) -> Dat
     return _conformed(o, "orientation")
 
 
-def write(df: DataFrame, root: str, table: str) -> None:
-    """Write a table, its rows by match and period in files of their own, replacing the partitions that df has rows of and no others."""
-    parts = PARTITIONED.get(table, ("match_id",))
-    out = df.repartition(*parts).sortWithinPartitions(*[c for c in ("frame_id", "row_index") if c in df.columns] or parts)
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*parts).parquet(f"{root}/{table}")
-
+def upsert(df: DataFrame, root: str, table: str) -> int:
+    """Replace the rows of df's matches in one table; the number of the version."""
+    spark = df.sparkSession
+    put = versions.store(_conformed(df, table), root, table, versions.new_build(), PARTITIONED.get(table, ("match_id",)))
+    return versions.publish(spark, root, put, put)
 
-def upsert(df: DataFrame, root: str, table: str) -> None:
-    """Replace the rows of df's matches in a shared table."""
-    write(_conformed(df, table), root, table)
 
-
-def build(spark: SparkSession, raw: dict[str, str], root: str, events: DataFrame | None = None, kickoffs: DataFrame | None = None) -> None:
-    """All canonical tables of all matches whose files the paths in raw (tracking, information) match, in one job for each table."""
-    sets = framesets(spark, raw["tracking"])
-    meta = metadata(spark, raw["information"])
-    for name, df in meta.items():
-        write(df, root, name)
-    write(ball_state(sets), root, "ball_state")
-    write(frames(sets), root, "frames")
-    write(positions(sets, meta["teams"]), root, "positions")
+def _stored(spark: SparkSession, root: str, sets: DataFrame, meta: dict[str, DataFrame], events: DataFrame | None, kickoffs: DataFrame | None) -> DataFrame:
+    """All tables under one new build: rows for a manifest. Nothing is visible yet."""
+    tables = {**meta, "ball_state": ball_state(sets), "frames": frames(sets), "positions": positions(sets, meta["teams"])}
     if events is not None:
-        write(_conformed(events, "events"), root, "events")
+        tables["events"] = _conformed(events, "events")
         if kickoffs is not None:
-            write(orientation(events, meta["teams"], kickoffs), root, "orientation")
+            tables["orientation"] = orientation(events, meta["teams"], kickoffs)
+    build = versions.new_build()
+    return reduce(DataFrame.unionByName, [versions.store(df, root, name, build, PARTITIONED.get(name, ("match_id",))) for name, df in tables.items()])
+
+
+def _everywhere(matches: DataFrame) -> DataFrame:
+    """These matches in every table."""
+    return matches.select("match_id", F.explode(F.array(*map(F.lit, SCHEMAS))).alias("table"))
+
 
+def build(spark: SparkSession, raw: dict[str, str], root: str, events: DataFrame | None = None, kickoffs: DataFrame | None = None) -> int:
+    """All canonical tables of all matches whose files the paths in raw (tracking, information) match, in one job for each table; the number of the version."""
+    put = cut(_stored(spark, root, framesets(spark, raw["tracking"]), metadata(spark, raw["information"]), events, kickoffs), "built")
+    return versions.publish(spark, root, put, _everywhere(put.select("match_id").distinct()))
 
-def source_lock(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest of raw files: path, length and SHA-256 of the content."""
-    b = spark.read.format("binaryFile").load(path)
-    return b.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+@dataclass(frozen=True)
+class Rebuilt:
+    """What a rebuild did: its version, the files that differed from the lock, and the matches that were built or removed."""
+
+    version: int | None
+    differences: DataFrame
+    matches: DataFrame
+
+
+def rebuild(spark: SparkSession, raw: dict[str, str], root: str, events: DataFrame | None = None, kickoffs: DataFrame | None = None) -> Rebuilt:
+    """Build the matches of files that are new, changed or missing since the lock of the last version, and publish them with a new lock.
+
+    A match is built from all its files, those that are as before included; matches that no file is about any more
+    are removed. Without a difference nothing is written. Every file is read once for its digest, and only the files of
+    such matches once more. The paths of those are collected to the driver, which has to name them to Spark.
+    """
+    last = versions.version(spark, root)
+    found = reduce(DataFrame.unionByName, [source_lock(spark, raw[k]).withColumn("kind", F.lit(k)) for k in ("tracking", "information")])
+    now = cut(found, "lock")
+    old = spark.read.parquet(last["lock"]) if last and last.get("lock") else now.where("false").withColumn("match_ids", F.array().cast("array<string>"))
+    differences = cut(lock_differences(old, now), "differences")
+    if differences.isEmpty():
+        return Rebuilt(None, differences, spark.createDataFrame([], "match_id string, what string"))
+    fresh = differences.where("difference != 'missing'").select("path").join(now.select("path", "kind"), "path")
+    paths = lambda df, kind: [r.path for r in df.where(F.col("kind") == kind).select("path").collect()]
+    parsed = {k: _about(spark, k, paths(fresh, k)) for k in ("tracking", "information")}
+    about = reduce(DataFrame.unionByName, [m for m, _ in parsed.values()])
+    before = old.join(differences.select("path"), "path", "left_semi").select(F.explode("match_ids").alias("match_id"))
+    touched = cut(before.unionByName(about.select("match_id")).distinct(), "touched")
+    same = old.join(differences.select("path"), "path", "left_anti").select("path", "kind", F.explode("match_ids").alias("match_id"))
+    besides = cut(same.join(touched, "match_id", "left_semi").select("path", "kind").distinct(), "besides")
+    for k in parsed:
+        if more := paths(besides, k):
+            parsed[k] = (parsed[k][0], [*parsed[k][1], *_about(spark, k, more)[1]])
+    here = lambda df: None if df is None else df.join(touched, "match_id", "left_semi")
+    sets = reduce(DataFrame.unionByName, map(tracking.frames_of, parsed["tracking"][1])) if parsed["tracking"][1] else _no_frames(spark)
+    names = [p for ps in parsed["information"][1] for p in ps]
+    meta = metadata(spark, names) if names else {t: spark.createDataFrame([], SCHEMAS[t]) for t in ("matches", "teams", "players")}
+    put = cut(_stored(spark, root, here(sets), {t: here(df) for t, df in meta.items()}, here(events), here(kickoffs)), "built")
+    by_path = about.groupBy("path").agg(F.array_sort(F.collect_set("match_id")).alias("new"))
+    kept = old.select("path", F.col("match_ids").alias("old"))
+    lock = now.join(by_path, "path", "left").join(kept, "path", "left").join(differences.select("path", "difference"), "path", "left")
+    lock = lock.withColumn("match_ids", F.coalesce(F.when(F.col("difference").isNull(), F.col("old")).otherwise(F.col("new")), F.array().cast("array<string>")))
+    path = f"{root}/_manifests/lock-{versions.new_build()}"
+    lock.select(*now.columns, "match_ids").write.parquet(path)
+    number = versions.publish(spark, root, put, _everywhere(touched), path)
+    done = touched.join(put.select("match_id").distinct().withColumn("what", F.lit("built")), "match_id", "left").select("match_id", F.coalesce("what", F.lit("removed")).alias("what"))
+    return Rebuilt(number, differences, done)
+
+
+def _about(spark: SparkSession, kind: str, paths: list[str]) -> tuple[DataFrame, list]:
+    """path and match_id of files, and what there is to build from: parsed pieces or paths."""
+    if not paths:
+        return spark.createDataFrame([], "path string, match_id string"), []
+    if kind == "tracking":
+        parsed = tracking.pieces(spark, paths)
+        return tracking.matches_of(parsed), [parsed]
+    general = spark.read.format("xml").schema("General STRUCT<_MatchId: STRING>").option("rowTag", "MatchInformation").load(paths)
+    return general.select(tracking.plain_path(F.col("_metadata.file_path")).alias("path"), F.col("General._MatchId").alias("match_id")).where("match_id is not null").distinct(), [paths]
+
+
+def _no_frames(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "match_id string, period string, team_id string, entity_id string, frame_id long, timestamp_utc string, x_m double, y_m double, possession int, status int")
+
+
+def _digested(batches):
+    for batch in batches:
+        for path, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sha256, md5 = hashlib.sha256(), hashlib.md5()
+            with opened(path) as f:
+                while piece := f.read(1 << 20):
+                    sha256.update(piece)
+                    md5.update(piece)
+            yield pa.RecordBatch.from_pydict({"path": [path], "length": pa.array([length], pa.int64()), "sha256": [sha256.hexdigest()], "md5": [md5.hexdigest()]})
+
+
+def source_lock(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """A manifest of raw files: path, length, SHA-256 and MD5 of the content, of which a task holds 1 MB at a time, whatever the file's size. Empty files are not listed, as for all of Spark's sources."""
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")  # the content isn't read for these
+    return listed.mapInArrow(_digested, "path string, length long, sha256 string, md5 string")
 
 
 def lock_differences(lock: DataFrame, now: DataFrame) -> DataFrame:
@@ -138,14 +220,17 @@ def quality_report(positions: DataFrame, frames: DataFrame, margin_m: float = 5.
 
 
 def parity_samples(raw: DataFrame, canonical: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """First, middle and last raw sample of each entity and half against the canonical row."""
+    """The first, middle and last raw frame of each entity and half against the canonical row: ranks 0, n // 2 and n - 1 of its n frames.
+
+    equal: the coordinates agree, or the raw frame lacks one and there is no canonical row.
+    """
     keys = [*KEYS, "entity_id"]
-    r = raw.where(F.col("x_m").isNotNull() & F.col("y_m").isNotNull())
-    picks = r.groupBy(*keys).agg(F.array_distinct(F.array(F.min("frame_id"), F.percentile_approx("frame_id", 0.5), F.max("frame_id"))).alias("fs")).select(*keys, F.explode("fs").alias("frame_id"))
-    want = picks.join(r.select(*keys, "frame_id", F.col("x_m").alias("rx"), F.col("y_m").alias("ry")), [*keys, "frame_id"])
+    picks = at_ranks(raw, keys, "frame_id", lambda n: F.array_distinct(F.array(F.lit(0).cast("long"), F.floor(n / 2), n - 1)))
+    want = picks.select(*keys, F.col("value").alias("frame_id")).distinct().join(raw.select(*keys, "frame_id", F.col("x_m").alias("rx"), F.col("y_m").alias("ry")), [*keys, "frame_id"])
     both = want.join(canonical.select(*keys, "frame_id", "x_m", "y_m"), [*keys, "frame_id"], "left")
     ok = (F.abs(F.col("rx") - F.col("x_m")) <= tolerance) & (F.abs(F.col("ry") - F.col("y_m")) <= tolerance)
-    return both.withColumn("equal", F.coalesce(ok, F.lit(False)))
+    lacks = F.col("rx").isNull() | F.col("ry").isNull() | F.isnan("rx") | F.isnan("ry")
+    return both.withColumn("equal", F.when(lacks, F.col("x_m").isNull()).otherwise(F.coalesce(ok, F.lit(False))))
 
 
 def replay_window(positions: DataFrame, match_id: str, period: str, start: int, end: int) -> DataFrame:

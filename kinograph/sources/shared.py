@@ -7,7 +7,10 @@ import tempfile
 import uuid
 from collections import defaultdict
 from threading import get_ident
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: By thread of the driver, so that plans built side by side keep their tables apart.
@@ -44,6 +47,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def opened(path: str):
+    """A file, open for reading from its start: of this machine's folders or of any store that pyarrow knows, by its path as Spark's listings give it."""
+    scheme, colon, rest = path.partition(":")
+    if scheme == "file" or not colon:
+        return pa.fs.LocalFileSystem().open_input_stream("/" + (rest or path).lstrip("/"), compression=None)
+    files, name = pa.fs.FileSystem.from_uri(quote(path, safe="/:@"))
+    return files.open_input_stream(name, compression=None)
+
+
 def written() -> int:
     """How many tables this thread has written; for drop()."""
     return len(_written[get_ident()])

@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import versions
+
 KEYS = ("match_id", "period")
 
 #: The schemas of the canonical tables.
@@ -41,7 +43,10 @@ class Tables:
 
     @staticmethod
     def read(spark: SparkSession, root: str) -> Tables:
-        """All tables under a folder, as written by sources.build; match and period prune partitions."""
+        """All tables under a folder: of its last version, as sources.build publishes them, or where it has none those of its folders; match and period prune partitions."""
+        found = versions.version(spark, root)
+        if found:
+            return Tables(**{name: versions.table(spark, root, name, ddl, found) for name, ddl in SCHEMAS.items()})
         return Tables(**{name: spark.read.schema(ddl).parquet(f"{root}/{name}") for name, ddl in SCHEMAS.items()})
 
     def only(self, match_ids: list[str], periods: list[str]) -> Tables:

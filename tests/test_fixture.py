@@ -268,7 +268,7 @@ def test_tables_are_built_from_raw_files(spark, tmp_path):
     root = f"file://{tmp_path}/canonical"
     build.build(spark, {"tracking": f"file://{tmp_path}/tracking.xml", "information": f"file://{tmp_path}/info.xml"}, root)
     build.build(spark, {"tracking": f"file://{tmp_path}/tracking.xml", "information": f"file://{tmp_path}/info.xml"}, root)  # replaces, doesn't add
-    read = lambda t: spark.read.schema(SCHEMAS[t]).parquet(f"{root}/{t}")
+    read = lambda t: getattr(Tables.read(spark, root), t)
     assert sorted((r.entity_id, r.frame_id, r.entity_type, r.team_role) for r in read("positions").collect()) == [("b", 1, "ball", "ball"), ("b", 2, "ball", "ball"), ("p1", 1, "player", "home")]
     assert [(r.possession_team_role, r.ball_alive) for r in read("ball_state").orderBy("frame_id").collect()] == [("home", True), ("away", False)]
     assert {r.player_id: r.is_goalkeeper for r in read("players").collect()} == {"p1": True, "p2": None}
