@@ -46,7 +46,7 @@ def bearing(dx: Column, dy: Column) -> Column:
 
 
 def side(y: Column, buffer: float) -> Column:
-    return F.when(y > buffer, F.lit("left")).when(y < -buffer, F.lit("right")).when(y.isNotNull(), F.lit("center"))
+    return F.when(y > buffer, F.lit("RIGHT")).when(y < -buffer, F.lit("LEFT")).when(y.isNotNull(), F.lit("CENTER"))
 
 
 def lane(y: Column) -> Column:
@@ -75,3 +75,20 @@ def zone(nx: Column, name: str, buffer: float) -> tuple[Column, Column]:
     for b in bounds:
         close = close | near(b)
     return inside, close
+
+
+#: Shares of half the width at which lanes begin.
+HALF_SPACE, WIDE = 0.33, 0.66
+
+
+def destination(y: Column) -> tuple[Column, Column, Column]:
+    """The side (right of the axis: y > 0), the lane and the bounds of the lane's band on that side, for a target at y; at the axis itself the central band of both sides."""
+    away = F.abs(y)
+    side = F.when(y > 0, "right").when(y < 0, "left").otherwise("central")
+    inner, outer = HALF_WIDTH_M * HALF_SPACE, HALF_WIDTH_M * WIDE
+    lane = F.when(away >= outer, "wide").when(away >= inner, "half_space").otherwise("central")
+    least = F.when(away >= outer, round(outer, 3)).when(away >= inner, round(inner, 3)).otherwise(0.0)
+    most = F.when(away >= outer, float(HALF_WIDTH_M)).when(away >= inner, round(outer, 3)).otherwise(round(inner, 3))
+    low = F.when(y > 0, least).otherwise(-most)
+    high = F.when(y < 0, -least).otherwise(most)
+    return side, lane, F.struct(low.alias("min_y_m"), high.alias("max_y_m"))

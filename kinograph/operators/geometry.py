@@ -414,7 +414,7 @@ def switch_of_play(scope: Scope, anchors: DataFrame, minimum_lateral_displacemen
     s, r = cascade(
         [
             (F.col("_y0").isNull() | F.col("_y1").isNull() | F.col("switch_duration_seconds").isNull(), UNKNOWN, "missing_endpoint"),
-            ((F.col("release_lateral_side") == "center") | (F.col("reception_lateral_side") == "center"), FAIL, "central_endpoint"),
+            ((F.col("release_lateral_side") == "CENTER") | (F.col("reception_lateral_side") == "CENTER"), FAIL, "central_endpoint"),
             (F.col("release_lateral_side") == F.col("reception_lateral_side"), FAIL, "same_side"),
             (F.col("lateral_displacement_m") < minimum_lateral_displacement_m, FAIL, "displacement_below_minimum"),
             ((F.abs("_y0") < minimum_start_lateral_m) | (F.abs("_y1") < minimum_end_lateral_m), FAIL, "endpoint_not_wide"),

@@ -9,6 +9,7 @@ from ..functions import geo
 from ..functions.identity import anchor_id
 from ..functions.islands import runs, spaced
 from ..functions.tri import FAIL, PASS, UNKNOWN, cascade, frames_rounded, frames_up
+from ..sources.shared import cut
 from ..sources.tables import ANCHOR, KEYS, Scope, attach, frame_of, located, put
 
 
@@ -116,70 +117,89 @@ def defensive_outfield_centroid(scope: Scope) -> DataFrame:
     return rows.groupBy(*KEYS, "frame_id", "team_role").agg(F.avg("y_m").alias("centroid_y"), F.count("*").alias("n_players"))
 
 
-def signed_lateral_shift(
-    scope: Scope, possession: DataFrame | None = None, wide_fraction: float = 0.6, prior_central_fraction: float = 0.45, prior_central_seconds: float = 2.0, wide_dwell_seconds: float = 1.2, baseline_seconds: float = 0.8,
-    search_seconds: float = 4.0, minimum_shift_m: float = 5.0, minimum_players: int | None = None,
-) -> DataFrame:
-    """How far the defending block moves towards the side that the ball goes wide to.
+def wide_entries(scope: Scope, possession: DataFrame, entries: DataFrame, prior_central_fraction: float = 0.45, minimum_wide_dwell_seconds: float = 1.2, baseline_window_seconds: float = 0.8) -> DataFrame:
+    """Moments of a possession at which the ball goes wide and stays so, having been central in the two seconds before.
 
-    An entry is a rise to the wide fraction inside a possession, that lasts for
-    the dwell and had the ball central shortly before. The baseline is the mean
-    centroid before it; the anchor is the frame with the largest shift towards
-    the side, the earliest of equals.
+    entries: episodes (start_idx, end_idx) in which the ball is wide. Everything is looked at inside the possession; a moment needs
+    the baseline and the dwell before it, and the dwell behind it.
     """
     rate = scope.analysis_rate_hz
-    need = scope.minimum_outfield_players_per_team if minimum_players is None else minimum_players
-    segments = possession_segment(scope) if possession is None else possession
-    w = Window.partitionBy(*KEYS).orderBy("idx")
-    s = ball_lateral_fraction(scope).join(defensive_outfield_centroid(scope).drop("team_role"), [*KEYS, "frame_id"], "left")
-    dwell, prior, base, search = (frames_rounded(x, rate) for x in (wide_dwell_seconds, prior_central_seconds, baseline_seconds, search_seconds))
-    wide = (F.col("fraction") >= wide_fraction) & _has(scope)
-    s = s.withColumn("_wide", F.coalesce(wide, F.lit(False)))
-    s = s.withColumns({
-        "_rise": F.col("_wide") & ~F.coalesce(F.lag("_wide").over(w), F.lit(False)), "_dwell": F.count_if(F.col("_wide")).over(w.rowsBetween(0, max(0, dwell - 1))) >= dwell,
-        "_central": F.count_if(F.col("fraction") <= prior_central_fraction).over(w.rowsBetween(-max(1, prior), -1)) > 0,
-        "baseline_defensive_centroid_y_m": F.avg("centroid_y").over(w.rowsBetween(-max(1, base), -1)), "baseline_start_frame_id": F.min("frame_id").over(w.rowsBetween(-max(1, base), -1)), "baseline_end_frame_id": F.lag("frame_id").over(w),
+    dwell, base, prior = (frames_rounded(x, rate) for x in (minimum_wide_dwell_seconds, baseline_window_seconds, 2.0))
+    seg = possession.select(*KEYS, F.col("start_idx").alias("_s0"), F.col("end_idx").alias("_s1"), "possession_start_frame_id", "possession_end_frame_id")
+    # Possessions of a half don't overlap, nor do wide episodes: both are spelled out by the samples they hold.
+    rows = seg.withColumn("idx", F.explode(F.sequence("_s0", "_s1"))).join(scope.stream().select(*KEYS, "idx", "frame_id", "ball_y"), [*KEYS, "idx"])
+    wide = entries.select(*KEYS, F.col("end_idx").alias("_w1"), F.explode(F.sequence("start_idx", "end_idx")).alias("idx"))
+    rows = rows.join(wide, [*KEYS, "idx"], "left").withColumn("_wide", F.col("_w1").isNotNull())
+    w = Window.partitionBy(*KEYS, "_s0").orderBy("idx")
+    before, central = w.rowsBetween(-prior, -1), F.abs("ball_y") < prior_central_fraction * geo.HALF_WIDTH_M
+    rows = rows.withColumns({
+        "_rise": F.col("_wide") & ~F.coalesce(F.lag("_wide").over(w), F.lit(False)), "_lasts": F.count_if("_wide").over(w.rowsBetween(0, max(0, dwell - 1))) >= dwell, "_central": F.count_if(central).over(before) > 0,
+        "baseline_start_frame_id": F.min("frame_id").over(w.rowsBetween(-base, -1)), "baseline_end_frame_id": F.lag("frame_id").over(w), "prior_central_start_frame_id": F.min("frame_id").over(before),
     })
-    entries = s.where("_rise and _dwell and _central and baseline_defensive_centroid_y_m is not null")
-    seg = segments.select(*KEYS, F.col("start_idx"), F.col("end_idx"), "possession_start_frame_id", "possession_end_frame_id")
-    # Segments of a match don't overlap: an entry meets one, found by the segment's sample numbers.
-    spelled = seg.withColumn("idx", F.explode(F.sequence("start_idx", "end_idx")))
-    entries = entries.join(spelled, [*KEYS, "idx"]).select(*KEYS, F.col("idx").alias("entry_idx"), F.col("frame_id").alias("entry_frame_id"), "ball_side", "wide_entry_y_m", "end_idx", "possession_start_frame_id", "possession_end_frame_id", "baseline_defensive_centroid_y_m", "baseline_start_frame_id", "baseline_end_frame_id")
-    seen = entries.withColumn("idx", F.explode(F.sequence("entry_idx", F.least(F.col("end_idx"), F.col("entry_idx") + search)))).join(s.select(*KEYS, "idx", "frame_id", "centroid_y", "n_players"), [*KEYS, "idx"])
-    seen = seen.withColumn("_shift", F.col("ball_side") * (F.col("centroid_y") - F.col("baseline_defensive_centroid_y_m")))
-    best = seen.groupBy(*KEYS, "entry_idx", "entry_frame_id", "ball_side", "wide_entry_y_m", "possession_start_frame_id", "possession_end_frame_id", "baseline_defensive_centroid_y_m", "baseline_start_frame_id", "baseline_end_frame_id").agg(
-        F.max(F.struct("_shift", (-F.col("frame_id")).alias("f"))).alias("_b"), F.min(F.coalesce("n_players", F.lit(0))).alias("minimum_defender_count")
-    )
-    a = put(best, signed_shift_metres=F.col("_b._shift"), anchor_frame_id=-F.col("_b.f"), start_frame_id=F.col("entry_frame_id")).where("signed_shift_metres is not null").drop("_b")
-    a = put(a, end_frame_id=F.col("anchor_frame_id"), entity_refs=F.array().cast("array<string>"), team_role=F.lit(scope.perspective), block_shift_score=F.col("signed_shift_metres") / minimum_shift_m)
-    quality = F.when(F.col("minimum_defender_count") < need, UNKNOWN).when(F.col("signed_shift_metres") >= minimum_shift_m, PASS).otherwise(FAIL)
-    return put(a, anchor_id=anchor_id(), shift_status=quality)
+    at, n = F.col("idx") - F.col("_s0"), F.col("_s1") - F.col("_s0") + 1
+    found = rows.where((at >= max(base, dwell, 1)) & (at < n - dwell) & F.col("_rise") & F.col("_lasts") & F.col("_central"))
+    sign = F.when(F.col("ball_y") >= 0, 1).otherwise(-1)
+    found = put(found, entry_idx=F.col("idx"), wide_entry_frame_id=F.col("frame_id"), side_sign=sign, ball_side=F.when(sign > 0, "right").otherwise("left"), wide_entry_y_m=F.round("ball_y", 3))
+    found = put(found, wide_dwell_seconds=F.round((F.least("_w1", "_s1") - F.col("idx") + 1) / F.lit(rate), 3), possession_duration_seconds=F.round(n / F.lit(rate), 3))
+    return found.drop("idx", "frame_id", "ball_y", "_wide", "_w1", "_rise", "_lasts", "_central", "_s0").withColumnRenamed("_s1", "segment_end_idx")
 
 
-def outcome_classification(scope: Scope, anchors: DataFrame, horizon: float = 6.0, opposite_fraction: float = 0.35, retained_seconds: float = 1.0, dedupe_seconds: float = 8.0) -> DataFrame:
-    """What becomes of the possession after a shift: STOPPAGE, SWITCHED, LOST_BEFORE_SWITCH or RETAINED_NO_SWITCH.
+def signed_lateral_shift(
+    scope: Scope, possession: DataFrame, entries: DataFrame, centroid: DataFrame | None = None, prior_central_fraction: float = 0.45, minimum_wide_dwell_seconds: float = 1.2, baseline_window_seconds: float = 0.8, shift_search_window_seconds: float = 4.0,
+) -> tuple[DataFrame, DataFrame]:
+    """How far the defending block moves towards the side that the ball goes wide to, and the shift on each frame behind that.
 
-    Of the anchors of a possession those closer to the last accepted entry than
-    the dedupe window go: a fold over the sorted entries of one possession.
+    The baseline is the mean centroid before the entry; the anchor is the frame with the largest shift towards the side within the
+    search window, the earliest of equals. Frames without a centroid have no shift. quality_status is `fail` where a frame has fewer
+    defenders than the host asks for. The second frame has a row for each anchor and frame: match_id, period, anchor_id, idx, frame_id, signed_shift.
+    """
+    base, search = (frames_rounded(x, scope.analysis_rate_hz) for x in (baseline_window_seconds, shift_search_window_seconds))
+    c = (defensive_outfield_centroid(scope) if centroid is None else centroid).select(*KEYS, "frame_id", "centroid_y", "n_players")
+    s = scope.stream().select(*KEYS, "idx", "frame_id").join(c, [*KEYS, "frame_id"], "left")
+    e = wide_entries(scope, possession, entries, prior_central_fraction, minimum_wide_dwell_seconds, baseline_window_seconds)
+    near = e.withColumn("idx", F.explode(F.sequence(F.col("entry_idx") - base, F.least(F.col("segment_end_idx"), F.col("entry_idx") + search - 1)))).join(s, [*KEYS, "idx"])
+    by = Window.partitionBy(*KEYS, "entry_idx")
+    behind = F.col("idx") < F.col("entry_idx")
+    near = near.withColumns({
+        "_base": F.avg(F.when(behind, F.col("centroid_y"))).over(by), "minimum_defender_count": F.min("n_players").over(by), "end_frame_id": F.max("frame_id").over(by), "_first": F.min(F.when(~behind, F.col("frame_id"))).over(by),
+    })
+    near = near.where(~behind & F.col("_base").isNotNull() & F.col("centroid_y").isNotNull()).withColumn("signed_shift", F.col("side_sign") * (F.col("centroid_y") - F.col("_base")))
+    best = F.max(F.struct("signed_shift", (-F.col("frame_id")).alias("f"))).over(by)
+    near = near.withColumns({"_best": best["signed_shift"], "anchor_frame_id": -best["f"], "start_frame_id": F.col("baseline_start_frame_id"), "entity_refs": F.array().cast("array<string>"), "team_role": F.lit(scope.perspective)})
+    near = cut(near.withColumn("anchor_id", anchor_id()), "shifts")  # one row a frame of each search window, read by records and series
+    a = near.where(F.col("frame_id") == F.col("anchor_frame_id"))
+    a = put(a, baseline_defensive_centroid_y_m=F.round("_base", 3), signed_shift_metres=F.round("_best", 3), block_shift_score=F.round("_best", 6), shift_search_start_frame_id=F.col("_first"), shift_search_end_frame_id=F.col("end_frame_id"))
+    enough = F.coalesce(F.col("minimum_defender_count") >= scope.minimum_outfield_players_per_team, F.lit(False))
+    a = put(a, quality_status=F.when(enough, "pass").otherwise("fail")).drop("idx", "frame_id", "centroid_y", "n_players", "_base", "_first", "_best", "signed_shift")
+    return a, near.select(*ANCHOR, "idx", "frame_id", "signed_shift")
+
+
+def outcome_classification(scope: Scope, shifts: DataFrame, horizon: float = 6.0, opposite_side_fraction: float = 0.35, retained_after_switch_seconds: float = 1.0, dedupe_window_seconds: float = 8.0) -> DataFrame:
+    """What becomes of the possession after a shift: STOPPAGE, SWITCHED, LOST_BEFORE_SWITCH or RETAINED_NO_SWITCH, within the horizon.
+
+    accepted: no stoppage, and enough defenders. Shifts of a possession whose entry is less than the dedupe window behind the
+    last accepted one go: a fold over the entries of one possession.
     """
     rate = scope.analysis_rate_hz
-    n, keep = frames_rounded(horizon, rate), max(1, frames_rounded(retained_seconds, rate))
+    n, keep = frames_rounded(horizon, rate), frames_rounded(retained_after_switch_seconds, rate)
+    win = _windows(scope, shifts, n).join(shifts.select(*ANCHOR, "side_sign"), list(ANCHOR))
     w = Window.partitionBy(*ANCHOR).orderBy("pos")
-    win = _windows(scope, anchors, n + keep).join(anchors.select(*ANCHOR, "ball_side"), list(ANCHOR))
-    win = win.withColumn("_kept", (F.count_if(_has(scope)).over(w.rowsBetween(1, keep)) == keep))
-    win = win.where(F.col("pos") < n)
+    win = win.withColumn("_kept", F.count_if(_has(scope)).over(w.rowsBetween(0, max(0, keep - 1))) >= keep)
     dead, lost = F.min(F.when(~F.col("alive"), F.col("pos"))), F.min(F.when(F.col("alive") & (F.col("role") != scope.perspective), F.col("pos")))
-    switch = (F.col("ball_side") * F.col("ball_y") <= -opposite_fraction * geo.HALF_WIDTH_M)
-    got = win.groupBy(*ANCHOR).agg(
-        dead.alias("_dead"), lost.alias("_lost"), F.min(F.when(switch, F.struct("pos", "frame_id", "_kept"))).alias("_sw"), F.count("*").alias("_n"), F.max("frame_id").alias("outcome_frame_id")
-    )
-    far = F.lit(1 << 30)
-    out = attach(anchors, got)
-    d, lo, sw = F.coalesce("_dead", far), F.coalesce("_lost", far), F.coalesce(F.col("_sw.pos"), far)
-    label = (
-        F.when(F.coalesce("_n", F.lit(0)) == 0, UNKNOWN).when((d < sw) & (d < lo), "STOPPAGE").when((sw < far) & (sw <= lo) & F.col("_sw._kept"), "SWITCHED").when(lo < far, "LOST_BEFORE_SWITCH").otherwise("RETAINED_NO_SWITCH")
-    )
-    out = put(out, classification=label).drop("_dead", "_lost", "_sw", "_n")
-    window = F.lit(int(dedupe_seconds * scope.frame_rate_hz))
-    kept = out.groupBy(*KEYS, "possession_start_frame_id").agg(spaced(F.array_sort(F.collect_set("entry_frame_id")), window).alias("_kept"))
-    return out.join(kept, [*KEYS, "possession_start_frame_id"]).where(F.array_contains("_kept", F.col("entry_frame_id"))).drop("_kept")
+    switch = F.col("side_sign") * F.col("ball_y") <= -opposite_side_fraction * geo.HALF_WIDTH_M
+    frames = F.map_from_entries(F.array_distinct(F.collect_list(F.struct("pos", "frame_id"))))  # of the horizon
+    got = win.groupBy(*ANCHOR).agg(dead.alias("_dead"), lost.alias("_lost"), F.min(F.when(switch, F.struct("pos", "_kept"))).alias("_sw"), F.max("pos").alias("_end"), frames.alias("_frames"))
+    out = attach(shifts, got).where("_end is not null")
+    d, lo, sw = F.col("_dead"), F.col("_lost"), F.col("_sw.pos")
+    stopped = d.isNotNull() & (sw.isNull() | (d < sw)) & (lo.isNull() | (d < lo))
+    label, at = F.when(stopped, "STOPPAGE"), F.when(stopped, d)
+    for test, name, pos in ((F.coalesce(F.col("_sw._kept"), F.lit(False)), "SWITCHED", sw), (lo.isNotNull(), "LOST_BEFORE_SWITCH", lo)):
+        label, at = label.when(test, name), at.when(test, pos)
+    out = put(out, classification=label.otherwise("RETAINED_NO_SWITCH"), outcome_frame_id=F.col("_frames")[at.otherwise(F.col("_end"))])
+    out = put(out, accepted=(F.col("classification") != "STOPPAGE") & (F.col("quality_status") == "pass")).drop("_dead", "_lost", "_sw", "_end", "_frames")
+    out = cut(out, "outcomes")
+    window, of = F.lit(int(round(dedupe_window_seconds * scope.frame_rate_hz))), [*KEYS, "possession_start_frame_id"]
+    kept = out.where("accepted").groupBy(*of).agg(spaced(F.array_sort(F.collect_set("wide_entry_frame_id")), window).alias("_kept"))
+    entry = F.col("wide_entry_frame_id")
+    close = F.exists(F.coalesce("_kept", F.array().cast("array<bigint>")), lambda k: (k < entry) & (entry - k < window))
+    return out.join(kept, of, "left").where(~close).drop("_kept")

@@ -8,8 +8,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.islands import persist_intervals
+from ..functions.islands import longest, persist_intervals
 from ..functions.tri import FAIL, PASS, UNKNOWN, known, status
+from ..sources.shared import cut
 from ..sources.tables import ANCHOR, KEYS
 
 _COMPARE = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lte": lambda a, b: a <= b, "eq": lambda a, b: a == b, "neq": lambda a, b: a != b}
@@ -40,6 +41,21 @@ def persists_for(df: DataFrame, truth: Column, value: float, unit: str, rate: fl
     return persist_intervals(df, truth, duration_frames(value, unit, rate), keys, order).withColumnRenamed("persist_status", "predicate_status")
 
 
+def record_persists(records: DataFrame, series: DataFrame, value: float, unit: str, rate: float) -> DataFrame:
+    """Records with predicate_status: whether the truth of their own series (predicate_status on each frame of each anchor) holds for the duration without a break.
+
+    The longest stretch is told, the first of equals. gate_passed: it lasts, and the record's own status is PASS.
+    """
+    n = duration_frames(value, unit, rate)
+    found = longest(series, F.col("predicate_status") == PASS, ANCHOR)
+    found = found.select(*ANCHOR, F.col("n").alias("_n"), F.col("start_frame_id").alias("persistence_start_frame_id"), F.col("end_frame_id").alias("persistence_end_frame_id"))
+    out = records.join(found, list(ANCHOR), "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    lasts = F.col("_n") >= n
+    out = out.withColumns({"gate_passed": lasts & (F.col("predicate_status") == PASS), "persistence_seconds": F.round(F.col("_n") / F.lit(rate), 3)})
+    out = out.withColumns({"predicate_status": F.when(lasts, PASS).otherwise(FAIL), "predicate_value": F.col("persistence_seconds").cast("string"), "predicate_threshold": F.lit(str(value)), "predicate_unit": F.lit(unit)}).drop("_n")
+    return cut(out, "lasting")  # a row a record; rules, evidence and what follows read it
+
+
 def _coverage(anchors: DataFrame, evaluations: DataFrame) -> DataFrame:
     """The evaluation of each anchor (the first by frame), or none."""
     missing = {"evaluation_status", "relation_count"} - set(evaluations.columns)

@@ -52,9 +52,22 @@ def _relays(scope: Scope, inputs: Frames, p: dict) -> Frames:
     return {"anchor_evaluations": out, "episodes": out}
 
 
+def _named(scope: Scope, *names: str) -> dict[str, float]:
+    """The recipe's parameters of these names, where it has them."""
+    return {k: float(scope.recipe[k]) for k in names if k in scope.recipe}
+
+
 def _shift(scope: Scope, inputs: Frames, p: dict) -> Frames:
-    out = possession.signed_lateral_shift(scope, inputs["possession_episodes"])
-    return {"signed_shift": out, "anchors": out, "anchor_evaluations": out}
+    given = _named(scope, "prior_central_fraction", "minimum_wide_dwell_seconds", "baseline_window_seconds", "shift_search_window_seconds")
+    out, series = possession.signed_lateral_shift(scope, inputs["possession_episodes"], inputs["entry_episodes"], inputs["defensive_centroid"], **given)
+    return {"signed_shift": out, "anchors": out, "anchor_evaluations": out, "signed_shift_series": series}
+
+
+def _outcome(scope: Scope, inputs: Frames, p: dict) -> Frames:
+    """Where the defenders were too few the classification is unknown."""
+    given = _named(scope, "opposite_side_fraction", "retained_after_switch_seconds", "dedupe_window_seconds")
+    out = possession.outcome_classification(scope, inputs["accepted_shift_episodes"], p["horizon"], **given)
+    return {"classification": out.withColumn("classification", F.when(F.col("quality_status") == "pass", F.col("classification")))}
 
 
 OPERATORS: dict[str, Run] = {
@@ -92,7 +105,7 @@ OPERATORS: dict[str, Run] = {
     "ball_lateral_fraction": _free(possession.ball_lateral_fraction, "fraction"),
     "defensive_outfield_centroid": _free(possession.defensive_outfield_centroid, "centroid_y"),
     "signed_lateral_shift": _shift,
-    "outcome_classification": lambda s, i, p: {"classification": possession.outcome_classification(s, i["accepted_shift_episodes"], **p)},
+    "outcome_classification": _outcome,
     "relation_destination_entry": lambda s, i, p: {"entry_status": relations.relation_destination_entry(s, i["relation_episodes"], **p, select_one=True)},
     "relation_destination_entry_classification": lambda s, i, p: {"classification": relations.relation_destination_entry(s, i["relation_episodes"], **p, select_one=True)},
     "geometric_progressive_corridor": _corridor,
@@ -132,7 +145,7 @@ def compile_plan(plan: BoundPlan, tables: Tables) -> Execution:
     """Nodes that compute the same are compiled once; frames with several readers are shared by the plan's exchanges."""
     inv, values = plan.invocation, plan.parameters
     scope = Scope(
-        tables.only(inv.match_ids, inv.periods), inv.perspective_team_role, int(values["analysis_rate_hz"].value), 25, float(values["minimum_possession_seconds"].value), float(values["maximum_analysis_gap_ms"].value), int(values["minimum_outfield_players_per_team"].value)
+        tables.only(inv.match_ids, inv.periods), inv.perspective_team_role, int(values["analysis_rate_hz"].value), 25, float(values["minimum_possession_seconds"].value), float(values["maximum_analysis_gap_ms"].value), int(values["minimum_outfield_players_per_team"].value), {k: v.value for k, v in values.items()},
     )
     done: dict[str, Frames] = {}
     by_key: dict[str, Frames] = {}
@@ -151,10 +164,11 @@ def compile_plan(plan: BoundPlan, tables: Tables) -> Execution:
                     made = made | {"episodes": emission.limited_relations(made["episodes"], most, n.node_id), "anchor_evaluations": emission.limited_counts(made["anchor_evaluations"], most, n.node_id)}
                 by_key[key] = made
             else:
-                by_key[key] = {"predicate": _predicate(scope, bound, done, signals)}
+                by_key[key] = _predicate(scope, bound, done, signals)
         done[n.node_id] = by_key[key]
         if isinstance(n, PredicateNode):
-            traces.append((n.node_id, done[n.node_id]["predicate"], "interval" if n.operator.name == "persists_for" else "anchor"))
+            df = done[n.node_id]["predicate"]
+            traces.append((n.node_id, df, "interval" if n.operator.name == "persists_for" and "anchor_id" not in df.columns else "anchor"))
             signals[(n.node_id, "predicate")] = "predicate_status"
     src = plan.draft.anchor_source
     anchors = emission.extracted(_output(done, src.source_node_id, src.output_name))
@@ -182,19 +196,29 @@ def _output(done: dict[str, Frames], node: str, name: str) -> DataFrame:
     return frames.get("anchor_evaluations", next(iter(frames.values())))
 
 
-def _predicate(scope: Scope, bound: BoundNode, done: dict[str, Frames], signals) -> DataFrame:
+def _predicate(scope: Scope, bound: BoundNode, done: dict[str, Frames], signals) -> Frames:
+    """The predicate's rows, and where it has them its episodes, or the truth on each frame of each record (series).
+
+    A signal has a row for each frame of a half, or for each frame of each anchor; persists_for folds either.
+    """
     n = bound.node
     df, name, op = _output(done, n.input.source_node_id, n.input.output_name), n.input.output_name, n.operator.name
     if op in ("exists", "count_at_least"):
         a = df.select(*ANCHOR, "anchor_frame_id").dropDuplicates(list(ANCHOR))
-        return predicates.exists(a, df) if op == "exists" else predicates.count_at_least(a, df, int(bound.compare.value))
+        return {"predicate": predicates.exists(a, df) if op == "exists" else predicates.count_at_least(a, df, int(bound.compare.value))}
     if op == "persists_for":
-        truth = F.when(F.col("predicate_status") == "PASS", True).when(F.col("predicate_status") == "FAIL", False)
         d = bound.duration
+        if (series := done[n.input.source_node_id].get("series")) is not None:
+            out = predicates.record_persists(df, series, d.value, d.unit, scope.analysis_rate_hz)
+            return {"predicate": out, "episodes": out.where("gate_passed")}
+        truth = F.when(F.col("predicate_status") == "PASS", True).when(F.col("predicate_status") == "FAIL", False)
         order = "idx" if "idx" in df.columns else ("frame_id" if "frame_id" in df.columns else "anchor_frame_id")
         df = df if "frame_id" in df.columns else df.withColumn("frame_id", F.col("anchor_frame_id"))
-        return predicates.persists_for(df, truth, d.value, d.unit, scope.analysis_rate_hz, KEYS, order)
-    column = next((c for c in (name, {"signed_shift": "signed_shift_metres", "centroid_y": "centroid_y"}.get(name, name), signals.get((n.input.source_node_id, name), name)) if c in df.columns), None)
+        out = predicates.persists_for(df, truth, d.value, d.unit, scope.analysis_rate_hz, KEYS, order)
+        return {"predicate": out, "episodes": out.where(F.col("predicate_status") == "PASS")}
+    column = next((c for c in (name, {"signed_shift": "signed_shift_metres"}.get(name, name), signals.get((n.input.source_node_id, name), name)) if c in df.columns), None)
     if column is None:
         raise ValueError(f"{n.input.source_node_id}.{name} has no column")
-    return predicates.threshold(df, op, column, bound.compare.value, bound.compare.unit)
+    out = {"predicate": predicates.threshold(df, op, column, bound.compare.value, bound.compare.unit)}
+    series = done[n.input.source_node_id].get(f"{name}_series")
+    return out if series is None else out | {"series": predicates.threshold(series, op, name, bound.compare.value, bound.compare.unit)}

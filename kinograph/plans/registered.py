@@ -635,7 +635,7 @@ x_e AS (SELECT match_id, f, player_id, gr, min(g) AS og, max(g) AS cg, count(*)
 
 
 @query("corridor_episodes", "trk outfield ball anc", _EPISODES + """SELECT match_id, CONCAT('a', CAST(f AS STRING)) AS anchor_id, player_id AS target_player_id, og AS open_frame_id, cg AS close_frame_id, CAST(n AS DOUBLE) / 5 AS duration_seconds, round(mc, 6) AS minimum_clearance_m,
-CONCAT(CASE WHEN oy > 0 THEN 'left' WHEN oy < 0 THEN 'right' ELSE 'center' END, '_', CASE WHEN abs(oy) / 34 < 0.33 THEN 'central' WHEN abs(oy) / 34 < 0.66 THEN 'half_space' ELSE 'wide' END) AS destination_region FROM x_e""")
+CONCAT(CASE WHEN oy > 0 THEN 'right' WHEN oy < 0 THEN 'left' ELSE 'central' END, '_', CASE WHEN abs(oy) < 34 * 0.33 THEN 'central' WHEN abs(oy) < 34 * 0.66 THEN 'half_space' ELSE 'wide' END) AS destination_region FROM x_e""")
 def corridor_episodes(spark, sf_dir):
     return _corridor(spark, sf_dir)[1][0].select("match_id", "anchor_id", "target_player_id", "open_frame_id", "close_frame_id", "duration_seconds", "destination_region", _r("minimum_clearance_m"))
 
@@ -646,7 +646,7 @@ def corridor_exists(spark, sf_dir):
     return _corridor(spark, sf_dir)[1][1].select("match_id", "anchor_frame_id", "evaluation_status", "relation_count")
 
 
-@query("relation_destination_entry", "trk outfield ball anc frames lastf", _EPISODES + """, x_b AS (SELECT *, CASE WHEN oy > 0 THEN 0.0 WHEN oy < 0 THEN -34.0 ELSE -1.0 END AS lo, CASE WHEN oy > 0 THEN 34.0 WHEN oy < 0 THEN 0.0 ELSE 1.0 END AS hi FROM x_e),
+@query("relation_destination_entry", "trk outfield ball anc frames lastf", _EPISODES + """, x_band AS (SELECT *, CASE WHEN abs(oy) >= 34 * 0.66 THEN 22.44 WHEN abs(oy) >= 34 * 0.33 THEN 11.22 ELSE 0 END AS near, CASE WHEN abs(oy) >= 34 * 0.66 THEN 34 WHEN abs(oy) >= 34 * 0.33 THEN 22.44 ELSE 11.22 END AS far FROM x_e), x_b AS (SELECT *, CASE WHEN oy > 0 THEN near ELSE -far END AS lo, CASE WHEN oy < 0 THEN -near ELSE far END AS hi FROM x_band),
 x_x AS (SELECT e.match_id, e.f, e.player_id, e.og, min(CASE WHEN b.ball_y BETWEEN e.lo AND e.hi THEN r.frame_id END) AS ent, sum(CASE WHEN b.ball_y IS NULL THEN 1 ELSE 0 END) AS miss, count(r.frame_id) AS n FROM x_b e LEFT JOIN frames r ON r.match_id = e.match_id AND r.frame_id BETWEEN e.og AND e.og + 10 LEFT JOIN ball b ON b.match_id = r.match_id AND b.frame_id = r.frame_id GROUP BY e.match_id, e.f, e.player_id, e.og),
 x_y AS (SELECT x.*, CASE WHEN ent IS NOT NULL THEN 'PASS' WHEN n = 0 OR og + 10 > last_frame_id OR miss > 0 THEN 'UNKNOWN' ELSE 'FAIL' END AS s FROM x_x x JOIN lastf USING (match_id))
 SELECT match_id, CONCAT('a', CAST(f AS STRING)) AS anchor_id, player_id AS target_player_id, og AS open_frame_id, s AS entry_status, ent AS destination_entry_frame_id, CASE s WHEN 'PASS' THEN 'ENTERED' WHEN 'FAIL' THEN 'NOT_ENTERED' ELSE 'UNKNOWN' END AS classification FROM x_y""")
@@ -782,26 +782,36 @@ def receiver_line_transition(spark, sf_dir):
 
 @query(
     "block_shift_recipe", "sig st",
-    """x_f AS (SELECT *, CAST(event_id % 41 - 20 AS DOUBLE) AS c, abs(ball_y) / 34.0 AS fr, coalesce(abs(ball_y) / 34.0 >= 0.6 AND has, FALSE) AS wide, CASE WHEN ball_y > 0 THEN 1 WHEN ball_y < 0 THEN -1 ELSE 0 END AS side FROM st),
-x_e AS (SELECT *, wide AND NOT coalesce(lag(wide) OVER (PARTITION BY match_id ORDER BY idx), FALSE) AS rise, sum(CASE WHEN fr <= 0.45 THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS central, avg(c) OVER (PARTITION BY match_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS base FROM x_f),
+    """x_f AS (SELECT *, CAST(event_id % 41 - 20 AS DOUBLE) AS c, coalesce(abs(ball_y) / 34.0 >= 0.6, FALSE) AS wide FROM st),
 x_g AS (SELECT match_id, idx, idx - row_number() OVER (PARTITION BY match_id ORDER BY idx) AS g FROM st WHERE has),
 x_p AS (SELECT match_id, min(idx) AS i0, max(idx) AS i1 FROM x_g GROUP BY match_id, g HAVING count(*) >= 2),
-x_n AS (SELECT e.match_id, e.idx, e.frame_id AS entry, e.side, e.base, p.i0, p.i1 FROM x_e e JOIN x_p p ON p.match_id = e.match_id AND e.idx BETWEEN p.i0 AND p.i1 WHERE rise AND central > 0 AND base IS NOT NULL),
-x_b AS (SELECT * FROM (SELECT n.*, f.frame_id AS anchor, f.idx AS ai, n.side * (f.c - n.base) AS shift, row_number() OVER (PARTITION BY n.match_id, n.idx ORDER BY n.side * (f.c - n.base) DESC, f.frame_id) AS k FROM x_n n JOIN x_f f ON f.match_id = n.match_id AND f.idx BETWEEN n.idx AND least(n.i1, n.idx + 3)) t WHERE k = 1 AND shift >= 3),
-x_w AS (SELECT b.match_id, b.idx, f.idx - b.ai AS pos, f.alive, f.role, b.side * f.ball_y <= -0.35 * 34 AS sw, lead(f.has) OVER (PARTITION BY b.match_id, b.idx ORDER BY f.idx) AS kept FROM x_b b JOIN x_f f ON f.match_id = b.match_id AND f.idx BETWEEN b.ai AND b.ai + 6),
-x_o AS (SELECT match_id, idx, coalesce(min(CASE WHEN NOT alive THEN pos END), 999) AS d, coalesce(min(CASE WHEN alive AND role <> 'home' THEN pos END), 999) AS l, coalesce(min(CASE WHEN sw THEN pos END), 999) AS s, coalesce(arg_min(coalesce(kept, FALSE), CASE WHEN sw THEN pos END), FALSE) AS kept FROM x_w WHERE pos < 6 GROUP BY match_id, idx),
-x_c AS (SELECT b.match_id, b.i0, b.entry, b.anchor, b.shift, CASE WHEN d < s AND d < l THEN 'STOPPAGE' WHEN s < 999 AND s <= l AND kept THEN 'SWITCHED' WHEN l < 999 THEN 'LOST_BEFORE_SWITCH' ELSE 'RETAINED_NO_SWITCH' END AS label FROM x_b b JOIN x_o o ON o.match_id = b.match_id AND o.idx = b.idx)
-SELECT c.match_id, c.entry AS entry_frame_id, c.anchor AS anchor_frame_id, round(c.shift, 6) AS signed_shift_metres, c.label AS classification FROM x_c c JOIN (
-WITH RECURSIVE r AS (SELECT match_id, i0, min(entry) AS entry FROM x_c GROUP BY match_id, i0 UNION ALL
-SELECT n.match_id, n.i0, n.f FROM (SELECT r.match_id, r.i0, (SELECT min(s.entry) FROM x_c s WHERE s.match_id = r.match_id AND s.i0 = r.i0 AND s.entry - r.entry >= 5) AS f FROM r) n WHERE n.f IS NOT NULL) SELECT * FROM r) k ON k.match_id = c.match_id AND k.i0 = c.i0 AND k.entry = c.entry WHERE c.label <> 'STOPPAGE'""",
+x_s AS (SELECT f.*, p.i0, p.i1 FROM x_f f JOIN x_p p ON p.match_id = f.match_id AND f.idx BETWEEN p.i0 AND p.i1),
+x_e AS (SELECT *, lag(wide) OVER w AS was, count(*) FILTER (abs(ball_y) < 0.45 * 34) OVER (PARTITION BY match_id, i0 ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS central, avg(c) OVER (PARTITION BY match_id, i0 ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS base FROM x_s WINDOW w AS (PARTITION BY match_id, i0 ORDER BY idx)),
+x_n AS (SELECT match_id, i0, i1, idx, frame_id AS entry, CASE WHEN ball_y >= 0 THEN 1 ELSE -1 END AS side, base FROM x_e WHERE wide AND NOT was AND central > 0 AND idx - i0 >= 2 AND idx < i1),
+x_m AS (SELECT n.*, f.idx AS spot, f.frame_id AS frame, n.side * (f.c - n.base) AS shift FROM x_n n JOIN x_f f ON f.match_id = n.match_id AND f.idx BETWEEN n.idx AND least(n.i1, n.idx + 2)),
+x_l AS (SELECT match_id, idx, spot - row_number() OVER (PARTITION BY match_id, idx ORDER BY spot) AS g FROM x_m WHERE shift >= 3),
+x_k AS (SELECT DISTINCT match_id, idx FROM x_l GROUP BY match_id, idx, g HAVING count(*) >= 2),
+x_b AS (SELECT m.* FROM (SELECT *, row_number() OVER (PARTITION BY match_id, idx ORDER BY shift DESC, frame) AS k FROM x_m) m JOIN x_k USING (match_id, idx) WHERE k = 1 AND round(shift, 3) >= 3),
+x_w AS (SELECT b.match_id, b.idx, f.idx - b.spot AS pos, f.frame_id, f.alive, f.role, f.has, b.side * f.ball_y <= -0.35 * 34 AS sw FROM x_b b JOIN x_f f ON f.match_id = b.match_id AND f.idx BETWEEN b.spot AND b.spot + 5),
+x_o AS (SELECT match_id, idx, min(pos) FILTER (NOT alive) AS d, min(pos) FILTER (alive AND role <> 'home') AS l, min(pos) FILTER (sw) AS s, arg_min(has, pos) FILTER (sw) AS kept, max(pos) AS last, map(list(pos), list(frame_id)) AS fr FROM x_w GROUP BY match_id, idx),
+x_c AS (SELECT b.*, o.*, CASE WHEN d IS NOT NULL AND (s IS NULL OR d < s) AND (l IS NULL OR d < l) THEN 'STOPPAGE' WHEN s IS NOT NULL AND kept THEN 'SWITCHED' WHEN l IS NOT NULL THEN 'LOST_BEFORE_SWITCH' ELSE 'RETAINED_NO_SWITCH' END AS label FROM x_b b JOIN x_o o ON o.match_id = b.match_id AND o.idx = b.idx),
+x_a AS (SELECT match_id, i0, entry, frame AS anchor, side, shift, label, fr[CASE label WHEN 'SWITCHED' THEN s WHEN 'LOST_BEFORE_SWITCH' THEN l ELSE last END] AS outcome FROM x_c WHERE label <> 'STOPPAGE')
+SELECT a.match_id, a.entry AS wide_entry_frame_id, a.anchor AS anchor_frame_id, round(a.shift, 3) AS signed_shift_metres, CASE WHEN side > 0 THEN 'right' ELSE 'left' END AS ball_side, outcome AS outcome_frame_id, a.label AS classification FROM x_a a JOIN (
+WITH RECURSIVE r AS (SELECT match_id, i0, min(entry) AS entry FROM x_a GROUP BY match_id, i0 UNION ALL
+SELECT n.match_id, n.i0, n.f FROM (SELECT r.match_id, r.i0, (SELECT min(s.entry) FROM x_a s WHERE s.match_id = r.match_id AND s.i0 = r.i0 AND s.entry - r.entry >= 5) AS f FROM r) n WHERE n.f IS NOT NULL) SELECT * FROM r) k ON k.match_id = a.match_id AND k.i0 = a.i0 AND k.entry = a.entry""",
 )
 def block_shift_recipe(spark, sf_dir):
-    scope, sig = signal_scope(spark, sf_dir, minimum_possession_seconds=0.4, minimum_outfield_players_per_team=1)
+    scope = _shift_scope(spark, sf_dir)
+    out = recipes.ball_side_block_shift(scope, outcome_horizon_seconds=1.2, retained_after_switch_seconds=0.2, dedupe_window_seconds=1.0, minimum_wide_dwell_seconds=0.2, baseline_window_seconds=0.4, shift_search_window_seconds=0.6, minimum_shift_metres=3.0, minimum_shift_persistence_seconds=0.4)
+    return out.select("match_id", "wide_entry_frame_id", "anchor_frame_id", "signed_shift_metres", "ball_side", "outcome_frame_id", "classification")
+
+
+def _shift_scope(spark, sf_dir, **kw):
+    """The users' signals, with one defender a frame whose place follows from the event."""
+    scope, sig = signal_scope(spark, sf_dir, **({"minimum_possession_seconds": 0.4, "minimum_outfield_players_per_team": 1} | kw))
     centroid = sig.select("match_id", "period", "frame_id", F.lit("away").alias("team_role"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("entity_id"), F.lit("player").alias("entity_type"), F.lit(0.0).alias("x_m"), (F.col("event_id") % 41 - 20).cast("double").alias("y_m"))
     players = centroid.select("match_id", F.col("entity_id").alias("player_id"), F.lit(False).alias("is_goalkeeper"))
-    t = dataclasses.replace(scope.tables, positions=scope.tables.positions.unionByName(centroid), players=players)
-    out = recipes.ball_side_block_shift(dataclasses.replace(scope, tables=t), wide_dwell_seconds=0.2, baseline_seconds=0.4, search_seconds=0.6, minimum_shift_m=3.0, horizon_seconds=1.2, retained_seconds=0.2, dedupe_seconds=1.0)
-    return out.select("match_id", "entry_frame_id", "anchor_frame_id", _r("signed_shift_metres"), "classification")
+    return dataclasses.replace(scope, tables=dataclasses.replace(scope.tables, positions=scope.tables.positions.unionByName(centroid), players=players))
 
 
 @query("target_inspection", "sig", _EVAL + """, x_0 AS (SELECT match_id, min(frame_id) AS f0 FROM sig GROUP BY match_id),

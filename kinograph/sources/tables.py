@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,6 +75,8 @@ class Scope:
     minimum_possession_seconds: float = 5.0
     maximum_analysis_gap_ms: float = 250.0
     minimum_outfield_players_per_team: int = 9
+    #: Parameters of the recipe, by name, for operators that take them from there.
+    recipe: Mapping[str, float] = field(default_factory=dict)
 
     @property
     def defending(self) -> str:

@@ -251,7 +251,7 @@ def test_corridor_and_entry(spark):
     s = scope_of(spark, frames)
     ep, ev = relations.geometric_progressive_corridor(s, anchors_of(spark, ("a", 0)), 2.0, 5.0, 5.0, 60.0, 3.0)
     got = one(ep, "target_player_id", "open_frame_id", "close_frame_id", "destination_side")
-    assert got == ("h2", 0, 20, "left") and one(ev, "evaluation_status", "relation_count") == ("PASS", 1)
+    assert got == ("h2", 0, 20, "right") and one(ev, "evaluation_status", "relation_count") == ("PASS", 1)
     assert one(relations.relation_destination_entry(s, ep, 3.0), "entry_status", "destination_entry_frame_id") == ("PASS", 50)
     assert one(relations.relation_destination_entry(s, ep, 1.0), "entry_status") == "FAIL"
 
