@@ -68,6 +68,8 @@ class UnitEncoder:
         #: without a decoder, tokens are decoded by a space between them
         self.names = names if kept.get("decoder") is None and None not in names else None
         suffix = kept["model"].get("end_of_word_suffix")
+        #: bytes of the normal form that a token stands for
+        self.sizes = np.array([len((x or "").removesuffix(suffix) if suffix else x or "") for x in names], np.int64)
         found = [x["pattern"]["Regex"] for x in (kept["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split" and x["invert"] and x["behavior"] == "Removed" and "Regex" in x["pattern"]]
         if self.by_unit and suffix and len(found) == 1:
             vocabulary = self.tok.get_vocab()
@@ -174,6 +176,9 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             at = end
 
 
+#: Characters of a unit that a window over a joint takes in, before it is doubled.
+REACH = 64
+
 _powers: list[np.ndarray] = []
 
 
@@ -232,53 +237,109 @@ def chunks(text: str, bits: int = 10, least: int = 256, reach: int = 200) -> lis
 
 
 def _edge(text: str, units: int, tail: bool) -> str:
-    """The last or first so many units of a text, from white space on; the whole text if it has no more."""
-    found = [m.span() for m in re.finditer(r"\S+", text[-4096:] if tail else text[:4096])]
+    """The last or first so many units of a text, from white space on, or REACH characters for each where they are longer; the whole text if it has no more."""
+    most = REACH * units
+    near = text[-most:] if tail else text[:most]
+    found = [m.span() for m in re.finditer(r"\S+", near)]
     if len(found) <= units:
-        return text
+        return near
     if tail:
-        return text[max(0, max(0, len(text) - 4096) + found[-units][0] - 1) :]  # with the white space before
-    return text[: found[units - 1][1]]
+        return near[max(0, found[-units][0] - 1) :]  # with the white space before
+    return near[: found[units - 1][1]]
+
+
+def _tokens(ids: bytes, sizes: np.ndarray, start: int) -> tuple[list[tuple[int, int]], int]:
+    """(start, id) of each token, in bytes of the normal form, and where they end."""
+    of = np.frombuffer(ids, "<u4")
+    ends = start + np.cumsum(sizes[of])
+    return list(zip([start, *ends[:-1].tolist()], of.tolist())), int(ends[-1]) if len(of) else start
 
 
-def mend(left: str, left_ids: bytes, right: str, right_ids: bytes, encode) -> tuple[bytes, bytes]:
-    """The ids of left + right, as two parts, from those of each.
+def _spliced(left_ids: bytes, right_ids: bytes, t: bytes, h: bytes, joint: bytes, sizes: np.ndarray, first: bool, last: bool) -> tuple[bytes, bytes] | None:
+    """The ids left of the window that stay, and those from there on: both sides go over into the joint's where two tokens that follow each other are the same there.
 
-    A window over the joint is encoded, with the stretch before and the stretch
-    behind the units that touch it; the encoding must begin and end with the
-    ids of these stretches, and these must be the ids that the chunks have
-    there. Otherwise the window is doubled, up to both whole texts.
+    Places count from the joint. A sequence of BPE tokens is right if all its neighbours are, and all neighbours here are so in one of
+    three encodings. first, last: the window begins with the left text or ends with the right one, so that side has nothing to go over from.
+    """
+    whole = _tokens(t, sizes, 0)[1]
+    mid, end = _tokens(joint, sizes, -whole)
+    if end != _tokens(h, sizes, 0)[1]:
+        return None  # the joint changes the normal form
+    i = j = 0
+    if not first:
+        near = left_ids[-(len(t) + 256) :]
+        own, at = _tokens(near, sizes, 0)
+        own = {(s - at, x): k for k, (s, x) in enumerate(own)}
+        j = next((n for n in range(2, len(mid)) if mid[n][0] <= 0 and mid[n - 1] in own and own.get(mid[n - 2], -9) == own[mid[n - 1]] - 1), 0)
+        if not j:
+            return None
+        i = len(left_ids) // 4 - len(near) // 4 + own[mid[j - 1]] + 1
+    k, m = len(mid), len(right_ids) // 4
+    if not last:
+        own = {x: n for n, x in enumerate(_tokens(right_ids[: len(h) + 256], sizes, 0)[0])}
+        k = next((n for n in range(len(mid) - 2, j - 1, -1) if mid[n][0] >= 0 and mid[n] in own and own.get(mid[n + 1], -9) == own[mid[n]] + 1), -1)
+        if k < 0:
+            return None
+        m = own[mid[k]]
+    return left_ids[: 4 * i], joint[4 * j : 4 * k] + right_ids[4 * m :]
+
+
+def mend(left: str, left_ids: bytes, right: str, right_ids: bytes, encode, sizes: np.ndarray, more: bool = False) -> tuple[int, bytes, bytes] | None:
+    """Of the ids of left + right those that the joint leaves alone, and the others; before these, how many characters of left the window has.
+
+    A window over the joint is encoded. Where it ends at white space, the
+    stretches before and behind the units that touch the joint are encoded too:
+    the window's ids must begin and end with theirs, and the chunks must have
+    them there. Where it was cut inside a unit it must go over into the chunks'
+    ids by tokens that both have. Otherwise the window is doubled, up to both
+    whole texts. more: there is text before left; None, if that is needed.
     """
     units = 2
     while True:
         tail, head = _edge(left, units, True), _edge(right, units, False)
-        if tail == left and head == right:
-            return encode([left + right])[0], b""
+        first, last = len(tail) == len(left), len(head) == len(right)
+        if first and more:
+            return None
+        if first and last:
+            return len(left), b"", encode([left + right])[0]
         t, h, joint = encode([tail, head, tail + head])
-        if joint == t + h and left_ids.endswith(t) and right_ids.startswith(h):
-            return left_ids, right_ids
-        before, after = tail[: len(tail) - len(_edge(tail, 1, True))], head[len(_edge(head, 1, False)) :]
-        b, a = encode([before, after])
-        if left_ids.endswith(t) and right_ids.startswith(h) and joint.startswith(b) and joint.endswith(a):
-            return left_ids[: len(left_ids) - len(t)] + joint, right_ids[len(h) :]
+        if (first or tail[:1].isspace()) and (last or right[len(head) : len(head) + 1].isspace()):
+            if left_ids.endswith(t) and right_ids.startswith(h):
+                kept, rest = left_ids[: len(left_ids) - len(t)], right_ids[len(h) :]
+                if joint == t + h:
+                    return len(tail), kept, joint + rest
+                before, after = tail[: len(tail) - len(_edge(tail, 1, True))], head[len(_edge(head, 1, False)) :]
+                b, a = encode([before, after])
+                if joint.startswith(b) and joint.endswith(a):
+                    return len(tail), kept, joint + rest
+        elif (found := _spliced(left_ids, right_ids, t, h, joint, sizes, first, last)) is not None:
+            return len(tail), *found
         units *= 2
 
 
-def joined(pieces: list[str], ids: list[bytes], encode) -> bytes:
-    """The ids of the text that the pieces make up, every joint mended."""
+def joined(pieces: list[str], ids: list[bytes], encode, sizes: np.ndarray) -> bytes:
+    """The ids of the text that the pieces make up, every joint mended.
+
+    What lies before the last window is put aside, and taken up again only if a
+    joint needs it.
+    """
     if not pieces:
         return b""
-    done: list[bytes] = []
+    aside: list[tuple[str, bytes]] = []
     text, now = pieces[0], ids[0]
     for right, right_ids in zip(pieces[1:], ids[1:], strict=True):
         clean = text[-1:].isspace() and not right[:1].isspace()
-        first, second = mend(text, now, right, right_ids, encode)
-        if clean and first + second == now + right_ids:
-            done.append(now)  # they agree as they are: the next joint needs the last piece alone
+        while (found := mend(text, now, right, right_ids, encode, sizes, bool(aside))) is None:
+            before, had = aside.pop()
+            text, now = before + text, had + now
+        size, kept, rest = found
+        if clean and kept + rest == now + right_ids:
+            aside.append((text, now))  # they agree as they are: the next joint needs the last piece alone
             text, now = right, right_ids
         else:
-            text, now = text + right, first + second
-    return b"".join(done) + now
+            aside.append((text[: len(text) - size], kept))
+            text, now = text[len(text) - size :] + right, rest
+    return b"".join([had for _, had in aside]) + now
 
 
 def _digest(piece: str) -> tuple[int, int]:
@@ -293,7 +354,7 @@ def _list_chunks(batches, bits):
             for k, p in enumerate(chunks(text, bits) if text else ()):
                 for col, v in zip(rows, (doc_id, key, k, *_digest(p)), strict=True):
                     col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 2 else pa.int64()) for i, c in enumerate(rows)], ["doc_id", "row_key", "seq", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())[i]) for i, c in enumerate(rows)], ["doc_id", "row_key", "seq", "h1", "h2"])
 
 
 def _encode_owned(batches, path, bits):
@@ -336,7 +397,7 @@ def _assemble(batches, path, bits, digest):
             ready.append(have)
             want += [p for k, p in enumerate(parts) if k not in have]
         made = iter(enc.encode(want))
-        ids = [joined(parts, [have[k] if k in have else next(made) for k in range(len(parts))], enc.encode) for parts, have in zip(cutup, ready, strict=True)]
+        ids = [joined(parts, [have[k] if k in have else next(made) for k in range(len(parts))], enc.encode, enc.sizes) for parts, have in zip(cutup, ready, strict=True)]
         if digest:
             yield _digests(batch.column(0), ids, enc)
         else:
@@ -353,15 +414,15 @@ def encode(docs: DataFrame, path: str, bits: int = 10, small: int = 200_000, dig
     that may be broadcast, after a count; beyond it they are joined by shuffle.
     """
     # Rows are told apart by doc_id and text, so that repeated ids do no harm.
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
-    listed = cut(rows.mapInArrow(lambda b: _list_chunks(b, bits), "doc_id long, row_key long, seq int, h1 long, h2 long"), "chunks").distinct()
+    rows = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("row_key"), "text")
+    listed = cut(rows.mapInArrow(lambda b: _list_chunks(b, bits), "doc_id long, row_key binary, seq int, h1 long, h2 long"), "chunks").distinct()
     shared = listed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "seq")).alias("first")).where("n > 1")
     owned = cut(shared.groupBy("first.doc_id", "first.row_key").agg(F.collect_list("first.seq").alias("owned")), "owned")
     by = F.broadcast(owned) if owned.count() <= small else owned.hint("shuffle_hash")
     once = cut(rows.join(by, ["doc_id", "row_key"]).select("doc_id", "text", "owned").mapInArrow(lambda b: _encode_owned(b, path, bits), "h1 long, h2 long, ids binary"), "encoded")
     once = once.dropDuplicates(["h1", "h2"])
     given = listed.join(once, ["h1", "h2"]).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("seq", "ids")).alias("given"))
-    squeezed = rows.mapInArrow(_squeeze, "doc_id long, row_key long, packed binary")
+    squeezed = rows.mapInArrow(_squeeze, "doc_id long, row_key binary, packed binary")
     full = squeezed.join(given.hint("shuffle_hash"), ["doc_id", "row_key"], "left").select("doc_id", "packed", "given")
     return full.mapInArrow(lambda b: _assemble(b, path, bits, digest), _DIGESTS if digest else "doc_id long, ids binary")
 

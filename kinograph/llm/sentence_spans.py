@@ -122,7 +122,7 @@ def runs(text: str, least_sentences: int, least_words: int) -> tuple[list[tuple[
 
 
 _HASH = np.dtype([("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")])
-_SPANS = "h1 long, h2 int, doc_id long, row int, a int, b int, again boolean"
+_SPANS = "h1 long, h2 int, doc_id long, row binary, a int, b int, again boolean"
 
 
 def _list(batches, least_sentences, least_words):
@@ -196,7 +196,7 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])  # whatever the names are
     place = docs.columns.index("text")
     doc_id, text = f"c{docs.columns.index('doc_id')}", f"c{place}"
-    keyed = plain.withColumn("row", F.hash(text))  # rows of one doc_id are told apart by their texts
+    keyed = plain.withColumn("row", F.unhex(F.md5(text)))  # rows of one doc_id are told apart by their texts
     spans = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), "row", F.col(text).alias("text")).mapInArrow(lambda b: _list(b, least_sentences, least_words), _SPANS)
     since = written()
     spans = cut(spans, "spans")

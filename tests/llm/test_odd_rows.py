@@ -148,3 +148,23 @@ def test_top_k_of_large_components(spark):
     for v in (float(1 << 26), 1e300):
         with pytest.raises(Exception, match="64-bit integer"):
             topk.top_k(make(v)).collect()
+
+
+def test_rows_of_one_id_with_equal_short_hashes(spark):
+    """Texts whose 32-bit hashes are equal, without a doc_id: each loses its own repeats alone."""
+    from pyspark.sql import functions as F
+
+    from kinograph.llm import sentence_spans
+
+    prose = " ".join(f"{w.capitalize()} runs over the old bridge and {w} comes back home before the night falls again." for w in ("ana", "bel", "cid", "dov"))
+    text = F.concat(F.lit("Text "), F.col("id").cast("string"), F.lit(f" begins here with words of its own. {prose}"))
+    pair = spark.range(200_000).select(text.alias("text")).groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("all")).where("size(all) > 1").first()
+    own = pair["all"][:2]
+    rows = [(None, own[0] + " " + prose), (None, own[1].replace(prose, ""))]
+    assert rows[0][1] != rows[1][1]
+    doubled = spark.createDataFrame([(None, own[0]), (None, own[1])], "doc_id long, text string")
+    alone = [sentence_spans.remove_repeats(doubled.where(F.col("text") == t)).first() for t in own]
+    both = {r.text: r.n_removed for r in sentence_spans.remove_repeats(doubled).collect()}
+    assert both == {r.text: r.n_removed for r in alone}
+    got = sorted(r.n_removed for r in sentence_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[0] == 0 and got[1] > 100
