@@ -78,12 +78,48 @@ def classify(anchors: DataFrame, traces: DataFrame, rules: Sequence[tuple[str, S
     return a.where("classification is not null")
 
 
-def project(results: DataFrame, evidence: Sequence[tuple[DataFrame, str, str, bool]]) -> DataFrame:
-    """results with the requested evidence: (evaluations, field, alias, required); evidence_missing counts required fields that are null."""
+def witnesses(anchors: DataFrame, traces: Sequence[DataFrame] = (), evaluations: DataFrame | None = None, outputs: Sequence[DataFrame] = ()) -> DataFrame:
+    """match_id, period, anchor_id and relation_id: which relation of an anchor its evidence is taken from.
+
+    The first source that has one decides: the witness_relation_id of predicates over the requested output (in the plan's order), then
+    that of the node's evaluations of the anchor, then the relation_id of outputs that chose one (classification, entry status). In a source the
+    earliest frame counts, then the least id. Anchors without any are left out.
+    """
+    found = None
+    sources = [*[(t, "witness_relation_id") for t in traces], *([(evaluations, "witness_relation_id")] if evaluations is not None else []), *[(o, "relation_id") for o in outputs]]
+    for k, (df, field) in enumerate(sources):
+        if field not in df.columns:
+            continue
+        at = F.col("anchor_frame_id").cast("long") if "anchor_frame_id" in df.columns else F.lit(0).cast("long")
+        rows = df.where(F.col(field).isNotNull()).select(*ANCHOR, F.struct(F.lit(k).alias("k"), at.alias("at"), F.col(field).cast("string").alias("relation_id")).alias("_w"))
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        return anchors.select(*ANCHOR, F.lit(None).cast("string").alias("relation_id")).where("false")
+    least = found.groupBy(*ANCHOR).agg(F.min("_w").alias("_w"))
+    return least.join(anchors.select(*ANCHOR).distinct(), list(ANCHOR), "left_semi").select(*ANCHOR, F.col("_w.relation_id").alias("relation_id"))
+
+
+def project(results: DataFrame, evidence: Sequence[tuple]) -> DataFrame:
+    """results with the requested evidence: (evaluations, field, alias, required[, witness]); evidence_missing counts required fields that are null.
+
+    Of an anchor's records the first by frame counts. witness: match_id, period, anchor_id, relation_id; records of another relation than
+    the anchor's are passed over, those without a relation are not. A signal of frames (no anchor_id) gives its value at the anchor's frame.
+    """
     missing = F.lit(0)
-    for df, field, alias, required in evidence:
-        one = df.groupBy(*ANCHOR).agg(F.min_by(F.col(field), F.col("anchor_frame_id") if "anchor_frame_id" in df.columns else F.lit(0)).alias(alias))
-        results = results.drop(alias).join(one, list(ANCHOR), "left")
+    for df, field, alias, required, *witness in evidence:
+        results = results.drop(alias)
+        if "anchor_id" not in df.columns:
+            one = df.groupBy(*KEYS, F.col("frame_id").alias("anchor_frame_id")).agg(F.first(field).alias(alias))
+            results = results.join(one, [*KEYS, "anchor_frame_id"], "left")
+        else:
+            order = [F.col("anchor_frame_id") if "anchor_frame_id" in df.columns else F.lit(0)]
+            if "relation_id" in df.columns:
+                order.append(F.col("relation_id"))
+                if witness and witness[0] is not None:
+                    of = witness[0].select(*ANCHOR, F.col("relation_id").alias("_chosen"))
+                    df = df.join(of, list(ANCHOR), "left").where(F.col("_chosen").isNull() | F.col("relation_id").isNull() | (F.col("relation_id").cast("string") == F.col("_chosen")))
+            one = df.groupBy(*ANCHOR).agg(F.min_by(F.struct(F.col(field).alias("v")), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("_v"))
+            results = results.join(one.select(*ANCHOR, F.col("_v.v").alias(alias)), list(ANCHOR), "left")
         if required:
             missing = missing + F.when(F.col(alias).isNull(), 1).otherwise(0)
     return results.withColumn("evidence_missing", missing)
@@ -115,14 +151,30 @@ def limited_counts(evaluations: DataFrame, most: int, node_id: str) -> DataFrame
     return evaluations.where(F.when(F.col("relation_count") > most, F.raise_error(said).cast("boolean")).otherwise(True))
 
 
-def proof_selection(results: DataFrame, overall: int = 16, per_match: int = 5) -> DataFrame:
-    """A small set to show: of each match two switched ones, two others, then any, up to the caps."""
-    switched = F.col("classification") == "SWITCHED"
-    kind = Window.partitionBy("match_id", switched).orderBy("period", "anchor_frame_id", "anchor_id")
-    r = results.withColumn("_first", F.row_number().over(kind) <= 2)
-    of = Window.partitionBy("match_id").orderBy(F.col("_first").desc(), switched.desc(), "period", "anchor_frame_id", "anchor_id")
+#: Labels of the proof's second pick.
+NOT_SWITCHED = ("RETAINED_NO_SWITCH", "LOST_BEFORE_SWITCH")
+
+
+def proof_selection(results: DataFrame, overall: int = 16, per_match: int = 5, order: Sequence[str] = ("match_id", "period", "anchor_frame_id", "anchor_id"), shown: Sequence[str] = ("match_id", "period", "anchor_frame_id", "anchor_id")) -> DataFrame:
+    """A small set to show: the first two switched ones of all, then the first two that were retained or lost, then all in order, at most per_match of a match and overall in sum; given in the order of `shown`.
+
+    Taking one after the other while neither limit is reached is the same as the first per_match of each match, in that order, and the
+    first overall of these. Of rows with one result_id the first counts. The picks at the front are four rows; a match's rows
+    are cut to the limit before they are shuffled.
+    """
+    r = results if "result_id" in results.columns else results.withColumn("result_id", F.concat_ws(":", *ANCHOR))
+    w = Window.partitionBy("result_id").orderBy(*order)
+    r = r.withColumn("_one", F.row_number().over(w)).where("_one = 1").drop("_one")
+    kinds = [F.col("classification") == "SWITCHED", F.col("classification").isin(*NOT_SWITCHED)]
+    front = None
+    for k, kind in enumerate(kinds):
+        two = r.where(kind).orderBy(*order).limit(2).select("result_id", F.lit(k).alias("_front"))
+        front = two if front is None else front.unionByName(two)
+    r = r.join(F.broadcast(front), "result_id", "left").withColumn("_front", F.coalesce("_front", F.lit(len(kinds))))
+    of = Window.partitionBy("match_id").orderBy("_front", *order)
     r = r.withColumn("_k", F.row_number().over(of)).where(F.col("_k") <= per_match)
-    return r.orderBy("_k", "match_id", "period", "anchor_frame_id", "anchor_id").limit(overall).drop("_first", "_k")
+    r = r.orderBy("_front", *order).limit(overall).drop("_front", "_k")
+    return (r if "result_id" in results.columns else r.drop("result_id")).orderBy(*shown)
 
 
 def inspect_target(anchors: DataFrame, traces: DataFrame, results: DataFrame, match_id: str, period: str, time_ms: int, radius_ms: int, frames: DataFrame, frame_rate_hz: int = 25) -> DataFrame:

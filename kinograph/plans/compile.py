@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from ..operators import actions, compose, emission, geometry, lines, possession, predicates, relations
 from ..sources.tables import ANCHOR, KEYS, Scope, Tables
 from .bind import BoundNode, BoundPlan
-from .types import CatalogNode, PredicateNode
+from .types import CatalogNode, EvidenceRequest, PredicateNode, SignalRef
+
+#: Nodes that choose one relation of an anchor.
+ENTRIES = ("relation_destination_entry", "relation_destination_entry_classification")
 
 Frames = dict[str, DataFrame]
 Run = Callable[[Scope, Frames, dict], Frames]
@@ -182,12 +185,42 @@ def compile_plan(plan: BoundPlan, tables: Tables) -> Execution:
             t = emission.interval_trace(anchors, node_id, df.withColumns({"start_frame_id": F.col("frame_id"), "end_frame_id": F.col("frame_id")}))
         long = t if long is None else long.unionByName(t)
     results = emission.classify(anchors, long, [(r.label, r.predicate_ids) for r in plan.draft.classification_rules], plan.draft.unknown_evidence_policy)
-    wanted = [(_output(done, e.source.source_node_id, e.source.output_name), e.field, e.alias or e.field, e.required) for e in plan.draft.requested_evidence]
+    wanted = [(*_source(done, e), e.alias or e.field, e.required, _witness(plan, done, anchors, e.source)) for e in plan.draft.requested_evidence]
     results = emission.project(results, wanted)
     results = emission.ordered(results, inv.match_ids, plan.bound_plan_hash, inv.max_results)
     return Execution(plan, anchors, long, results, done)
 
 
+def _source(done: dict[str, Frames], e: EvidenceRequest) -> tuple[DataFrame, str]:
+    """The frame and column of requested evidence; of a frame signal its own column, also under the name of its value."""
+    df, field = _output(done, e.source.source_node_id, e.source.output_name), e.field
+    if field not in df.columns and field in ("value", "classification") and e.source.output_name in df.columns:
+        field = e.source.output_name
+    return df, field
+
+
+def _witness(plan: BoundPlan, done: dict[str, Frames], anchors: DataFrame, source: SignalRef) -> DataFrame | None:
+    """The relation of each anchor that evidence of a source is taken from; none where the source has no relations.
+
+    For a relation's episodes: the one that a destination entry over them chose; else the witness of predicates over the source (its
+    episodes and its evaluations of anchors are one source), that of the evaluations, the relation of other outputs of the node.
+    """
+    frames = done[source.source_node_id]
+    if "relation_id" not in _output(done, source.source_node_id, source.output_name).columns:
+        return None
+    names = {source.output_name} | ({"anchor_evaluations"} if source.output_name == "episodes" else set())
+    entries, traces = [], []
+    for bound in plan.nodes:
+        n = bound.node
+        if isinstance(n, CatalogNode) and n.catalog_ref in ENTRIES and source.output_name == "episodes" and n.inputs.get("relation_episodes") == source:
+            entries.append(next(iter(done[n.node_id].values())).withColumnRenamed("relation_id", "witness_relation_id"))
+        if isinstance(n, PredicateNode) and n.input.source_node_id == source.source_node_id and n.input.output_name in names:
+            t = done[n.node_id]["predicate"]
+            traces.append(t if "witness_relation_id" in t.columns or "relation_id" not in t.columns else t.withColumnRenamed("relation_id", "witness_relation_id"))
+    chosen = [frames[x] for x in dict.fromkeys((source.output_name, "classification", "entry_status")) if x in frames]
+    return emission.witnesses(anchors, [*entries, *traces], frames.get("anchor_evaluations"), chosen)
+
+
 def _output(done: dict[str, Frames], node: str, name: str) -> DataFrame:
     """An output's frame; signals that an operator gives beside its evaluations are columns of these."""
     frames = done[node]

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..functions.islands import hysteresis, spaced_rows
 from ..operators import actions, compose, emission, geometry, lines, possession, predicates, relations
 from ..sources import build
@@ -264,13 +265,16 @@ def rule_emission(spark, sf_dir):
     return emission.ordered(r, None, "plan", 200).select("match_id", "anchor_frame_id", "classification")
 
 
-@query("proof_selection", "sig", _EVAL + f""", x_l AS (SELECT match_id, frame_id, CASE WHEN s = 'PASS' THEN 'SWITCHED' ELSE 'OTHER' END AS classification FROM x_s WHERE s <> 'UNKNOWN'),
-x_k AS (SELECT *, row_number() OVER (PARTITION BY match_id, classification ORDER BY frame_id) <= 2 AS f FROM x_l),
-x_n AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY f DESC, classification = 'SWITCHED' DESC, frame_id) AS k FROM x_k)
-SELECT match_id, frame_id AS anchor_frame_id, classification FROM x_n WHERE k <= 5 ORDER BY k, match_id, frame_id LIMIT 16""")
+@query("proof_selection", "sig", _EVAL + f""", x_l AS (SELECT match_id, frame_id, CASE WHEN s = 'PASS' THEN 'SWITCHED' WHEN frame_id % 3 = 0 THEN 'STOPPAGE' WHEN frame_id % 3 = 1 THEN 'RETAINED_NO_SWITCH' ELSE 'LOST_BEFORE_SWITCH' END AS classification FROM x_s WHERE s <> 'UNKNOWN'),
+x_p AS (SELECT match_id, frame_id, 0 AS p FROM (SELECT * FROM x_l WHERE classification = 'SWITCHED' ORDER BY match_id, frame_id LIMIT 2) UNION ALL
+SELECT match_id, frame_id, 1 FROM (SELECT * FROM x_l WHERE classification IN ('RETAINED_NO_SWITCH', 'LOST_BEFORE_SWITCH') ORDER BY match_id, frame_id LIMIT 2)),
+x_n AS (SELECT l.*, coalesce(p, 2) AS p FROM x_l l LEFT JOIN x_p USING (match_id, frame_id)),
+x_k AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY p, frame_id) AS k FROM x_n)
+SELECT match_id, frame_id AS anchor_frame_id, classification FROM x_k WHERE k <= 5 ORDER BY p, match_id, frame_id LIMIT 16""")
 def proof_selection(spark, sf_dir):
     r = _classified("exclude_candidate")(spark, sf_dir)
-    r = r.withColumns({"period": F.lit("firstHalf"), "anchor_id": F.concat_ws(":", "match_id", "anchor_frame_id"), "classification": F.when(F.col("classification") == "NONE", "OTHER").otherwise("SWITCHED")})
+    other = F.element_at(F.array(*map(F.lit, ("STOPPAGE", "RETAINED_NO_SWITCH", "LOST_BEFORE_SWITCH"))), (F.col("anchor_frame_id") % 3 + 1).cast("int"))
+    r = r.withColumns({"period": F.lit("firstHalf"), "anchor_id": F.concat_ws(":", "match_id", "anchor_frame_id"), "classification": F.when(F.col("classification") == "NONE", other).otherwise("SWITCHED")})
     return emission.proof_selection(r).select("match_id", "anchor_frame_id", "classification")
 
 
@@ -837,6 +841,39 @@ def evidence_projection(spark, sf_dir):
     return emission.project(r, [(ev, "relation_count", "view_count", True), (ev, "evaluation_status", "seen", False)]).select("match_id", "anchor_frame_id", "classification", "view_count", "seen", "evidence_missing")
 
 
+@query(
+    "witness_evidence", "sig",
+    """x_r AS (SELECT a.match_id, a.frame_id AS f, CAST(b.event_id AS VARCHAR) AS rid, b.measure AS m FROM sig a JOIN sig b ON b.match_id = a.match_id AND b.frame_id BETWEEN a.frame_id + 1 AND a.frame_id + 3 WHERE a.event_type = 'click'),
+x_w AS (SELECT match_id, f, rid FROM (SELECT *, row_number() OVER (PARTITION BY match_id, f ORDER BY m DESC, rid) AS k FROM x_r WHERE m IS NOT NULL) t WHERE k = 1),
+x_e AS (SELECT r.*, row_number() OVER (PARTITION BY r.match_id, r.f ORDER BY r.rid) AS k FROM x_r r LEFT JOIN x_w w ON w.match_id = r.match_id AND w.f = r.f WHERE w.rid IS NULL OR w.rid = r.rid)
+SELECT a.match_id, a.frame_id AS anchor_frame_id, e.rid AS related_event, round(e.m, 6) AS related_measure, round(a.ball_x, 6) AS ball_x, CASE WHEN e.rid IS NULL THEN 1 ELSE 0 END + CASE WHEN e.m IS NULL THEN 1 ELSE 0 END AS evidence_missing
+FROM sig a LEFT JOIN x_e e ON e.match_id = a.match_id AND e.f = a.frame_id AND e.k = 1 WHERE a.event_type = 'click'""",
+)
+def witness_evidence(spark, sf_dir):
+    """Clicks with evidence of the related event that has the greatest measure, of up to three, and of a frame signal."""
+    _, sig = signal_scope(spark, sf_dir)
+    a = sig.where("event_type = 'click'").select("match_id", "period", F.concat_ws(":", "match_id", "frame_id").alias("anchor_id"), F.col("frame_id").alias("anchor_frame_id"))
+    near = a.withColumn("frame_id", F.explode(F.sequence(F.col("anchor_frame_id") + 1, F.col("anchor_frame_id") + 3))).join(sig.select("match_id", "period", "frame_id", F.col("event_id").cast("string").alias("relation_id"), "measure"), ["match_id", "period", "frame_id"])
+    best = F.min(F.when(F.col("measure").isNotNull(), F.struct((-F.col("measure")).alias("m"), "relation_id")))
+    ev = near.groupBy("match_id", "period", "anchor_id", "anchor_frame_id").agg(best["relation_id"].alias("witness_relation_id"))
+    w = emission.witnesses(a, [], ev)
+    out = emission.project(a, [(near, "relation_id", "related_event", True, w), (near, "measure", "related_measure", True, w), (sig, "ball_x", "ball_x", False)])
+    return out.select("match_id", "anchor_frame_id", "related_event", _r("related_measure"), _r("ball_x"), "evidence_missing")
+
+
+@query(
+    "percentile_summary", "sig",
+    """x_n AS (SELECT match_id, role, event_type, measure, row_number() OVER (PARTITION BY match_id, role ORDER BY measure) - 1 AS k, count(*) OVER (PARTITION BY match_id, role) AS n FROM sig WHERE measure IS NOT NULL),
+x_a AS (SELECT match_id, role, max(n) AS n, min(measure) AS lo, max(measure) AS hi, max(measure) FILTER (k = CAST(round_even((n - 1) * CAST(0.5 AS DOUBLE), 0) AS BIGINT)) AS p50,
+max(measure) FILTER (k = CAST(round_even((n - 1) * CAST(0.9 AS DOUBLE), 0) AS BIGINT)) AS p90, max(measure) FILTER (k = CAST(round_even((n - 1) * CAST(0.95 AS DOUBLE), 0) AS BIGINT)) AS p95 FROM x_n GROUP BY match_id, role)
+SELECT g.match_id, g.role, coalesce(n, 0) AS count, lo AS min, p50, p90, p95, hi AS max FROM (SELECT DISTINCT match_id, role FROM sig) g LEFT JOIN x_a USING (match_id, role)""",
+)
+def percentile_summary(spark, sf_dir):
+    """Measures of each match and side: count, extremes and percentiles, by exact ranks."""
+    _, sig = signal_scope(spark, sf_dir)
+    return ranks.summary(sig, ["match_id", "role"], "measure")
+
+
 @query("unknown_policy_invalidate", "sig", _EVAL + f"SELECT match_id, frame_id AS anchor_frame_id, CASE WHEN s <> 'UNKNOWN' THEN {_LABEL} END END AS classification, s = 'UNKNOWN' AS unknown_candidate FROM x_s")
 def unknown_policy_invalidate(spark, sf_dir):
     _, sig = signal_scope(spark, sf_dir)
