@@ -598,3 +598,45 @@ def test_units_of_odd_texts_have_the_tokenizers_ids(name):
     want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
     got = [i for at in range(0, len(texts), 50) for i in enc.encode(texts[at : at + 50])]
     assert [np.frombuffer(i, "<u4").tolist() for i in got] == want
+
+
+def _exact_groups(rows, shingle=5, least=0.8):
+    """The smallest id of each row's group, by all pairs."""
+    sets = [set(similar.shingles(t, shingle).tolist()) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            n = len(x & sets[j])
+            if n >= least * (len(x) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[find(i)] = min(d, low.get(find(i), d))
+    return {d: low[find(i)] for i, (d, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("own", [38, 60])
+def test_copies_among_texts_with_a_long_common_part(spark, own):
+    """Texts of similarity just below the bound fill groups of any number of min-hashes; no copy among them is lost, and none too much is linked."""
+    rng = random.Random(own)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    common, rows = [word() for _ in range(300)], []
+    for i in range(120):
+        words = common + [word() for _ in range(own)]
+        rows.append((3 * i, " ".join(words)))
+        for k in (1, 2)[: rng.randint(1, 2)]:
+            edited = list(words)
+            for _ in range(5):
+                edited[rng.randrange(len(edited))] = word()
+            rows.append((3 * i + k, " ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(df).collect()}
+    assert got == _exact_groups(rows) and len(set(got.values())) == 120
