@@ -16,6 +16,7 @@ from kinograph.plans import registered  # noqa: E402
 NAMES = [
     "possession_segment", "transition_regain", "outcome_window_settled", "persists_for_measure", "hysteresis_episodes", "greedy_dedupe", "exists_tristate", "unknown_policy_warn", "rule_emission", "marking", "cover_shadow", "structured_zone",
     "lane_occupancy_duplicates", "local_number", "acceleration", "off_ball_run_type", "space_region_grid", "defensive_line", "line_break", "support_arrival", "corridor_states", "join_episode_sets", "nearest_frame_alignment", "set_piece_structure",
+    "time_to_arrival", "pressure", "proof_selection", "witness_evidence", "percentile_summary", "block_shift_recipe", "corridor_episodes", "relation_destination_entry",
 ]
 
 
