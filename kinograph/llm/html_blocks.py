@@ -90,6 +90,7 @@ def blocks(page: str) -> list[dict]:
     linked: list[str] = []
     in_link = numbers = 0
     at, n = 0, len(page)
+    begun: set[int] = set()  # articles that have a block already
 
     def flush():
         if not buf:
@@ -98,6 +99,8 @@ def blocks(page: str) -> list[dict]:
         if text:
             top = stack[-1]
             links = len(html.unescape(" ".join(linked)).split())
+            if top.hint <= 0.5 and not top.off:
+                begun.add(top.article)
             out.append({
                 "text": text, "words": len(text.split()), "linked": links, "off": top.off or top.form, "hint": top.hint, "article": top.article, "main": top.main,
                 "holder": top.holder, "above": top.above, "heading": top.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), "item": "li" in (top.tag, stack[-2].tag if len(stack) > 1 else ""),
@@ -173,9 +176,11 @@ def blocks(page: str) -> list[dict]:
         named, main = _hint(attrs) if attrs and "=" in attrs and tag not in ("body", "html") else (0.0, False)
         inside = tag in _MAIN_TAGS or main and tag in ("div", "section", "td")
         off = up.off or tag in _OFF_TAGS or tag == "header" and up.article < 0 and not up.main or bool(attrs and _HIDDEN.search(attrs))
+        # the first h1 of an article is its headline, whatever the elements between are called
+        above = 0.0 if tag == "h1" and up.article >= 0 and up.article not in begun else up.hint
         numbers += 1
         stack.append(_Open(
-            tag, off, (up.form or tag == "form") and tag not in _MAIN_TAGS, max(up.hint, named), numbers if up.article < 0 and inside and tag != "main" else up.article,
+            tag, off, (up.form or tag == "form") and tag not in _MAIN_TAGS, max(above, named), numbers if up.article < 0 and inside and tag != "main" else up.article,
             up.main or inside, *((numbers, up.holder) if tag in _HOLDS or inside else (up.holder, up.above)),
         ))
         count[tag] += 1

@@ -121,3 +121,13 @@ def test_odd_tables(spark):
     got = sorted(html_blocks.extract(spark.createDataFrame(rows, schema)).collect(), key=str)
     assert got == sorted([(1, "u", LONG, len(LONG)), (1, "u", LONG, len(LONG)), (None, None, "é", 1), (3, "v", "", 0), (4, "v", "", 0)], key=str)
     assert html_blocks.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_a_headline_outweighs_the_names_around_it():
+    """The first h1 of an article stays under a name that hints at something else; a later one, or one in an advert's own heading, doesn't."""
+    prose = "<p>" + "The river rose again in the night and the men went out to the bridge. " * 4 + "</p>"
+    page = lambda inner: f"<html><body><nav><a href=x>Home</a></nav><article>{inner}</article><footer>Contact us</footer></body></html>"
+    text = html_blocks.main_text(page(f"<div class=header><h1>Title here</h1></div>{prose}"))
+    assert text.startswith("Title here\nThe river rose")
+    assert html_blocks.main_text(page(f"{prose}<div class=sponsor><h1>Buy this now</h1></div>{prose}")).count("Buy this") == 0
+    assert html_blocks.main_text(page(f"<div class=sponsor><h3>Buy this now</h3></div><h1>Title here</h1>{prose}")).startswith("Title here\n")
