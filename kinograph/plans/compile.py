@@ -150,6 +150,8 @@ def compile_plan(plan: BoundPlan, tables: Tables) -> Execution:
     scope = Scope(
         tables.only(inv.match_ids, inv.periods), inv.perspective_team_role, int(values["analysis_rate_hz"].value), 25, float(values["minimum_possession_seconds"].value), float(values["maximum_analysis_gap_ms"].value), int(values["minimum_outfield_players_per_team"].value), {k: v.value for k, v in values.items()},
     )
+    if any(isinstance(b.node, CatalogNode) and b.node.catalog_ref == "signed_lateral_shift" for b in plan.nodes):
+        scope = scope.sampled()
     done: dict[str, Frames] = {}
     by_key: dict[str, Frames] = {}
     keys: dict[str, str] = {}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import versions
+from .shared import cut
 
 KEYS = ("match_id", "period")
 
@@ -77,6 +78,8 @@ class Scope:
     minimum_outfield_players_per_team: int = 9
     #: Parameters of the recipe, by name, for operators that take them from there.
     recipe: Mapping[str, float] = field(default_factory=dict)
+    #: The analysis stream, where it was written once for many readers.
+    samples: DataFrame | None = None
 
     @property
     def defending(self) -> str:
@@ -133,6 +136,8 @@ class Scope:
         role, alive, ball_x and ball_y (null where the ball has no row).
         """
         step = step or self.stride
+        if self.samples is not None and step == self.stride:
+            return self.samples
         rows = self.tables.ball_state.select(*KEYS, "frame_id", F.col("possession_team_role").alias("role"), F.coalesce("ball_alive", F.lit(False)).alias("alive"))
         w = Window.partitionBy(*KEYS).orderBy("frame_id")
         rows = rows.withColumn("_n", F.row_number().over(w) - 1).where(F.col("_n") % step == 0).withColumn("idx", (F.col("_n") / step).cast("long")).drop("_n")
@@ -142,6 +147,10 @@ class Scope:
             return rows.withColumn("ball_x", F.lit(None).cast("double")).withColumn("ball_y", F.lit(None).cast("double"))
         return rows.join(self.ball(), [*KEYS, "frame_id"], "left")
 
+    def sampled(self) -> Scope:
+        """The same scope, its analysis stream written as a table: for compositions that read it many times."""
+        return self if self.samples is not None else replace(self, samples=cut(self.stream(), "samples"))
+
     def _gated(self, rows: DataFrame, w) -> DataFrame:
         """The stream's rows; reading one that stands more than the maximum gap behind the row before is an error."""
         gap = (F.col("frame_id") - F.lag("frame_id").over(w)) * 1000.0 / self.frame_rate_hz
