@@ -124,3 +124,15 @@ def test_tables_of_a_step_are_dropped_and_the_last_is_kept(spark):
     assert two.count() == 7 and shared.written() == since + 1
     with pytest.raises(Exception):  # noqa: B017  any reader's error
         one.count()
+
+
+def test_exploded_frames_are_not_broadcast(spark):
+    """Frames that are exploded from few rows look small to the optimizer; their joins merge all the same."""
+    from kinograph.operators import actions
+
+    scope = pass_scope(spark, "/root/testdata/sf0.001")
+    joins = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join " in line]
+    assert [j for j in joins(actions.nearest_frames(scope, scope.tables.events)) if "_bucket" in j and "SortMergeJoin" in j]
+    few = scope.tables.events.select("match_id", "period", "team_role", F.col("player_id").alias("who"), F.concat_ws(":", "match_id", "row_index").alias("pass_episode_id"))
+    found = joins(actions.control_frames(scope, actions._window(few, F.lit(1).cast("long"), F.lit(99).cast("long")), 2.5, 1.0))
+    assert len(found) == 2 and all("SortMergeJoin" in j for j in found)
