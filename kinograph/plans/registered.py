@@ -676,7 +676,7 @@ x_a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id, n ORD
 
 @query("nearest_frame_alignment", None, _passes_with("passes", _ALIGN + "SELECT match_id, CAST(n AS INTEGER) AS event_row_index, f AS event_anchor_frame_id, round(CAST(f * 40 - event_ms AS DOUBLE), 3) AS event_frame_offset_ms, CONCAT('h', CAST(p AS STRING)) AS passer_id, CONCAT('h', CAST(r AS STRING)) AS receiver_id FROM x_a WHERE event_type <> 'error'"))
 def nearest_frame_alignment(spark, sf_dir):
-    return actions.action_event_anchor(pass_scope(spark, sf_dir)).select("match_id", "event_row_index", "event_anchor_frame_id", _r("event_frame_offset_ms", 3), "passer_id", "receiver_id")
+    return actions.action_event_anchor(pass_scope(spark, sf_dir, tracked=False)).select("match_id", "event_row_index", "event_anchor_frame_id", _r("event_frame_offset_ms", 3), "passer_id", "receiver_id")
 
 
 @query("set_piece_structure", None, _passes_with("passes pass_players", _ALIGN + """, x_s AS (SELECT a.match_id, a.n, a.event_type, a.f, max(CASE WHEN q.team_role = a.team_role THEN q.y_m END) - min(CASE WHEN q.team_role = a.team_role THEN q.y_m END) AS w, avg(CASE WHEN q.team_role <> a.team_role THEN q.x_m END) AS cx, sum(CASE WHEN q.team_role = a.team_role THEN 1 ELSE 0 END) AS m, sum(CASE WHEN q.team_role <> a.team_role THEN 1 ELSE 0 END) AS o FROM x_a a LEFT JOIN pass_players q ON q.match_id = a.match_id AND q.frame_id = a.f AND q.player_id <> 'a0' AND a.event_type IN ('purchase', 'error') GROUP BY a.match_id, a.n, a.event_type, a.f)
