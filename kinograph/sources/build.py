@@ -241,9 +241,14 @@ def replay_window(positions: DataFrame, match_id: str, period: str, start: int,
 
 
 def evidence_bundle(results: DataFrame, positions: DataFrame, path: str, before: int = 50, after: int = 50) -> None:
-    """Write the results, and the replay frames around each, for review; one join on frames for all."""
+    """Write the results, and the replay frames around each, for review; one join on frames for all.
+
+    A frame's entities are gathered before it meets the results around it, so that nothing is grouped behind the join.
+    The frames' files are compressed (gzip), as neighbouring results repeat them.
+    """
     results.write.mode("overwrite").json(f"{path}/results")
-    at = results.select(*KEYS, "result_id", F.explode(F.sequence(F.col("anchor_frame_id") - before, F.col("anchor_frame_id") + after)).alias("frame_id"))
+    at = results.select(*KEYS, "result_id", F.explode(F.sequence(F.col("anchor_frame_id") - before, F.col("anchor_frame_id") + after)).alias("frame_id")).hint("merge")  # exploded: larger than the optimizer takes it for
     e = F.struct("team_role", "entity_type", "entity_id", F.round("x_m", 3).alias("x_m"), F.round("y_m", 3).alias("y_m"))
-    rows = at.join(positions, [*KEYS, "frame_id"]).groupBy("result_id", "frame_id").agg(F.array_sort(F.collect_list(e)).alias("entities"))
-    rows.sortWithinPartitions("result_id", "frame_id").write.mode("overwrite").json(f"{path}/replay")
+    frames = positions.groupBy(*KEYS, "frame_id").agg(F.array_sort(F.collect_list(e)).alias("entities"))
+    rows = at.join(frames, [*KEYS, "frame_id"]).select("result_id", "frame_id", "entities")
+    rows.write.mode("overwrite").option("compression", "gzip").json(f"{path}/replay")

@@ -136,3 +136,17 @@ def test_exploded_frames_are_not_broadcast(spark):
     few = scope.tables.events.select("match_id", "period", "team_role", F.col("player_id").alias("who"), F.concat_ws(":", "match_id", "row_index").alias("pass_episode_id"))
     found = joins(actions.control_frames(scope, actions._window(few, F.lit(1).cast("long"), F.lit(99).cast("long")), 2.5, 1.0))
     assert len(found) == 2 and all("SortMergeJoin" in j for j in found)
+
+
+def test_bundles_gather_frames_once_and_are_compressed(spark, tmp_path):
+    from kinograph.sources import build
+
+    results = spark.createDataFrame([("m", "firstHalf", f, f"r{f}") for f in (5, 6)], "match_id string, period string, anchor_frame_id long, result_id string")
+    rows = [("m", "firstHalf", f, "home", "player", p, 1.0, 2.0) for f in range(1, 9) for p in ("p2", "p1")]
+    positions = spark.createDataFrame(rows, "match_id string, period string, frame_id long, team_role string, entity_type string, entity_id string, x_m double, y_m double")
+    build.evidence_bundle(results, positions, str(tmp_path), 1, 1)
+    parts = [p.name for p in (tmp_path / "replay").glob("part-*")]
+    assert parts and all(p.endswith(".json.gz") for p in parts)
+    out = spark.read.json(str(tmp_path / "replay")).collect()
+    assert sorted((r.result_id, r.frame_id) for r in out) == [(f"r{f}", f + k) for f in (5, 6) for k in (-1, 0, 1)]
+    assert all([e.entity_id for e in r.entities] == ["p1", "p2"] for r in out)
