@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.identity import anchor_id
 from ..functions.tri import FAIL, PASS, UNKNOWN, cascade, frames_up, negated
+from ..sources.shared import cut as written
 from ..sources.tables import ANCHOR, KEYS, Scope, attach, frame_of, located, put
 
 
@@ -246,7 +247,7 @@ def off_ball_run(
     role = _scope_role(scope, candidate_scope, _anchor_role(scope, a))
     a = put(a, _role=role, _g=F.col("_f") + k)
     a = a.join(scope.signs().withColumnRenamed("team_role", "_role"), [*KEYS, "_role"], "left").join(scope.last_frames(), list(KEYS), "left")
-    a = located(scope, located(scope, a, "_f", "ball", "_b0"), "_g", "ball", "_b1")
+    a = written(located(scope, located(scope, a, "_f", "ball", "_b0"), "_g", "ball", "_b1"), "run_ends")  # read for either end and for the result
     not_ids = F.array_compact(F.array(*[_id(a, c) for c in ("passer_id", "carrier_id", "relay_player_id", "input_passer_id")]))
     base = a.select(*ANCHOR, "_f", "_g", "_role", "sign", "_b0_x", "_b0_y", "_b1_x", "_b1_y", not_ids.alias("_not"))
     players = scope.players()
@@ -303,9 +304,10 @@ def off_ball_run(
 def off_ball_run_type(scope: Scope, runs: DataFrame, minimum_forward_progression_m: float = 4.0, minimum_lateral_displacement_m: float = 2.0, minimum_observed_defenders: int = 6) -> DataFrame:
     """Whether a run is diagonal, and whether it goes behind the opponents' last line (the deepest outfield player)."""
     a = put(runs, _other=_other(F.col("candidate_team_role"))).join(scope.signs().withColumnRenamed("team_role", "candidate_team_role"), [*KEYS, "candidate_team_role"], "left")
+    a = runs = written(a, "runs")  # read for either line and for the result
     for frame, name in (("run_start_frame_id", "start"), ("run_end_frame_id", "end")):
         p = scope.players().select(*KEYS, F.col("frame_id").alias(frame), F.col("team_role").alias("_other"), "x_m")
-        deep = a.select(*ANCHOR, frame, "_other", "sign").join(p, [*KEYS, frame, "_other"]).groupBy(*ANCHOR).agg(F.max(F.col("x_m") * F.col("sign")).alias(f"_line_{name}"), F.count("*").cast("int").alias(f"defensive_line_candidate_count_{name}"))
+        deep = runs.select(*ANCHOR, frame, "_other", "sign").join(p, [*KEYS, frame, "_other"]).groupBy(*ANCHOR).agg(F.max(F.col("x_m") * F.col("sign")).alias(f"_line_{name}"), F.count("*").cast("int").alias(f"defensive_line_candidate_count_{name}"))
         a = put(attach(a, deep), **{f"defensive_line_candidate_count_{name}": F.coalesce(F.col(f"defensive_line_candidate_count_{name}"), F.lit(0)), f"defensive_line_{name}_x_m": F.col(f"_line_{name}") * F.col("sign")})
     a = put(a, run_start_beyond_line=F.col("run_start_point.x_m") * F.col("sign") > F.col("_line_start"), run_end_beyond_line=F.col("run_end_point.x_m") * F.col("sign") > F.col("_line_end"))
     line_unknown = (F.least("defensive_line_candidate_count_start", "defensive_line_candidate_count_end") < minimum_observed_defenders) | F.col("sign").isNull()

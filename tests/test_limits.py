@@ -150,3 +150,12 @@ def test_bundles_gather_frames_once_and_are_compressed(spark, tmp_path):
     out = spark.read.json(str(tmp_path / "replay")).collect()
     assert sorted((r.result_id, r.frame_id) for r in out) == [(f"r{f}", f + k) for f in (5, 6) for k in (-1, 0, 1)]
     assert all([e.entity_id for e in r.entities] == ["p1", "p2"] for r in out)
+
+
+def test_runs_are_computed_once(spark):
+    """Ends and lines read the anchors and runs from tables instead of deriving them again."""
+    from kinograph.plans import registered
+
+    since = shared.written()
+    registered.QUERIES["off_ball_run_type"](spark, "/root/testdata/sf0.001")
+    assert shared.written() - since == 2
