@@ -159,3 +159,11 @@ def test_runs_are_computed_once(spark):
     since = shared.written()
     registered.QUERIES["off_ball_run_type"](spark, "/root/testdata/sf0.001")
     assert shared.written() - since == 2
+
+
+def test_alignment_writes_no_positions(spark):
+    from kinograph.plans import registered
+
+    since = shared.written()
+    registered.QUERIES["nearest_frame_alignment"](spark, "/root/testdata/sf0.001")
+    assert shared.written() == since
