@@ -145,28 +145,36 @@ def space_region_generation(
     """Points of a grid that are far enough from all players, the best of them by distance.
 
     The grid is a constant of the plan (some 130 points at 8 m); the players of
-    an anchor's frame are gathered (at most two teams), so points meet players
-    inside a row and nothing is shuffled by point.
+    a frame are gathered once (at most two teams) and meet its anchors, so points
+    meet players inside a row and nothing is shuffled by point or by anchor.
     """
     a = _at(anchors, frame_field)
     role = _anchor_role(scope, a)
     a = put(a, _role=role).join(scope.signs().withColumnRenamed("team_role", "_role"), [*KEYS, "_role"], "left")
-    who = _seen(scope, a.select(*ANCHOR, "_f", "_role"), None)
-    spot = F.struct("x_m", "y_m")
-    sides = who.groupBy(*ANCHOR).agg(F.collect_list(F.when(F.col("p_role") == F.col("_role"), spot)).alias("_own"), F.collect_list(F.when(F.col("p_role") != F.col("_role"), spot)).alias("_opp"))
-    out = attach(a, sides)
+    who = scope.gathered(a.select(*KEYS, F.col("_f").alias("frame_id")).distinct()).withColumnRenamed("frame_id", "_f")
+    out = a.drop("_ps", "_own", "_opp").join(who, [*KEYS, "_f"], "left")
+    out = put(out, _own=F.filter("_ps", lambda p: p["team_role"] == F.col("_role")), _opp=F.filter("_ps", lambda p: p["team_role"] != F.col("_role"))).drop("_ps")
     out = put(out, observed_teammate_count=F.coalesce(F.size("_own"), F.lit(0)), observed_opponent_count=F.coalesce(F.size("_opp"), F.lit(0)))
 
     def axis(half: float) -> list[float]:
         pts = [-half + i * grid_step_m for i in range(int(2 * half / grid_step_m + 1e-9) + 1)]
         return pts if abs(pts[-1] - half) < 1e-9 else [*pts, half]
 
-    grid = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in axis(geo.HALF_LENGTH_M) for y in axis(geo.HALF_WIDTH_M)])
-    near = lambda arr, p: F.array_min(F.transform(arr, lambda q: geo.dist(q["x_m"], q["y_m"], p["x"], p["y"])))
-    scored = F.transform(grid, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), near(F.col("_opp"), p).alias("o"), near(F.col("_own"), p).alias("t")))
+    xs, ys = axis(geo.HALF_LENGTH_M), axis(geo.HALF_WIDTH_M)
+    # A point's distance to a player is put together from the squares along either axis, which each player has once.
+    square = lambda at, c: F.transform(F.array(*map(F.lit, at)), lambda v: (c - v) * (c - v))
+    squares = lambda arr: F.transform(arr, lambda q: F.struct(square(xs, q["x_m"]).alias("dx"), square(ys, q["y_m"]).alias("dy")))
+    out = put(out, _o=squares(F.col("_opp")), _t=squares(F.col("_own")))
+    both = lambda q, p: F.get(q["dx"], p["i"]) + F.get(q["dy"], p["j"])
+    grid = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i, x in enumerate(xs) for j, y in enumerate(ys)])
+    # Most points have somebody near: they are left out by the first such player, before any distance is ranked.
+    some = lambda arr, p, least: F.exists(arr, lambda q: F.coalesce(F.sqrt(both(q, p)) < least, F.lit(False)))
+    grid = F.filter(grid, lambda p: ~(some(F.col("_o"), p, minimum_opponent_distance_m) | some(F.col("_t"), p, minimum_teammate_distance_m)))
+    near = lambda arr, p: F.sqrt(F.array_min(F.transform(arr, lambda q: both(q, p))))
+    scored = F.transform(grid, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), near(F.col("_o"), p).alias("o"), near(F.col("_t"), p).alias("t")))
     inside = (lambda p: F.lit(True)) if zone_scope == "any" else (lambda p: geo.zone(p["x"] * F.col("sign"), zone_scope, 0.0)[0])
     kept = F.filter(scored, lambda p: inside(p) & (p["o"] >= minimum_opponent_distance_m) & (p["t"] >= minimum_teammate_distance_m))
-    ranked = F.array_sort(F.transform(kept, lambda p: F.struct((-F.round(p["o"] + 0.5 * p["t"], 3)).alias("a"), (-p["x"] * F.col("sign")).alias("b"), F.abs(p["y"]).alias("c"), p["x"].alias("x_m"), p["y"].alias("y_m"), p["o"].alias("nearest_opponent_m"), p["t"].alias("nearest_teammate_m"))))
+    ranked = F.sort_array(F.transform(kept, lambda p: F.struct((-F.round(p["o"] + 0.5 * p["t"], 3)).alias("a"), (-p["x"] * F.col("sign")).alias("b"), F.abs(p["y"]).alias("c"), p["x"].alias("x_m"), p["y"].alias("y_m"), p["o"].alias("nearest_opponent_m"), p["t"].alias("nearest_teammate_m"))))
     out = put(out, _kept=F.slice(ranked, 1, int(maximum_candidate_points)))
     out = put(out, open_space_region_count=F.coalesce(F.size("_kept"), F.lit(0)))
     s, r = cascade(
@@ -183,7 +191,7 @@ def space_region_generation(
         out, open_space_status=s, open_space_reason=r, space_frame_id=F.col("_f"), representative_open_space_point=geo.point(first["x_m"], first["y_m"]), representative_nearest_opponent_distance_m=first["nearest_opponent_m"],
         representative_nearest_teammate_distance_m=first["nearest_teammate_m"], open_space_candidate_points=F.transform("_kept", lambda p: F.struct(p["x_m"].alias("x_m"), p["y_m"].alias("y_m"))), zone_scope=F.lit(zone_scope),
     )
-    return out.drop("_f", "_role", "sign", "_own", "_opp", "_kept")
+    return out.drop("_f", "_role", "sign", "_own", "_opp", "_o", "_t", "_kept")
 
 
 def _lookback(seconds: float) -> int:

@@ -106,6 +106,11 @@ class Scope:
         """match_id, period, frame_id, ball_x, ball_y. Never broadcast: a ball for each frame, however small its table looks to the optimizer."""
         return self.tables.positions.where("entity_type = 'ball'").select(*KEYS, "frame_id", F.col("x_m").alias("ball_x"), F.col("y_m").alias("ball_y")).hint("merge")
 
+    def gathered(self, wanted: DataFrame, role: str | None = None) -> DataFrame:
+        """For each of the frames in wanted (match_id, period, frame_id, no two the same) that has outfield players, one row with all of them, _ps: player_id, team_role, x_m, y_m."""
+        rows = self.players(role).join(wanted.hint("merge"), [*KEYS, "frame_id"], "left_semi")  # other frames aren't grouped
+        return rows.groupBy(*KEYS, "frame_id").agg(F.collect_list(F.struct("player_id", "team_role", "x_m", "y_m")).alias("_ps")).hint("merge")
+
     def entities(self) -> DataFrame:
         """Players by their id and the ball as `ball`."""
         return self.tables.positions.select(*KEYS, "frame_id", F.when(F.col("entity_type") == "ball", "ball").otherwise(F.col("entity_id")).alias("entity_id"), "team_role", "x_m", "y_m")
