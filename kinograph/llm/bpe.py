@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame
@@ -163,16 +164,18 @@ def encoder(path: str, limit: int = 1_200_000) -> UnitEncoder:
 
 
 def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Rows with their texts, null ones as empty, in groups of some `most` characters."""
+    """Rows with their texts, null ones as empty, in groups of some `most` characters; one group's texts are strings of Python at a time."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+        place = batch.schema.get_field_index(column)
+        sizes = pc.fill_null(pc.utf8_length(batch.column(place)), 0).to_pylist()
         at = 0
-        while at < len(texts):
+        while at < len(sizes):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= most):
-                size += len(texts[end])
+            while end < len(sizes) and (end == at or size + sizes[end] <= most):
+                size += sizes[end]
                 end += 1
-            yield batch.slice(at, end - at), texts[at:end]
+            part = batch.slice(at, end - at)
+            yield part, [t or "" for t in part.column(place).to_pylist()]
             at = end
 
 

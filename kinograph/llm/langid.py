@@ -13,7 +13,7 @@ doc_id are each answered.
 from __future__ import annotations
 
 import re
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_groups
-from .kept import kept
+from .kept import nothing
 
 _WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 #: Longer runs of letters are cut, so that scripts without spaces have words as well.
 LONGEST = 16
+#: Characters of the texts whose words are answered together.
+NEAR = 1_000_000
 
 
 def words(text: str) -> list[str]:
@@ -68,6 +70,7 @@ def _grams(listed: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches, names):
     at = {n: i for i, n in enumerate(names)}
+    nothing()
     total = np.zeros((len(names), len(ORDERS) * BUCKETS), np.int64)
     for batch, texts in text_groups(batches):
         langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
@@ -88,25 +91,21 @@ class Model:
             table.append(np.log(c / c.sum(axis=1, keepdims=True)))
         #: orders overlap, so that each counts for its share of a word only
         self.table = (np.concatenate(table, axis=1) / len(ORDERS)).T.astype(np.float32).copy()
-        self.known: dict[str, int] = {}
-        self.rows = np.empty((0, len(names)), np.float64)
-
-    def likelihoods(self, listed: list[list[str]], limit: int = 400_000) -> list[np.ndarray]:
-        """For each document the likelihoods of its words, over the best language's."""
-        if len(self.known) > limit:
-            self.known, self.rows = {}, self.rows[:0]
-        new: set[str] = set()
-        for w in listed:
-            new.update(w)
-        fresh = [w for w in new if w not in self.known]
-        for i in range(0, len(fresh), 50_000):
-            part = fresh[i : i + 50_000]
+
+    def likelihoods(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Of each text its words, and their likelihoods over the best language's. Words are known while these texts are answered, no longer."""
+        places: dict[str, int] = {}
+        listed = [np.fromiter([places.setdefault(w, len(places)) for w in words(t)], np.int32) for t in texts]
+        known, rows = list(places), np.empty((len(places), len(self.names)), np.float64)
+        del places
+        for i in range(0, len(known), 10_000):
+            part = known[i : i + 10_000]
             buckets, owner = _grams(part)
             ll = np.stack([np.bincount(owner, self.table[buckets, k], minlength=len(part))[: len(part)] for k in range(len(self.names))], axis=1)
             ll -= ll.max(axis=1, keepdims=True)
-            self.known.update(zip(part, range(len(self.rows), len(self.rows) + len(part)), strict=True))
-            self.rows = np.concatenate([self.rows, np.exp(np.maximum(ll, -30))])
-        return [self.rows[np.fromiter(map(self.known.__getitem__, w), np.int64, len(w))] for w in listed]
+            rows[i : i + len(part)] = np.exp(np.maximum(ll, -30))
+        for at in listed:
+            yield [known[k] for k in at.tolist()], rows[at]
 
     def mixture(self, p: np.ndarray, steps: int = 40, penalty: float = 3.0) -> np.ndarray:
         """Proportions of the languages in a document with word likelihoods p.
@@ -167,10 +166,9 @@ def train(rows: DataFrame, sample: int = 3000) -> Model | None:
 
 
 def _predict(batches, model, least):
-    for batch, texts in text_groups(batches):
-        listed = [words(t) for t in texts]
+    for batch, texts in text_groups(batches, most=NEAR):
         pred, score, langs = [], [], []
-        for text, w, p in zip(texts, listed, model.likelihoods(listed), strict=True):
+        for text, (w, p) in zip(texts, model.likelihoods(texts), strict=True):
             if not w or not (any(map(str.isalpha, w)) or any(map(str.isalpha, text))):
                 pred.append("und")
                 score.append(0.0)
@@ -186,12 +184,8 @@ def _predict(batches, model, least):
 
 
 def _select(batches, model, least):
-    for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-        keep = []
-        for at in range(0, len(texts), 1000):
-            listed = [words(t) for t in texts[at : at + 1000]]
-            keep += [bool(w) and any(map(str.isalpha, w)) and float(model.mixture(p).max()) >= least for w, p in zip(listed, model.likelihoods(listed), strict=True)]
+    for batch, texts in text_groups(batches, most=NEAR):
+        keep = [bool(w) and any(map(str.isalpha, w)) and float(model.mixture(p).max()) >= least for w, p in model.likelihoods(texts)]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -200,8 +194,7 @@ def select(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     if model is None:
         return docs.limit(0)
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.table))
-    mark = uuid.uuid4().hex
-    return docs.mapInArrow(lambda b: _select(b, _model(mark, shared), least), docs.schema)
+    return docs.mapInArrow(lambda b: _select(b, _model(shared), least), docs.schema)
 
 
 def predict(docs: DataFrame, model: Model | None, least: float = 0.01) -> DataFrame:
@@ -211,20 +204,15 @@ def predict(docs: DataFrame, model: Model | None, least: float = 0.01) -> DataFr
         none = F.array().cast("array<struct<lang string, share double>>")
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), none.alias("langs"))
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.table))  # languages x buckets x 4 bytes, whatever the input
-    mark = uuid.uuid4().hex
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _predict(b, _model(mark, shared), least), schema)
-
-
-def _model(mark: str, shared) -> Model:
-    """The broadcast model with the words that this worker has met so far."""
+    return docs.select("doc_id", "text").mapInArrow(lambda b: _predict(b, _model(shared), least), schema)
 
-    def make() -> Model:
-        model = Model.__new__(Model)
-        model.names, model.table = shared.value
-        model.known, model.rows = {}, np.empty((0, len(model.names)), np.float64)
-        return model
 
-    return kept(("model", mark), make)
+def _model(shared) -> Model:
+    """The broadcast model."""
+    nothing()
+    model = Model.__new__(Model)
+    model.names, model.table = shared.value
+    return model
 
 
 def held_out(doc_id="doc_id"):

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encoder, text_groups
 from .frames import cut
+from .kept import nothing
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -93,6 +94,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, li
 
 def _packed(capacity: int, round_: int):
     def pack(part: pd.DataFrame) -> pd.DataFrame:
+        nothing()  # texts have been encoded
         part = part.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         sizes = part["length"].to_numpy()
         bins, offsets, n = best_fit_decreasing(sizes, capacity)
